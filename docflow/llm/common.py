@@ -169,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two star steps until nothing changes: every node hands its smallest neighbour to its larger
     neighbours, then to all its smaller ones. The links live in written tables, never on the driver; each step is a
-    partial-aggregated minimum and one join, so a hub costs no group in memory. Before each round every task joins what
+    partial-aggregated minimum, written, and one join of two plain tables, which Spark can split at a hub. Before each round every task joins what
     it holds by union-find, which is why few rounds are needed. Null ends are dropped; an empty input gives no rows.
     """
     spark = edges.sparkSession
@@ -177,14 +177,15 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "down")
+        least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
         after = written(_contracted(small).distinct(), "links")
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        removed(spark, now)
+        for old in (now, low, down, least):
+            removed(spark, old)
         now = after
         if mark == seen:
             break
