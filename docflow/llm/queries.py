@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, simhash
+from . import langid, quality, simhash, substring_dedup
 from .common import table
 from .sentencepiece_bpe import encode
 from .url_filter import BLOCK_GLOBS, HOST_RULES, filter_urls
@@ -23,6 +23,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("glob")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    words = F.array_remove(F.split(F.coalesce("kept", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.log_ratios(docs, table(spark, sf_dir, "labels")))
@@ -69,9 +75,24 @@ ruled AS (SELECT *, CASE {rule} END AS rule FROM parts)
 SELECT page_id, host, path, rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
 
 
+_OP3_SQL = r"""
+WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, greatest(len(w) - 18, 1))) AS s, md5(array_to_string(w[s : s + 19], ' ')) AS h
+  FROM words WHERE len(w) >= 20),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS r FROM windows),
+gone AS (SELECT DISTINCT doc_id, s + k AS p FROM ranked, (SELECT unnest(range(20)) AS k) WHERE r > 1),
+lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT words.doc_id, w, coalesce(len(ps), 0) AS n,
+         CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END AS k
+  FROM words LEFT JOIN lost USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, n::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql()}
+    return {"op1_url_filter": _op1_sql(), "op3_substring_dedup": _OP3_SQL}
