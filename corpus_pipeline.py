@@ -1,15 +1,67 @@
-"""Corpus cleaning in five written stages (filled in as their operators are built)."""
+"""Corpus cleaning in five stages, each written as Parquet and read again.
+
+Stage functions take (spark, docs, sf_dir). All but the last return the columns of ``documents``; what a stage rejects is
+gone for the stages after it. The near-duplicate stage works on 4-word shingles and fingerprints of 64 bits, as its operator does.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docflow.llm import decontamination, quality, sentencepiece_bpe, simhash, substring_dedup
+from docflow.llm.common import table, written
+from docflow.llm.queries import tokenizer
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the log-likelihood threshold, judged on the corpus this stage gets."""
+    ratios = quality.log_ratios(docs, table(spark, sf_dir, "labels"))
+    judged = quality.judge(docs, ratios, keep=tuple(docs.columns), nested="row")
+    return judged.where("kept").select("row.*").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of smallest id; repeated rows of it once. Rows without id stay."""
+    heads = simhash.near_duplicates(docs).where("component is not null").select(F.col("component").alias("doc_id")).distinct()
+    named = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows that occur earlier; documents of which nothing is left go. ``n_chars`` follows."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = substring_dedup.deduplicate(docs, keep=others).where("n_removed = 0 or n_removed < n_words")
+    rows = cut.select("doc_id", F.col("kept").alias("text"), *[F.col("rest")[c].alias(c) for c in others], F.col("n_removed").alias("_n"))
+    if "n_chars" in others:
+        rows = rows.withColumn("n_chars", F.when(F.col("_n") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return rows.select(*docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digests of the token ids of each text, and of the text they decode to."""
+    return sentencepiece_bpe.encode(docs, tokenizer("piece_bpe_32k.model"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", good_quality),
+    ("simhash_near_dedup", one_of_each),
+    ("substring_dedup", without_repeats),
+    ("benchmark_decontamination", uncontaminated),
+    ("sentencepiece", tokens),
+]
+#: The shingle hash of the near-duplicate stage and the tokenizer are not SQL; a test compares with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages applied to ``documents``; the first four are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ so a passage that a third of all documents share costs its bucket one entry a ch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,7 @@ _HASHERS: list[Rolling] = []
 
 @dataclass
 class Chunk:
-    """Words of a chunk's documents in order of key, and what is known of their windows."""
+    """Words of a chunk's documents, sorted by key, and what is known of their windows."""
 
     keys: np.ndarray  # of the rows
     texts: pa.Array
@@ -52,7 +52,6 @@ class Chunk:
 
     @staticmethod
     def of(table: pa.Table) -> Chunk:
-        table = table.select(["key", "text"]).sort_by("key").combine_chunks()
         keys = np.asarray(table.column("key").combine_chunks())
         texts = table.column("text").combine_chunks().fill_null("")
         raw, offsets = string_buffers(texts)
@@ -143,30 +142,34 @@ def _later_windows(table: pa.Table) -> pa.Table:
     return _answers(2, table, later, [p.shape[1] for p in parts])
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", chunks: int | None = None) -> DataFrame:
-    """Rows (key, n_words, n_removed, kept): every whole text without the words of repeated windows.
+def _cut(keys: np.ndarray, n_words: np.ndarray, removed: np.ndarray, kept: list, rest: pa.Array) -> pa.Table:
+    return pa.table({"key": pa.array(keys, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()), "rest": rest})
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+    """Rows (key, n_words, n_removed, kept, rest): every whole text without the words of repeated windows.
 
     A window is ``WINDOW`` consecutive words of one document; it is removed if its word sequence also starts at a smaller
     key, or earlier under the same key. Windows are judged on the input. ``kept`` is the text with the removed words and
     the separators behind them cut out. Null texts have no words and stay null. A null key sorts first and stays null.
-    Rows that repeat a key count as one document in which each row's places start at zero. Other columns are left out; an
-    empty table gives no rows.
+    Rows that repeat a key count as one document in which each row's places start at zero. ``rest`` is a struct of the
+    columns named in ``keep``; other columns are left out, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     n = chunks or buckets(spark, 3)
     lowest = F.lit(-(2**63))
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("chunk"), "key", "text")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("key"), F.col(text).cast("string").alias("text"), F.struct(*keep, F.lit(None).cast("int").alias("_")).alias("rest"))
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("chunk"), "key", "text", "rest")
 
     def send_anchors(table: pa.Table) -> pa.Table:
-        kinds = np.unique(Chunk.of(table).anchors()[1])
+        kinds = np.unique(Chunk.of(table.sort_by("key")).anchors()[1])
         chunk = table.column("chunk")[0].as_py()
         return _sent([(b, chunk, kinds[own].tobytes()) for b, own in _dealt(kinds, n)])
 
     def send_windows(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _sent([])
-        c = Chunk.of(table)
+        c = Chunk.of(table.sort_by("key"))
         start, a, b = c.windows(n, _bits_of(known, 1))
         _, lead = c.leaders(start, a, b)
         lead = np.sort(lead)
@@ -180,8 +183,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", chunks
         return _sent(out)
 
     def cut(table: pa.Table, known: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        rest, null = table.column("rest").combine_chunks(), table.column("text").is_null().to_pylist()
         if not table.num_rows:
-            return pa.table({"key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
+            return _cut(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], rest)
         c = Chunk.of(table)
         start, a, b = c.windows(n, _bits_of(known, 1))
         group, lead = c.leaders(start, a, b)
@@ -208,13 +213,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", chunks
             goes = np.where(lo + stop < hi, c.starts[np.minimum(lo + stop, len(c.starts) - 1)] - offsets[r], len(whole))
             pieces = zip(np.concatenate(([0], goes)).tolist(), np.concatenate((cuts, [len(whole)])).tolist(), strict=True)
             kept[r] = b"".join([whole[i:j] for i, j in pieces]).decode()
-        null = table.select(["key", "text"]).sort_by("key").column("text").is_null().to_pylist() if table.column("text").null_count else None
-        if null:
-            kept = [None if x else k for x, k in zip(null, kept, strict=True)]
-        return pa.table({"key": pa.array(c.keys), "n_words": pa.array(np.diff(c.first)), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(kept, pa.string())})
+        kept = [None if x else k for x, k in zip(null, kept, strict=True)]
+        return _cut(c.keys, np.diff(c.first), removed, kept, rest)
 
     first = rows.groupBy("chunk").applyInArrow(send_anchors, _SENT).groupBy("bucket").applyInArrow(_shared_anchors, _BITS)
     second = rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_windows, _SENT).groupBy("bucket").applyInArrow(_later_windows, _BITS)
     known = first.unionByName(second)
-    out = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(cut, "key long, n_words long, n_removed long, kept string")
-    return out.select(F.when(F.col("key") != lowest, F.col("key")).alias(key), "n_words", "n_removed", "kept")
+    out = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(cut, f"key long, n_words long, n_removed long, kept string, rest {rows.schema['rest'].dataType.simpleString()}")
+    return out.select(F.when(F.col("key") != lowest, F.col("key")).alias(key), "n_words", "n_removed", "kept", "rest")
