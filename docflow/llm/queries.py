@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, quality, simhash, substring_dedup
+from . import chat, decontamination, langid, quality, simhash, substring_dedup, token_count
 from .common import table
 from .sentencepiece_bpe import encode
 from .url_filter import BLOCK_GLOBS, HOST_RULES, filter_urls
@@ -38,10 +38,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.log_ratios(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_count.document_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.stale_pairs(chat.conversations(table(spark, sf_dir, "conversations")))
+    spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",") for c in ("chosen_scored", "rejected_scored")}
+    return chat.preferences(pairs).withColumns(spans)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -79,6 +91,30 @@ ruled AS (SELECT *, CASE {rule} END AS rule FROM parts)
 SELECT page_id, host, path, rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
 
 
+_OP8_SQL = """
+WITH said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations),
+marked AS (
+  SELECT *, max(i) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS z,
+         min(i) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS a
+  FROM said),
+heads AS (
+  SELECT conv_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY i) FILTER (WHERE i < z), '') AS prompt,
+         max(text) FILTER (WHERE i = z) AS good, max(text) FILTER (WHERE i = a) AS stale, max(z) AS z
+  FROM marked GROUP BY conv_id),
+sides AS (SELECT *, CASE WHEN good = stale THEN '' ELSE stale END AS bad FROM heads),
+-- an empty last answer that is also the first one leaves both sides equal: all of it is prompt
+judged AS (SELECT *, z IS NOT NULL AND good <> bad AS split FROM sides),
+turns AS (SELECT *, '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) AS g, '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) AS b FROM judged)
+SELECT conv_id, CASE WHEN z IS NULL THEN 0 WHEN split THEN z - 1 ELSE z END::BIGINT AS n_prompt_turns,
+       CASE WHEN z IS NULL OR split THEN prompt ELSE prompt || g END AS prompt,
+       CASE WHEN split THEN g ELSE '' END AS chosen, CASE WHEN split THEN b ELSE '' END AS rejected,
+       CASE WHEN split THEN '14:' || (length(good) + 8) ELSE '' END AS chosen_scored,
+       CASE WHEN split THEN '14:' || (length(bad) + 8) ELSE '' END AS rejected_scored
+FROM turns"""
+
 _OP3_SQL = r"""
 WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 windows AS (
@@ -99,4 +135,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op3_substring_dedup": _OP3_SQL}
+    return {"op1_url_filter": _op1_sql(), "op3_substring_dedup": _OP3_SQL, "op8_chat_formatting": _OP8_SQL}
