@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, langid, quality, simhash, substring_dedup, token_count
+from . import chat, decontamination, langid, quality, simhash, substring_dedup, token_count, toxicity
 from .common import table
 from .sentencepiece_bpe import encode
 from .url_filter import BLOCK_GLOBS, HOST_RULES, filter_urls
@@ -33,6 +33,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~_held_out(4, 2)))
+    return toxicity.score(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.log_ratios(docs, table(spark, sf_dir, "labels")))
