@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.geometry import centred, crop_size, flipped
-from ..functions.text import element_type
+from ..functions.text import element_type, stripped
 from ..schema import ELEMENT, RUNNING_LABELS
 
 
@@ -103,5 +103,5 @@ def hocr_lines(pages: DataFrame, doc: str = "doc_id", hocr: str = "hocr") -> Dat
     rows = pages.where(F.col(hocr).isNotNull()).select(doc, F.explode(pieces(F.col(hocr), "ocr_par")).alias("par"))
     rows = rows.select(doc, _attribute(F.substring_index("par", ">", 1), "id").alias("par_id"), F.posexplode(pieces(F.col("par"), "ocr_line")).alias("line_ord", "line"))
     title = _attribute(F.substring_index("line", ">", 1), "title")
-    words = F.transform(pieces(F.col("line"), "ocrx_word"), lambda w: F.trim(_spoken(w)))
+    words = F.transform(pieces(F.col("line"), "ocrx_word"), lambda w: stripped(_spoken(w)))
     return rows.select(doc, "par_id", "line_ord", F.array_join(words, " ").alias("text"), hocr_box(title).alias("bbox"), hocr_size(title).alias("size"))
