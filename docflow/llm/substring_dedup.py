@@ -24,6 +24,9 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 
+#: Bytes of text that a chunk holds at least, on average.
+CHUNK = 1 << 21
+
 _BITS = "chunk int, part int, bucket int, bits binary"
 _SENT = "bucket int, chunk int, blob binary"
 
@@ -146,6 +149,15 @@ def _cut(keys: np.ndarray, n_words: np.ndarray, removed: np.ndarray, kept: list,
     return pa.table({"key": pa.array(keys, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()), "rest": rest})
 
 
+def _chunks(docs: DataFrame, text: str) -> int:
+    """Number of chunks, and of hash buckets: as the shuffle partitions, but no more than chunks of ``CHUNK`` bytes.
+
+    Every chunk sends one packed row to each bucket, so more of them than the text fills would only be rows.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return min(buckets(docs.sparkSession, 3), size // CHUNK + 1)
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """Rows (key, n_words, n_removed, kept, rest): every whole text without the words of repeated windows.
 
@@ -155,8 +167,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     Rows that repeat a key count as one document in which each row's places start at zero. ``rest`` is a struct of the
     columns named in ``keep``; other columns are left out, whatever their names; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    n = chunks or buckets(spark, 3)
+    n = chunks or _chunks(docs, text)
     lowest = F.lit(-(2**63))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("key"), F.col(text).cast("string").alias("text"), F.struct(*keep, F.lit(None).cast("int").alias("_")).alias("rest"))
     rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("chunk"), "key", "text", "rest")
