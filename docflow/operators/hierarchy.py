@@ -87,26 +87,25 @@ def children(rows: DataFrame, page: str) -> DataFrame:
     return rows.where("parent_ord is not null").groupBy(page, "parent_ord").agg(F.transform(kids, lambda k: k["id"]).alias("children"))
 
 
-def preorder(rows: DataFrame, page: str, depth: int = 1000) -> DataFrame:
+def preorder(rows: DataFrame, page: str) -> DataFrame:
     """Adds ``path`` (zero-padded places from the root down) and ``depth``; sorting by path is the preorder walk.
 
-    A recursive query adds one level a step, joined by page and parent; parents come before their children, so there is no
-    cycle. ``depth`` bounds the levels.
+    Parents come before their children, so one fold over a page in order finds every parent's path ready; the page's rows
+    travel with it, in one shuffle. A parent that does not come before its child makes the child a root.
     """
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(depth))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    # every step reads the nodes again, so they are a view of their own
-    name = f"nodes_{abs(hash(rows.semanticHash()))}"
-    rows.select(page, "ord", "parent_ord", "id").createOrReplaceTempView(name)
-    walked = spark.sql(f"""
-        WITH RECURSIVE walk AS (
-          SELECT `{page}`, ord, lpad(cast(ord AS string), 8, '0') AS path, 0 AS depth FROM {name} WHERE parent_ord IS NULL
-          UNION ALL
-          SELECT n.`{page}`, n.ord, concat(w.path, '/', lpad(cast(n.ord AS string), 8, '0')), w.depth + 1
-          FROM walk w JOIN {name} n ON n.`{page}` = w.`{page}` AND n.parent_ord = w.ord)
-        SELECT * FROM walk""")
-    return rows.join(walked, [page, "ord"])
+    sort = F.struct(F.col("ord").cast("int").alias("o"), F.col("parent_ord").cast("int").alias("p"), F.struct(*rows.columns).alias("row"))
+    pages = rows.groupBy(F.col(page).alias("_page")).agg(F.sort_array(F.collect_list(sort)).alias("all"))
+    pages = pages.select("all", F.transform("all", lambda e: e["o"]).alias("ords"))
+
+    def step(done: Column, e: Column) -> Column:
+        own = F.lpad(e["o"].cast("string"), 8, "0")
+        up = F.get(done, F.nullif(F.array_position(F.col("ords"), e["p"]), F.lit(0).cast("long")).cast("int") - 1)
+        path = F.coalesce(F.concat(up["path"], F.lit("/"), own), own)
+        return F.array_append(done, F.struct(path.alias("path"), F.coalesce(up["depth"] + 1, F.lit(0)).alias("depth")))
+
+    walked = F.aggregate("all", F.array().cast("array<struct<path:string,depth:int>>"), step)
+    both = pages.select(F.explode(F.arrays_zip(F.col("all"), walked.alias("walked"))).alias("e"))
+    return both.select("e.all.row.*", "e.walked.path", "e.walked.depth")
 
 
 def edges(rows: DataFrame, page: str) -> DataFrame:
