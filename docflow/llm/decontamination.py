@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Edits allowed for each character of an item; items of fewer words are too short to tell from ordinary text.
 ERROR_RATE, MIN_WORDS = 0.08, 8
 #: Characters of items in one block; a larger benchmark is searched block by block, so what is sent has this bound.
@@ -148,7 +150,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                     ks, ids, ds = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ids, pa.int64()), pa.array(ds, pa.int32())], names=[key, "item_id", "distance"])
 
-        out = out.unionByName(rows.mapInArrow(run, f"`{key}` long, item_id long, distance int"))
+        out = out.unionByName(rows.mapInArrow(trimmed(run), f"`{key}` long, item_id long, distance int"))
     return out
 
 
@@ -162,5 +164,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how: floa
                 keep = pa.array([not t or not sent.value.found(t) for t in b.column(text).to_pylist()], pa.bool_())
                 yield b.filter(keep) if not pc.all(keep).as_py() else b
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

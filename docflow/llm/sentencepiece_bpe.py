@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, trimmed
 
 MARK = "▁"
 _SPACE = ord(MARK)
@@ -209,7 +209,7 @@ class Model:
                 run = ""
         return words + [run] * bool(run)
 
-    def look_up(self, words: set[str], most: int = 300_000) -> dict[str, tuple[bytes, bytes]]:
+    def look_up(self, words: set[str], most: int = 150_000) -> dict[str, tuple[bytes, bytes]]:
         """Per word: ids joined by commas, decoded bytes.
 
         What was asked for since the last ``most`` words, or before that, is kept for later batches.
@@ -259,7 +259,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
         gc.disable()  # the word tables hold no cycles, and walking them again and again costs more than the merges
         for b in batches:
             texts = b.column("text").fill_null("")
-            for lo, hi in text_slices(texts, 1 << 23):
+            for lo, hi in text_slices(texts, 1 << 22):
                 words = [m.words_of(t) for t in texts[lo:hi].to_pylist()]
                 known = m.look_up(set().union(*words))
                 rows: list[list] = [[] for _ in range(3 + len(extra))]
@@ -279,4 +279,4 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([b.column("key")[lo:hi], *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=names)
 
     schema = f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {n} {s}" for n, _, s in extra)
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), schema)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, string_buffers, text_slices, word_spans, written
+from .common import components, string_buffers, text_slices, trimmed, word_spans, written
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Larger groups of fingerprints that agree on a mask are split by what they differ in, without losing a pair.
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                 hashes = np.array([digest(whole[i:j], seed) for i, j in zip(a.tolist(), z.tolist(), strict=True)], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column("key")[lo:hi], pa.array(_majority(hashes, bound).view(np.int64))], names=[key, "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` long, fp long")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), f"`{key}` long, fp long")
 
 
 def _majority(hashes: np.ndarray, bound: np.ndarray) -> np.ndarray:

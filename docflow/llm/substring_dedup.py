@@ -9,6 +9,8 @@ so a passage that a third of all documents share costs its bucket one entry a ch
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Rolling, buckets, string_buffers, word_spans
+from .common import Rolling, buckets, string_buffers, trimmed, word_spans
 
 WINDOW = 20
 #: A difference cover; every residue modulo the period is a difference of two of its members.
@@ -149,13 +153,18 @@ def _cut(keys: np.ndarray, n_words: np.ndarray, removed: np.ndarray, kept: list,
     return pa.table({"key": pa.array(keys, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()), "rest": rest})
 
 
+def _nullable(kind: T.StructType) -> T.StructType:
+    """The type with nulls allowed everywhere."""
+    return T.StructType.fromJson(json.loads(re.sub(r'("(?:nullable|containsNull|valueContainsNull)":)false', r"\1true", kind.json())))
+
+
 def _chunks(docs: DataFrame, text: str) -> int:
     """Number of chunks, and of hash buckets: as the shuffle partitions, but no more than chunks of ``CHUNK`` bytes.
 
     Every chunk sends one packed row to each bucket, so more of them than the text fills would only be rows.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    return min(buckets(docs.sparkSession, 3), size // CHUNK + 1)
+    return min(buckets(docs.sparkSession, 6), size // CHUNK + 1)
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
@@ -172,6 +181,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     rows = docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("key"), F.col(text).cast("string").alias("text"), F.struct(*keep, F.lit(None).cast("int").alias("_")).alias("rest"))
     rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("chunk"), "key", "text", "rest")
 
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("key", "n_words", "n_removed")), T.StructField("kept", T.StringType()), T.StructField("rest", _nullable(rows.schema["rest"].dataType))])
+    kind = to_arrow_schema(schema).field("rest").type
+
     def send_anchors(table: pa.Table) -> pa.Table:
         kinds = np.unique(Chunk.of(table.sort_by("key")).anchors()[1])
         chunk = table.column("chunk")[0].as_py()
@@ -195,7 +207,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
 
     def cut(table: pa.Table, known: pa.Table) -> pa.Table:
         table = table.sort_by("key")
-        rest, null = table.column("rest").combine_chunks(), table.column("text").is_null().to_pylist()
+        rest, null = table.column("rest").combine_chunks().cast(kind), table.column("text").is_null().to_pylist()
         if not table.num_rows:
             return _cut(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], rest)
         c = Chunk.of(table)
@@ -227,8 +239,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
         kept = [None if x else k for x, k in zip(null, kept, strict=True)]
         return _cut(c.keys, np.diff(c.first), removed, kept, rest)
 
-    first = rows.groupBy("chunk").applyInArrow(send_anchors, _SENT).groupBy("bucket").applyInArrow(_shared_anchors, _BITS)
-    second = rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_windows, _SENT).groupBy("bucket").applyInArrow(_later_windows, _BITS)
+    first = rows.groupBy("chunk").applyInArrow(trimmed(send_anchors), _SENT).groupBy("bucket").applyInArrow(trimmed(_shared_anchors), _BITS)
+    second = rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(trimmed(send_windows), _SENT).groupBy("bucket").applyInArrow(trimmed(_later_windows), _BITS)
     known = first.unionByName(second)
-    out = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(cut, f"key long, n_words long, n_removed long, kept string, rest {rows.schema['rest'].dataType.simpleString()}")
+    out = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(trimmed(cut), schema)
     return out.select(F.when(F.col("key") != lowest, F.col("key")).alias(key), "n_words", "n_removed", "kept", "rest")
