@@ -257,26 +257,29 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.load(model)
         gc.disable()  # the word tables hold no cycles, and walking them again and again costs more than the merges
-        for b in batches:
-            texts = b.column("text").fill_null("")
-            for lo, hi in text_slices(texts, 1 << 22):
-                words = [m.words_of(t) for t in texts[lo:hi].to_pylist()]
-                known = m.look_up(set().union(*words))
-                rows: list[list] = [[] for _ in range(3 + len(extra))]
-                for ws in words:
-                    shown, spelled = zip(*map(known.__getitem__, ws), strict=True) if ws else ((), ())
-                    ids = b",".join(shown)
-                    raw = b"".join(spelled)[1:]
-                    rows[0].append(ids.count(b",") + 1 if ids else 0)
-                    rows[1].append(hashlib.sha256(ids).hexdigest())
-                    rows[2].append(hashlib.sha256(raw).hexdigest())
-                    if with_ids:
-                        rows[3].append([int(x) for x in ids.split(b",")] if ids else [])
-                    if with_text:
-                        rows[-1].append(raw.decode())
-                kinds = [pa.int64(), pa.string(), pa.string(), *(e[1] for e in extra)]
-                names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *(e[0] for e in extra)]
-                yield pa.RecordBatch.from_arrays([b.column("key")[lo:hi], *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=names)
+        try:
+            for b in batches:
+                texts = b.column("text").fill_null("")
+                for lo, hi in text_slices(texts, 1 << 22):
+                    words = [m.words_of(t) for t in texts[lo:hi].to_pylist()]
+                    known = m.look_up(set().union(*words))
+                    rows: list[list] = [[] for _ in range(3 + len(extra))]
+                    for ws in words:
+                        shown, spelled = zip(*map(known.__getitem__, ws), strict=True) if ws else ((), ())
+                        ids = b",".join(shown)
+                        raw = b"".join(spelled)[1:]
+                        rows[0].append(ids.count(b",") + 1 if ids else 0)
+                        rows[1].append(hashlib.sha256(ids).hexdigest())
+                        rows[2].append(hashlib.sha256(raw).hexdigest())
+                        if with_ids:
+                            rows[3].append([int(x) for x in ids.split(b",")] if ids else [])
+                        if with_text:
+                            rows[-1].append(raw.decode())
+                    kinds = [pa.int64(), pa.string(), pa.string(), *(e[1] for e in extra)]
+                    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *(e[0] for e in extra)]
+                    yield pa.RecordBatch.from_arrays([b.column("key")[lo:hi], *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=names)
+        finally:
+            gc.enable()
 
     schema = f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {n} {s}" for n, _, s in extra)
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), schema)
