@@ -2,7 +2,8 @@
 
 The lexicon is learned from labelled documents and kept as a trie. Every distinct word of a batch is turned into a
 bit-parallel Levenshtein automaton that walks the trie and drops a branch as soon as no state is left; so all terms within
-one or two edits are found together. Hits are weighed by their context: quotation and reported speech against address and
+one or two edits are found together. Only words that share a rest with a term, what is left without one or two letters, are
+turned into automata, and they walk the trie of those terms. Hits are weighed by their context: quotation and reported speech against address and
 insistence. A logistic score over these sums gives the probability.
 """
 
@@ -27,8 +28,6 @@ SAMPLE = 20_000
 #: A term needs this log odds, and this log-likelihood ratio against the base rate of toxic documents (about one chance
 #: in a million); the TERMS of best evidence are kept.
 LOG_ODDS, EVIDENCE, TERMS = 2.5, 12.0, 4_000
-#: So many terms of most evidence are also found misspelled; the others count only as they are written.
-FORGIVEN = 80
 #: Words on each side of a hit that make its context.
 CONTEXT = 8
 THRESHOLD = 0.3
@@ -56,6 +55,79 @@ def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+#: Terms of more letters have too many rests: all words of about their length are candidates, which are few.
+LONG = 40
+#: Multipliers of the hashes of words and of their slots.
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def _deletions(letters: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Hashes of words of one length (letter by word) without each choice of at most ``k`` (two at most) of their letters."""
+    n = len(letters)
+    powers = np.array([pow(_BASE, e, 1 << 64) for e in range(n + 1)], dtype=np.uint64)
+
+    def before(shift: int) -> np.ndarray:
+        # sums of the letters before each place, where ``shift`` letters after them go
+        out = np.zeros((n + 1, letters.shape[1]), dtype=np.uint64)
+        np.cumsum(letters * powers[np.maximum(n - 1 - shift - np.arange(n), 0)][:, None], axis=0, out=out[1:])
+        return out
+
+    none = before(0)
+    yield none[n]
+    if k:
+        one, rest = before(1), none[n] - none
+        for i in range(n):
+            yield one[i] + rest[i + 1]
+    if k > 1:
+        two = before(2)
+        for i in range(n - 1):
+            start = two[i] - one[i + 1]
+            for j in range(i + 1, n):
+                yield start + one[j] + rest[j + 1]
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, letter by word."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+    return np.ascontiguousarray(points.reshape(len(words), -1).T, dtype=np.uint64)
+
+
+class _Neighbourhood:
+    """The terms that allow ``k`` edits by the hashes of what is left of them without at most ``k`` letters.
+
+    A word within ``k`` edits of a term has such a rest in common with it; so no near term is ever missed.
+    """
+
+    def __init__(self, terms: list[str], numbers: list[int], k: int) -> None:
+        self.k, self.lengths = k, {len(t) + d for t in terms for d in range(-k, k + 1)}
+        keys, owners = [], []
+        for n in sorted({len(t) for t in terms}):
+            own = [(t, i) for t, i in zip(terms, numbers, strict=True) if len(t) == n]
+            for h in _deletions(_letters([t for t, _ in own]), k):
+                keys.append(h)
+                owners.append(np.array([i for _, i in own], dtype=np.int64))
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.owners = key[order], owner[order]
+        self.shift = np.uint64(64 - min(24, max(12, int(len(key) * 32).bit_length())))
+        self.taken = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.taken[self._slots(key)] = True
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(_MIX)) >> self.shift
+
+    def near(self, letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words and numbers of the terms they share a rest with."""
+        for h in _deletions(letters, self.k):
+            at = np.flatnonzero(self.taken[self._slots(h)])
+            if len(at):
+                lo, hi = (np.searchsorted(self.keys, h[at], side) for side in ("left", "right"))
+                size = hi - lo
+                if size.any():
+                    place = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    yield np.repeat(at, size), self.owners[place]
+
+
 @dataclass
 class Lexicon:
     """Terms as a trie, searched with a Levenshtein automaton of each word; their weights, exact and misspelled."""
@@ -64,59 +136,57 @@ class Lexicon:
     _trie: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
-        # terms come in order of evidence
-        self._near = list(self.terms)[:FORGIVEN]
-        for t in self._near:
-            node = self._trie
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
-        self._letters: dict[int, np.ndarray] = {}
-        for n in {len(t) for t in self._near}:
-            self._letters[n] = np.unique(np.array([self._mask(t) for t in self._near if len(t) == n], dtype=np.uint64))
+        self._names = list(self.terms)
+        self._trie = self._spelled(self._names)
+        self._near: list[_Neighbourhood] = []
+        for k in range(3):
+            own = [(t, i) for i, t in enumerate(self._names) if edits(t) == k and len(t) <= LONG]
+            if own:
+                self._near.append(_Neighbourhood(*map(list, zip(*own, strict=True)), k))
+        self._long = [(len(t), i) for i, t in enumerate(self._names) if len(t) > LONG]
         self._known: dict[str, tuple[str, int] | None] = {}
 
     @staticmethod
-    def _mask(word: str) -> int:
-        m = 0
-        for c in word:
-            m |= 1 << (ord(c) & 63)
-        return m
+    def _spelled(terms: list[str]) -> dict:
+        trie: dict = {}
+        for t in terms:
+            node = trie
+            for c in t:
+                node = node.setdefault(c, {})
+            node[""] = t
+        return trie
 
-    def possible(self, words: list[str]) -> np.ndarray:
-        """Words that share enough letters with a term, and enough of its length, to be within its edits."""
-        masks = np.array([self._mask(w) for w in words], dtype=np.uint64)
+    def candidates(self, words: list[str], block: int = 8192) -> dict[int, list[str]]:
+        """By the place of a word: all terms that may be within their edits of it, few that are not."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        out = np.zeros(len(words), dtype=bool)
-        for n, letters in self._letters.items():
-            k = edits("x" * n)
-            # an edit adds, drops or swaps one letter: it changes the set of letters, and their counts, by two at most
-            near = np.flatnonzero((np.abs(sizes - n) <= k) & ~out)
-            kinds, back = np.unique(masks[near], return_inverse=True)
-            close = np.zeros(len(kinds), dtype=bool)
-            for lo in range(0, len(kinds), 4096):
-                close[lo : lo + 4096] = (np.bitwise_count(kinds[lo : lo + 4096, None] ^ letters[None, :]) <= 2 * k).any(1)
-            near = near[close[back]]
-            counts, own = self._counts([words[i] for i in near.tolist()]), self._counts([t for t in self._near if len(t) == n])
-            for lo in range(0, len(near), 256):
-                apart = np.abs(counts[lo : lo + 256, None, :] - own[None, :, :]).sum(2, dtype=np.int16)
-                out[near[lo : lo + 256]] |= (apart <= 2 * k).any(1)
+        pairs = [np.zeros(0, dtype=np.int64)]
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            near = [x for x in self._near if n in x.lengths]
+            long = [i for m, i in self._long if abs(m - n) <= edits(self._names[i])]
+            own = np.flatnonzero(sizes == n) if near or long else ()
+            pairs += [own * len(self._names) + i for i in long]
+            for lo in range(0, len(own) if near else 0, block):
+                part = own[lo : lo + block]
+                letters = _letters([words[i] for i in part.tolist()])
+                pairs += [np.unique(part[at] * len(self._names) + term) for x in near for at, term in x.near(letters)]
+        out: dict[int, list[str]] = {}
+        for pair in np.unique(np.concatenate(pairs)).tolist():
+            i, term = divmod(pair, len(self._names))
+            out.setdefault(i, []).append(self._names[term])
         return out
 
-    @staticmethod
-    def _counts(words: list[str]) -> np.ndarray:
-        """How often each of 32 classes of letters occurs in each word."""
-        out = np.zeros((len(words), 32), dtype=np.int8)
-        letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32) & 31
-        np.add.at(out, (np.repeat(np.arange(len(words)), [len(w) for w in words]), letters), 1)
+    def possible(self, words: list[str]) -> np.ndarray:
+        """Words that may be within the edits of a term."""
+        out = np.zeros(len(words), dtype=bool)
+        out[list(self.candidates(words))] = True
         return out
 
     def weight(self, hit: tuple[str, int]) -> float:
         term, k = hit
         return self.terms[term][0] if not k else self.terms[term][1] * (0.8 if k == 2 else 1.0)
 
-    def nearest(self, word: str) -> tuple[str, int] | None:
-        """The term within its edits of a word, and how many: fewest edits, then greatest weight, then first in order."""
+    def nearest(self, word: str, among: list[str] | None = None) -> tuple[str, int] | None:
+        """The term (of all, or of some) within its edits of a word, and how many: fewest edits, then greatest weight, then first in order."""
         n = len(word)
         where: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -125,7 +195,7 @@ class Lexicon:
         full = (end << 1) - 1
         best: tuple[int, float, str] | None = None
         # state: for each number of edits, the bits of the word's prefixes that the path may spell
-        stack = [(self._trie, (1, 3 & full, 7 & full))]
+        stack = [(self._trie if among is None else self._spelled(among), (1, 3 & full, 7 & full))]
         while stack:
             node, rows = stack.pop()
             for c, child in node.items():
@@ -151,9 +221,9 @@ class Lexicon:
         new = [w for w in words if w not in self._known]
         if new:
             plain = [folded(w) for w in new]
-            far = ~self.possible(plain) if self.terms else np.ones(len(new), dtype=bool)
-            for w, p, no in zip(new, plain, far.tolist(), strict=True):
-                self._known[w] = (p, 0) if p in self.terms else None if no or not p else self.nearest(p)
+            near = self.candidates(plain)
+            for i, (w, p) in enumerate(zip(new, plain, strict=True)):
+                self._known[w] = (p, 0) if p in self.terms else self.nearest(p, near[i]) if i in near else None
         return {w: x for w in words if (x := self._known[w])}
 
 

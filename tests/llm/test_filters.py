@@ -106,6 +106,23 @@ def test_lexicon_equals_edit_distance():
             assert lexicon.possible([word])[0]
 
 
+def test_every_term_of_a_large_lexicon_is_found_misspelled():
+    rng = random.Random(9)
+    terms = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)): (1.0, 1.0) for _ in range(300)}
+    lexicon = toxicity.Lexicon(terms)
+    assert lexicon.look_up({t[:4] + t[5:] for t in terms}) == {t[:4] + t[5:]: (t, 1) for t in terms}
+    # the candidates leave out no term: short, long and very long ones against the walk of the whole trie
+    mixed = toxicity.Lexicon({"".join(rng.choice("abcde") for _ in range(n)): (1.0, 1.0) for n in [*range(3, 15), 39, 40, 41, 90] * 20})
+    for t in mixed.terms:
+        word = list(t)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(word) + 1)
+            word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        word = "".join(word)
+        want = (word, 0) if word in mixed.terms else mixed.nearest(word)
+        assert mixed.look_up({word}) == ({word: want} if want else {})
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     plain = ["river", "stone", "walks", "green", "under", "house", "seven", "light"]
