@@ -107,8 +107,8 @@ _WORDS = "list_filter(regexp_split_to_array(regexp_replace(text, '[^A-Za-z ]', '
   turn::INTEGER AS x1, (turn + 1)::INTEGER AS y1, (turn + 20)::INTEGER AS x2, (turn + 30)::INTEGER AS y2, (turn + 0.5)::DOUBLE AS size FROM conversations WHERE conv_id % 10 < 5"""
 )
 def hocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of OCR pages: words, box and size of each line; turns of half of the conversations stand for paragraphs."""
-    rows = table(spark, sf_dir, "conversations").where("conv_id % 10 < 5")
+    """Lines of OCR pages: words, box and size of each line; turns of conversations stand for paragraphs."""
+    rows = table(spark, sf_dir, "conversations")
     words = F.array_remove(F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " +"), "")
     spans = F.array_join(F.transform(words, lambda w: F.concat(F.lit('<span class="ocrx_word">'), w, F.lit("</span>"))), " ")
     head = F.format_string('<p class="ocr_par" id="par_%d"><span class="ocr_line" id="line_%d" title="bbox %d %d %d %d; x_size %d.5">', "turn", "turn", "turn", F.col("turn") + 1, F.col("turn") + 20, F.col("turn") + 30, "turn")

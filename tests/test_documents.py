@@ -2,11 +2,13 @@
 
 import io
 import math
+import re
 import zipfile
 
 import numpy as np
 import pytest
 
+from docflow.catalog import documents
 from docflow.functions import pixels
 from docflow.functions import text as X
 from docflow.plans import markdown
@@ -69,6 +71,13 @@ def test_hocr(spark):
     assert [(r["par_id"], r["text"], tuple(r["bbox"]), r["size"]) for r in got] == [("par_1", "Hi you", (1, 2, 3, 4), 22.5), ("par_1", "a&b", (5, 6, 7, 8), None)]
 
 
+def test_hocr_query_reads_every_conversation(spark, tmp_path):
+    rows = [(conv, turn, "user", f"Turn {turn}, of <{conv}>\tno-{chr(97 + conv)}") for conv in range(12) for turn in range(2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {tuple(r) for r in documents.hocr_lines(spark, str(tmp_path)).collect()}
+    assert got == {(str(c), f"par_{t}", 0, " ".join(re.sub("[^A-Za-z]", " ", text).split()), t, t + 1, t + 20, t + 30, t + 0.5) for c, t, _, text in rows}
+
+
 def test_files_of_annotations_and_edges(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"doc_id": "d", "id": 1, "bbox": {"xc": 1.0, "yc": 2.0, "w": 3.0, "h": 4.0}, "type": "p", "text": "x"}]')
     row = annotations.read_elements(spark, str(tmp_path / "a.json")).first()
