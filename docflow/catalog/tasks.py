@@ -73,7 +73,7 @@ FROM customer LEFT JOIN latest ON latest.task_id = c_custkey::VARCHAR LEFT JOIN
 def result_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to result requests: unknown, not completed, lost, or the Markdown."""
     asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("task_id"))
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").cast("string").alias("task_id"))
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("task_id"))
     results = orders.agg(F.array_join(F.sort_array(F.collect_list("o_orderkey")).cast("array<string>"), "\n").alias("markdown"))
     return tasks.result_answer(asked, tasks.latest_status(_log(table(spark, sf_dir, "events"))), results)
 

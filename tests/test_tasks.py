@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+from docflow.catalog import tasks as catalog
 from docflow.plans import registry
 from docflow.streaming import tasks
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ def test_result_answer(spark):
     assert {r["task_id"]: (r["code"], r["markdown"]) for r in tasks.result_answer(asked, status, results).collect()} == {"a": (404, None), "b": (400, None), "c": (500, None), "d": (200, "# x")}
 
 
+def test_result_query_reads_the_orders_of_every_customer(spark, tmp_path):
+    spark.createDataFrame([(c,) for c in range(1, 7)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(12, 1), (11, 1), (30, 3), (40, 4)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    events = [(1, 1, "purchase"), (2, 2, "purchase"), (3, 3, "purchase"), (4, 4, "purchase"), (5, 4, "error"), (6, 6, "purchase")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["task_id"]: (r["code"], r["markdown"]) for r in catalog.result_answer(spark, str(tmp_path)).collect()}
+    # customers 2 and 6 have no orders: their results are lost
+    assert got == {"1": (200, "11\n12"), "2": (500, None), "3": (200, "30"), "4": (400, None), "5": (404, None), "6": (500, None)}
+
+
 def test_conversion_loop(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for t, m in (("1", "good"), ("2", None), ("3", "unknown")):
