@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import trimmed
 
-#: Edits allowed for each character of an item; items of fewer words are too short to tell from ordinary text.
-ERROR_RATE, MIN_WORDS = 0.08, 8
+#: Edits allowed for each character of an item; items without a word are nothing to search for. Items too short for an
+#: edit are found where they stand as whole words.
+ERROR_RATE, MIN_WORDS = 0.08, 1
 #: Characters of items in one block; a larger benchmark is searched block by block, so what is sent has this bound.
 BLOCK = 4_000_000
 
 _NO_WORD = re.compile(r"[\W_]+")
+#: Letters of scripts that put no blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u312f\u31a0-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalised(text: str) -> str:
@@ -30,6 +33,15 @@ def normalised(text: str) -> str:
     return _NO_WORD.sub(" ", text.lower()).strip()
 
 
+def whole(text: str, lo: int, hi: int) -> bool:
+    """Whether no word of a normalised text goes on beyond either end of a passage."""
+
+    def parted(i: int) -> bool:
+        return not 0 < i < len(text) or " " in text[i - 1 : i + 1] or bool(_UNSPACED.search(text[i - 1 : i + 1]))
+
+    return parted(lo) and parted(hi)
+
+
 def distance(pattern: str, text: str, most: int) -> tuple[int, int]:
     """Least edit distance of ``pattern`` to a part of ``text`` and where that part ends; ``most + 1`` if above ``most``.
 
@@ -101,6 +113,10 @@ class Items:
         out = []
         for i, starts in places.items():
             k, m = self.budget(i), len(self.texts[i])
+            if not k:
+                if any(whole(text, s, s + m) for s in starts):
+                    out.append((self.ids[i], 0))
+                continue
             best, reach = k + 1, -1
             for s in sorted(starts):
                 # starts within k of each other are one passage; each window is read once
@@ -116,11 +132,11 @@ class Items:
 
 
 def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block: int = BLOCK) -> Iterator[Items]:
-    """The benchmark, a query set that is read once, in blocks of bounded size. Null and short items are left out."""
+    """The benchmark, a query set that is read once, in blocks of bounded size. Null items and those without a word are left out."""
     now, size = Items([], [], rate), 0
     for r in benchmark.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("text is not null").toLocalIterator():
         t = normalised(r["text"])
-        if t.count(" ") + 1 < min_words:
+        if len(t.split()) < min_words:
             continue
         if size + len(t) > block and now.ids:
             yield now

@@ -57,6 +57,16 @@ def test_decontamination_equals_brute_force(spark):
     assert decontamination.matches(docs.limit(0), bench).count() == decontamination.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    items = [(1, "Who wrote Faust?"), (2, "art"), (3, "東京の人口は何人ですか"), (4, "?!"), (5, ""), (6, "_ , _")]
+    rows = [(1, "He asked: who wrote  FAUST, then left"), (2, "a party of parts"), (3, "the Art."), (4, "問題は東京の人口は何人ですかと聞いた"), (5, "who wrote Fausta"), (6, "?!"), (7, ""), (8, "who wrote a fist"), (9, None), (10, "who wrfte Faust")]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in decontamination.matches(docs, bench).collect())
+    # 15 letters allow one edit, the other items none: they stand as whole words
+    assert got == [(1, 1, 0), (3, 2, 0), (4, 3, 0), (5, 1, 0), (10, 1, 1)]
+    assert {r["doc_id"] for r in decontamination.clean(docs, bench).collect()} == {2, 6, 7, 8, 9}
+
+
 def _deduplicated(rows, size=20):
     seen = {}
     key = lambda i: -(2**63) if i is None else i
