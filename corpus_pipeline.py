@@ -22,9 +22,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id; repeated rows of it once. Rows without id stay."""
-    heads = simhash.near_duplicates(docs).where("component is not null").select(F.col("component").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates the document of smallest id, once. Rows without id stay.
+
+    Where an id has several texts, each is judged by its own fingerprint; of those in one group that of least fingerprint stays.
+    """
+    found = simhash.groups(docs).where("doc_id = component")
+    heads = found.groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp")
+    rows = simhash.fingerprints(docs.where("doc_id is not null"), keep=tuple(docs.columns))
+    named = rows.join(heads, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]).select("rest.*")
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, string_buffers, text_slices, trimmed, word_spans, written
 
@@ -22,8 +23,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 GROUP = 4096
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Rows (key, fp): the 64-bit SimHash of the word shingles of every whole text, as a signed long.
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, fp), and ``rest`` with the columns in ``keep`` if any: the 64-bit SimHash of the word shingles of every whole text, as a signed long.
 
     A-Z lower-cased; shingles count as often as they occur; a text of fewer words is one shingle; without words (null and
     empty texts too) the fingerprint is zero.
@@ -48,9 +49,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                 last = np.minimum(begin + shingle, first[1:][row]) - 1
                 a, z = at[begin], at[last] + sizes[last]
                 hashes = np.array([digest(whole[i:j], seed) for i, j in zip(a.tolist(), z.tolist(), strict=True)], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([b.column("key")[lo:hi], pa.array(_majority(hashes, bound).view(np.int64))], names=[key, "fp"])
+                yield pa.RecordBatch.from_arrays([b.column("key")[lo:hi], pa.array(_majority(hashes, bound).view(np.int64)), *([b.column("rest")[lo:hi]] if keep else [])], names=[key, "fp", *(["rest"] if keep else [])])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), f"`{key}` long, fp long")
+    rest = [F.struct(*[F.col(c) for c in keep]).alias("rest")] if keep else []
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *rest)
+    out = T.StructType([T.StructField(key, T.LongType()), T.StructField("fp", T.LongType()), *[f for f in rows.schema if f.name == "rest"]])
+    return rows.mapInArrow(trimmed(run), out)
 
 
 def _majority(hashes: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -184,6 +188,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     and takes no part in the choice of the smallest. Repeated rows each keep a row; other columns are left out; an empty
     table gives no rows.
     """
+    return groups(docs, key, text, radius).select(key, "fp", "component")
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``near_duplicates`` and ``part``, which tells groups of the same smallest key apart."""
     fps = written(fingerprints(docs, key, text), "fingerprints")
     reps = fps.groupBy("fp").agg(F.min(key).alias("rep"))
     reps = written(reps, "reps")
@@ -191,5 +200,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     ends = components(near)
     part = reps.join(ends, reps["fp"] == ends["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("part"))
     low = written(part.groupBy("part").agg(F.min("rep").alias("component")), "names")
-    named = part.join(low, "part").select("fp", "component")
-    return fps.join(named, "fp").select(key, "fp", "component")
+    named = part.join(low, "part").select("fp", "component", "part")
+    return fps.join(named, "fp").select(key, "fp", "component", "part")

@@ -124,6 +124,14 @@ def test_pipeline_equals_plain_python(spark, tmp_path, library):
     assert got == sorted((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()) for i, t in again.items() for ids in [library.encode(t)])
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    # 7 has a copy of 5's text and one of its own; 8 has two texts and a repeated row
+    rows = [(5, a), (7, a), (7, b), (8, c), (8, c[::-1]), (8, c), (9, c), (None, a)]
+    got = corpus_pipeline.one_of_each(spark, documents(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(5, a), (7, b), (8, c), (8, c[::-1]), (None, a)], key=repr)
+
+
 def _before_last(spark, path):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
