@@ -131,50 +131,6 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-class Rolling:
-    """Hashes of slices of a sequence of 64-bit values, by prefix sums of an odd-base polynomial modulo 2^64."""
-
-    def __init__(self, seed: int) -> None:
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.byte = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        self.base = np.uint64(int(rng.integers(0, 2**63)) * 8 + 5 & (2**64 - 1))
-        self.inverse = np.uint64(pow(int(self.base), -1, 2**64))
-        self.add, self.mul = rng.integers(0, 2**64, 2, dtype=np.uint64) | np.uint64(1)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            for name, b in (("powers", self.base), ("inverses", self.inverse)):
-                steps = np.full(max(n, 1 << 16), b, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-
-    def slices(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A mixed 64-bit hash of values[start:end] for each pair; equal slices have equal hashes."""
-        n = len(values)
-        self._grow(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * self.powers[:n], out=sums[1:])
-        out = (sums[ends] - sums[starts]) * self.inverses[starts]
-        out += (ends - starts).astype(np.uint64) * self.add
-        return mixed(out, self.mul)
-
-    def words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.slices(self.byte[raw], starts, ends)
-
-    def windows(self, words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-        return self.slices(words, starts, starts + width)
-
-
-def mixed(h: np.ndarray, mul: np.uint64) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h *= mul
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)  # odd constant of a public 64-bit finaliser
-    h ^= h >> np.uint64(32)
-    return h
-
-
 def local_forest(edges: Iterable[tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
     """Union-find over a stream of edge arrays: node to the smallest node of its part."""
     parent: dict[int, int] = {}

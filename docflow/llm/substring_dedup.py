@@ -3,8 +3,9 @@
 Anchors are short windows that start only at cover positions modulo a period: for any two places there is a shift below
 the period that brings both onto cover positions, so two equal long windows share an aligned anchor. Anchors that occur
 once (most of them) end the work for the text around them; around repeated ones the windows are extended to full length
-and compared. Documents are dealt into chunks by key; each chunk sends every distinct hash once, packed by hash bucket,
-so a passage that a third of all documents share costs its bucket one entry a chunk, and gets back one bit for each.
+and compared. Documents are dealt into chunks of bounded size, as many as the text fills; each chunk sends every distinct
+hash once, packed by hash bucket, so a passage that a third of all documents share costs its bucket one entry a chunk, and
+gets back one bit for each. A packed row holds at least one hash, so there are never more of them than hashes.
 """
 
 from __future__ import annotations
@@ -16,32 +17,49 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Rolling, buckets, string_buffers, trimmed, word_spans
+from .common import buckets, string_buffers, text_slices, trimmed, word_spans
 
 WINDOW = 20
 #: A difference cover; every residue modulo the period is a difference of two of its members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 
-#: Bytes of text that a chunk holds at least, on average.
-CHUNK = 1 << 21
+#: Bytes of text that a chunk holds on average (one longer text, or the rows that repeat one, are in one chunk).
+CHUNK = 1 << 22
 
 _BITS = "chunk int, part int, bucket int, bits binary"
 _SENT = "bucket int, chunk int, blob binary"
+#: Order of a chunk's rows, the same each time it is read.
+_ORDER = [("key", "ascending"), ("text", "ascending")]
 
+#: Odd multipliers of the hashes of anchors and of the two halves of a window's identity.
+_ANCHOR, _LEFT, _RIGHT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
-def _hashers() -> tuple[Rolling, Rolling, Rolling]:
-    if not _HASHERS:
-        _HASHERS.extend((Rolling(11), Rolling(12), Rolling(13)))
-    return _HASHERS[0], _HASHERS[1], _HASHERS[2]
 
+def word_hashes(texts: pa.Array) -> np.ndarray:
+    """128 bits (XXH3) of each word of all rows in order, as two columns; not a polynomial, so no text is built to collide."""
+    out = [np.zeros((0, 2), dtype=np.uint64)]
+    for lo, hi in text_slices(texts, 1 << 20):
+        # bytes.split knows the ASCII blanks only, as asked for
+        words = b" ".join(texts[lo:hi].cast(pa.binary()).to_pylist()).split()
+        out.append(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2))
+    return np.concatenate(out)
 
-_HASHERS: list[Rolling] = []
+
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, width: int, by: np.uint64) -> np.ndarray:
+    """64 bits of the ``width`` hashes from each start on: mixed in one after another, so their order counts."""
+    out = np.full(len(starts), width, dtype=np.uint64)
+    for k in range(width):
+        out ^= words[starts + k]
+        out *= by
+        out ^= out >> np.uint64(29)
+    return out
 
 
 @dataclass
@@ -53,7 +71,7 @@ class Chunk:
     starts: np.ndarray  # of the words, bytes
     ends: np.ndarray
     first: np.ndarray  # first word of each row, and the end
-    words: np.ndarray  # hashes
+    words: np.ndarray  # two hashes each
     place: np.ndarray  # of each word in its row
     room: np.ndarray  # words from each to the end of its row
 
@@ -65,13 +83,13 @@ class Chunk:
         starts, ends, first = word_spans(raw, offsets)
         sizes = np.diff(first)
         place = np.arange(len(starts)) - np.repeat(first[:-1], sizes)
-        return Chunk(keys, texts, starts, ends, first, _hashers()[0].words(raw, starts, ends), place, np.repeat(sizes, sizes) - place)
+        return Chunk(keys, texts, starts, ends, first, word_hashes(texts), place, np.repeat(sizes, sizes) - place)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Words at which anchors start, and their hashes."""
         size = self.place + self.room
         at = np.flatnonzero(_COVERED[self.place % PERIOD] & (self.room >= ANCHOR) & (size >= WINDOW))
-        return at, _hashers()[1].windows(self.words, at, ANCHOR)
+        return at, sequence_hashes(self.words[:, 0], at, ANCHOR, _ANCHOR)
 
     def windows(self, n: int, bits: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and two hashes of the full windows that hold a repeated anchor."""
@@ -86,7 +104,7 @@ class Chunk:
         np.cumsum(hit, out=hit)
         start = np.flatnonzero(self.room >= WINDOW)
         start = start[hit[start + PERIOD] > hit[start]]
-        return start, _hashers()[1].windows(self.words, start, WINDOW), _hashers()[2].windows(self.words, start, WINDOW)
+        return start, sequence_hashes(self.words[:, 0], start, WINDOW, _LEFT), sequence_hashes(self.words[:, 1], start, WINDOW, _RIGHT)
 
     def leaders(self, start: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each window its group of equal windows, and for each group the window at the smallest key and place."""
@@ -144,8 +162,12 @@ def _later_windows(table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x, dtype=np.int64).reshape(4, -1) for x in table.column("blob").to_pylist()]
     a, b, key, place = np.concatenate([np.vstack((p[:2], np.cumsum(p[2:], axis=1))) for p in parts], axis=1)
     order = np.lexsort((place, key, b, a))
+    a, b, key, place = (x[order] for x in (a, b, key, place))
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = np.empty(len(order), dtype=bool)
-    later[order] = np.r_[False, (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])]
+    # rows that repeat a key also repeat its places: neither comes before the other
+    later[order] = (key != key[lead]) | (place != place[lead])
     return _answers(2, table, later, [p.shape[1] for p in parts])
 
 
@@ -159,12 +181,9 @@ def _nullable(kind: T.StructType) -> T.StructType:
 
 
 def _chunks(docs: DataFrame, text: str) -> int:
-    """Number of chunks, and of hash buckets: as the shuffle partitions, but no more than chunks of ``CHUNK`` bytes.
-
-    Every chunk sends one packed row to each bucket, so more of them than the text fills would only be rows.
-    """
-    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    return min(buckets(docs.sparkSession, 6), size // CHUNK + 1)
+    """As many chunks as the text fills, ``CHUNK`` bytes each."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+    return size // CHUNK + 1
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
@@ -175,24 +194,27 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     the separators behind them cut out. Null texts have no words and stay null. A null key sorts first and stays null.
     Rows that repeat a key count as one document in which each row's places start at zero. ``rest`` is a struct of the
     columns named in ``keep``; other columns are left out, whatever their names; an empty table gives no rows.
+
+    Windows are told apart by 128 bits, made of two 64-bit hashes over the two halves of each word's XXH3. Chunks are dealt
+    by key and text, so many rows of one key don't meet in a task unless their texts are equal too.
     """
-    n = chunks or _chunks(docs, text)
+    n, m = buckets(docs.sparkSession), chunks or _chunks(docs, text)
     lowest = F.lit(-(2**63))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("key"), F.col(text).cast("string").alias("text"), F.struct(*keep, F.lit(None).cast("int").alias("_")).alias("rest"))
-    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("chunk"), "key", "text", "rest")
+    rows = rows.select(F.pmod(F.xxhash64("key", "text"), F.lit(m)).cast("int").alias("chunk"), "key", "text", "rest")
 
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("key", "n_words", "n_removed")), T.StructField("kept", T.StringType()), T.StructField("rest", _nullable(rows.schema["rest"].dataType))])
     kind = to_arrow_schema(schema).field("rest").type
 
     def send_anchors(table: pa.Table) -> pa.Table:
-        kinds = np.unique(Chunk.of(table.sort_by("key")).anchors()[1])
+        kinds = np.unique(Chunk.of(table.sort_by(_ORDER)).anchors()[1])
         chunk = table.column("chunk")[0].as_py()
         return _sent([(b, chunk, kinds[own].tobytes()) for b, own in _dealt(kinds, n)])
 
     def send_windows(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _sent([])
-        c = Chunk.of(table.sort_by("key"))
+        c = Chunk.of(table.sort_by(_ORDER))
         start, a, b = c.windows(n, _bits_of(known, 1))
         _, lead = c.leaders(start, a, b)
         lead = np.sort(lead)
@@ -206,7 +228,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
         return _sent(out)
 
     def cut(table: pa.Table, known: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
+        table = table.sort_by(_ORDER)
         rest, null = table.column("rest").combine_chunks().cast(kind), table.column("text").is_null().to_pylist()
         if not table.num_rows:
             return _cut(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], rest)

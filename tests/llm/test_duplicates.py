@@ -100,6 +100,25 @@ def test_substring_dedup_equals_brute_force(spark):
     assert substring_dedup.deduplicate(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_substring_dedup_tells_words_of_one_polynomial_hash_apart(spark):
+    # complementary Thue-Morse words have equal polynomial hashes modulo 2^64 for any odd base
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{head} {one}"), (2, f"{head} {other}"), (3, f"{head} {one}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.deduplicate(documents(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_substring_dedup_of_rows_that_repeat_a_key(spark):
+    shared, own = " ".join(f"s{i}" for i in range(25)), " ".join(f"t{i}" for i in range(30))
+    # one key on many rows: places start at zero in each, so equal places lead together and later ones go
+    rows = [(5, shared), (5, f"x {shared}"), (5, shared), (None, own), (None, own), (9, f"{own} {shared}")] * 2 + [(5, f"u{k} v{k}") for k in range(30)]
+    for chunks in (1, 4):
+        got = substring_dedup.deduplicate(documents(spark, rows), chunks=chunks).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], words(r["kept"])) for r in got), key=repr) == sorted(_deduplicated(rows), key=repr)
+
+
 def _fingerprint(text):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
