@@ -2,13 +2,15 @@
 
 The distinct words of a batch lie in one flat numpy array of symbols. Every round takes the best-ranked adjacent pair of
 each word and merges its occurrences from the left at once; words without a mergeable pair leave the array. No piece of
-the vocabulary crosses from a letter to a word-start mark (checked on loading), so words can be merged apart.
+the vocabulary crosses from a letter to a word-start mark (checked on loading), so words can be merged apart. Very long
+words (scripts and data without blanks) are merged at many places a round: wherever a pair is the best far enough around it.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,8 @@ from .common import text_slices, trimmed
 MARK = "▁"
 _SPACE = ord(MARK)
 _NONE = np.int32(2**31 - 1)
+#: Longer words (characters) are merged by themselves and not kept; words kept by a worker while a task lasts.
+LONG, KEPT = 128, 100_000
 
 
 class Model:
@@ -89,8 +93,16 @@ class Model:
         self.text = [bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() if p.type == 1 else " ⁇ ".encode() if p.type == 2 else b"" for p in model.pieces]
         self.shown = [b"%d%s" % (i, end) for end in (b",", b"\n") for i in range(self.size)]
         self.spelled = [t + end for end in (b"", b"\xff") for t in self.text]
+        #: symbols on each side in which a pair must be the best one to be merged: twice the characters of the longest piece
+        self.reach = 2 * max(map(len, normal))
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the words met so far."""
         self.young: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.once: list[str] = []
+        self.sides: dict[int, int] = {}
 
     def _outside(self, c: str) -> int:
         return self.size + ord(c)
@@ -180,6 +192,68 @@ class Model:
         sym, word = self._with_bytes(sym[order], word[order])
         return sym, np.cumsum(np.bincount(word, minlength=len(words)))
 
+    def encode_long(self, word: str) -> np.ndarray:
+        """Piece ids of one word, merging in each round all pairs that are the first best one within ``reach`` symbols.
+
+        A merge changes only the symbol it makes, and none outgrows the longest piece. So whatever merges come before that
+        of such a pair stay beyond half the reach, and what it leads to stays within the other half: merging it at once
+        changes nothing. Where the word repeats itself few pairs are the first best ones; what is then left is merged one
+        by one from a heap, so the time stays near to linear.
+        """
+        sym = self.symbol[np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)]
+        made = np.append(self.merges(sym[:-1], sym[1:]), np.int32(-1))
+        k = self.reach
+        while True:
+            rank = self.rank[made]
+            # least rank of the k symbols from each on; k places of padding stand before the first
+            low = np.concatenate((np.full(k, _NONE), rank, np.full(k, _NONE)))
+            wide = 1
+            while wide < k:
+                step = min(wide, k - wide)
+                low[:-step] = np.minimum(low[:-step], low[step:])
+                wide += step
+            hit = np.flatnonzero((rank < _NONE) & (rank == low[k : k + len(rank)]) & (rank < low[: len(rank)]))
+            if len(hit) * 256 < len(sym):
+                break
+            sym[hit] = made[hit]
+            keep = np.ones(len(sym), dtype=bool)
+            keep[hit + 1] = False
+            sym, made = sym[keep], made[keep]
+            at = hit - np.arange(len(hit))
+            at = np.unique(np.concatenate((at, at[at > 0] - 1)))
+            last = at == len(sym) - 1
+            made[at] = np.where(last, np.int32(-1), self.merges(sym[at], sym[np.where(last, at, at + 1)]))
+        if len(hit):
+            sym = self._one_by_one(sym, made)
+        return self._with_bytes(sym, np.zeros(len(sym), dtype=np.int32))[0]
+
+    def _one_by_one(self, symbols: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """The symbols that are left when the best pair, of equal ones the leftmost, has been merged again and again."""
+        if not self.sides:
+            used = np.flatnonzero(self.keys >= 0)
+            self.sides = dict(zip(self.keys[used].tolist(), self.made[used].tolist(), strict=True))
+        sym, made, n = symbols.tolist(), pairs.tolist(), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, find = self.rank.tolist(), self.sides.get
+        heap = [(rank[p], i) for i, p in enumerate(made) if p >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            p = made[i]
+            if p < 0 or rank[p] != r:
+                continue
+            j = after[i]
+            end = after[j]
+            sym[i], sym[j], made[j], after[i] = p, -1, -1, end
+            if end < n:
+                before[end] = i
+            for x, y in ((before[i], i), (i, end)):
+                if x >= 0:
+                    made[x] = new = find(sym[x] << 32 | sym[y], -1) if y < n else -1
+                    if new >= 0:
+                        heapq.heappush(heap, (rank[new], x))
+        return np.array([x for x in sym if x >= 0], dtype=np.int32)
+
     def _with_bytes(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters outside the vocabulary become byte tokens."""
         out = np.flatnonzero(sym >= self.size)
@@ -209,11 +283,14 @@ class Model:
                 run = ""
         return words + [run] * bool(run)
 
-    def look_up(self, words: set[str], most: int = 150_000) -> dict[str, tuple[bytes, bytes]]:
+    def look_up(self, words: set[str], most: int = KEPT) -> dict[str, tuple[bytes, bytes]]:
         """Per word: ids joined by commas, decoded bytes.
 
-        What was asked for since the last ``most`` words, or before that, is kept for later batches.
+        What was asked for since the last ``most`` words, or before that, is kept for later batches; long words are not.
         """
+        for w in self.once:
+            del self.young[w]
+        self.once = []
         new = words.difference(self.young)
         if len(self.young) + len(new) > most:
             self.old, self.young = self.young, {}
@@ -223,12 +300,16 @@ class Model:
             self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
             new = new.difference(kept)
         if new:
-            words_in = list(new)
+            words_in = [w for w in new if len(w) <= LONG]
+            self.once = [w for w in new if len(w) > LONG]
             flat, ends = self.encode_words(words_in)
+            long = [self.encode_long(w) for w in self.once]
+            flat = np.concatenate((flat, *long))
+            ends = np.concatenate((ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(x) for x in long], dtype=np.int64)))
             flat[ends - 1] += self.size  # the last piece of a word carries the end mark of what is split below
             shown = b"".join(map(self.shown.__getitem__, flat.tolist())).split(b"\n")
             spelled = b"".join(map(self.spelled.__getitem__, flat.tolist())).split(b"\xff")
-            self.young.update(zip(words_in, zip(shown, spelled, strict=False), strict=False))
+            self.young.update(zip([*words_in, *self.once], zip(shown, spelled, strict=False), strict=False))
         return self.young
 
     def decode(self, ids: list[int]) -> bytes:
@@ -249,8 +330,9 @@ class Model:
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Encode every whole text and decode it again: rows (key, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]).
 
-    No begin or end ids. Null and empty texts have no ids and decode to the empty text. Repeated rows each keep a row;
-    other columns are left out. ``model`` is the path of the vocabulary file, the same on all executors.
+    No begin or end ids. Null and empty texts have no ids and decode to the empty text. Repeated rows each keep a row; a
+    null key stays null; other columns are left out, whatever their names; an empty table gives no rows. ``model`` is the
+    path of the vocabulary file, the same on all executors. A worker lets go of its words when a task ends.
     """
     extra = [("ids", pa.list_(pa.int32()), "array<int>")] * with_ids + [("decoded", pa.string(), "string")] * with_text
 
@@ -260,7 +342,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
         try:
             for b in batches:
                 texts = b.column("text").fill_null("")
-                for lo, hi in text_slices(texts, 1 << 22):
+                for lo, hi in text_slices(texts, 1 << 20):
                     words = [m.words_of(t) for t in texts[lo:hi].to_pylist()]
                     known = m.look_up(set().union(*words))
                     rows: list[list] = [[] for _ in range(3 + len(extra))]
@@ -279,6 +361,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *(e[0] for e in extra)]
                     yield pa.RecordBatch.from_arrays([b.column("key")[lo:hi], *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=names)
         finally:
+            m.forget()
             gc.enable()
 
     schema = f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {n} {s}" for n, _, s in extra)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +36,24 @@ def test_encoding_equals_the_library(library):
         assert model.decode_text(ids) == library.decode(ids)
 
 
+def test_long_unspaced_words_equal_the_library(library):
+    rng = random.Random(2)
+    model = sentencepiece_bpe.Model.load(MODEL)
+    kinds = ["abtheinor", "ACGT", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "的一是不了人我在有他这漢é", "a", "ab", "aab", "esthrintion", "01", "\u0301e🙂\x00"]
+    for letters in kinds:
+        for n in (127, 128, 129, 160, 700, 5_000):
+            for t in ("".join(rng.choice(letters) for _ in range(n)), (letters * n)[:n]):
+                assert model.encode(t) == library.encode(t)
+    syllables = ["the", "ing", "tion", "er", "in", "an", "re", "ed", "est", "ment", "ly", "un", "con"]
+    t = "".join(rng.choice(syllables) for _ in range(60_000))
+    begun = time.perf_counter()
+    assert model.encode(t) == library.encode(t)
+    t = "".join(rng.choice(kinds[2]) for _ in range(200_000))
+    assert model.encode(f"{t} and {t[:300]}") == library.encode(f"{t} and {t[:300]}")
+    assert model.encode(" " * 50_000) == library.encode(" " * 50_000)
+    assert time.perf_counter() - begun < 60  # seconds; a merge a round would take many minutes
+
+
 def test_encoding_of_tables(spark, library):
     got = sentencepiece_bpe.encode(documents(spark), MODEL, with_ids=True, with_text=True).collect()
     want = []
