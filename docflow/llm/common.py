@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import inspect
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -56,28 +57,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` where it is set; otherwise (tests, local mode) a folder in the warehouse.
+    ``spark.checkpoint.dir`` where it is set; otherwise a folder in the warehouse. On a cluster that folder must not be on a
+    local disk, where executors would each write their own; that is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if base.startswith(("file:", "/")) and not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return base.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut and a lost executor loses nothing."""
+#: Folders of tables that ``scratch`` blocks, from the outermost in, will delete.
+_SCRATCH: list[list[str]] = []
+
+
+def written(df: DataFrame, what: str, kept: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut and a lost executor loses nothing.
+
+    Within a ``scratch`` block the table goes when the block ends, unless it is ``kept``. Outside of one it stays, as a lazy
+    result may read it; it belongs to whoever cleans the shared folder.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _SCRATCH and not kept:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written in this block are deleted when it ends, but for those written as ``kept``."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        p = jvm.org.apache.hadoop.fs.Path(root)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def buckets(spark: SparkSession, per_partition: int = 2) -> int:

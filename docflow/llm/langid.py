@@ -83,22 +83,16 @@ class Model:
     log_probability: np.ndarray  # hash x language, float32; the last row is the log prior
 
     def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and its posterior for each text; the unknown language with 0 where there are no letters."""
+        """Language and its posterior, from all n-grams of each text; the unknown language with 0 where there are no letters."""
         points, at = _letters(texts)
-        total = np.zeros((len(texts), len(self.languages)))
-        count = np.zeros(len(texts))
+        logit = np.tile(self.log_probability[-1].astype(np.float64), (len(texts), 1))
         for n in ORDERS:
             grams, starts, full = _slices(points, at, n)
             if len(full):
                 for k in range(len(self.languages)):
-                    total[full, k] += np.add.reduceat(self.log_probability[:, k][grams], starts, dtype=np.float64)
-                count[full] += np.diff(np.append(starts, len(grams)))
-        letters = np.zeros(len(texts), dtype=bool)
+                    logit[full, k] += np.add.reduceat(self.log_probability[:, k][grams], starts, dtype=np.float64)
         lettered = np.concatenate(([0], np.cumsum(points != 32)))[at]
         letters = np.diff(lettered) > 0
-        logit = total + self.log_probability[-1]
-        # n-grams of one text depend on each other: the posterior is that of their mean over a few tens of n-grams
-        logit *= (np.minimum(count, 60) / np.maximum(count, 1))[:, None]
         best = logit.argmax(1)
         p = np.exp(logit - logit.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -109,17 +103,18 @@ class Model:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, smoothing: float = 0.5) -> Model:
     """Learn from the rows of ``docs`` whose language is not null.
 
-    At most about ``sample`` of them are read, those of least hash of the key; the counts, a matrix of fixed size for
-    each language, are added up on the driver. Without any labelled row the model has no language.
+    At most about ``sample`` of them are read, those of least hash of key and text; the counts, a matrix of fixed size for
+    each language, are added up on the driver. The prior of a language is its share of them (half a document more for
+    each language). Without any labelled row the model has no language. Rows that repeat a key count each.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     n = rows.count()
     if n > sample:
         share = int(sample / n * (1 << 32))
-        rows = rows.where(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << 32)) < share)
+        rows = rows.where(F.pmod(F.xxhash64(F.col(key).cast("long"), F.col(text)), F.lit(1 << 32)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, np.ndarray] = {}
+        found: dict[str, np.ndarray] = {}  # counts of the hashes, then of documents
         for b in batches:
             langs = np.array(b.column("lang").to_pylist(), dtype=object)
             for lo, hi in text_slices(b.column("text"), 1 << 21):
@@ -127,9 +122,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 for name in sorted(set(own)):
                     picked = b.column("text")[lo:hi].filter(pa.array(own == name))
                     points, at = _letters(picked)
-                    here = found.setdefault(name, np.zeros(HASHES, dtype=np.int64))
+                    here = found.setdefault(name, np.zeros(HASHES + 1, dtype=np.int64))
+                    here[-1] += len(picked)
                     for n in ORDERS:
-                        here += np.bincount(_slices(points, at, n)[0], minlength=HASHES)
+                        here[:-1] += np.bincount(_slices(points, at, n)[0], minlength=HASHES)
         for name, counts in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([counts.tobytes()], pa.binary())], names=["lang", "counts"])
 
@@ -147,9 +143,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         counts[r["lang"]] = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
     names = tuple(sorted(counts))
     matrix = np.zeros((HASHES + 1, len(names)), dtype=np.float32)
+    n_docs = sum(int(c[-1]) for c in counts.values())
     for k, name in enumerate(names):
-        c = counts[name].astype(np.float64) + smoothing
+        c = counts[name][:-1].astype(np.float64) + smoothing
         matrix[:-1, k] = np.log(c) - np.log(c.sum())
+        matrix[-1, k] = np.log(counts[name][-1] + 0.5) - np.log(n_docs + 0.5 * len(names))
     return Model(names, matrix)
 
 

@@ -31,7 +31,7 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 
 #: Bytes of text that a chunk holds on average (one longer text, or the rows that repeat one, are in one chunk).
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 _BITS = "chunk int, part int, bucket int, bits binary"
 _SENT = "bucket int, chunk int, blob binary"
@@ -200,7 +200,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     """
     n, m = buckets(docs.sparkSession), chunks or _chunks(docs, text)
     lowest = F.lit(-(2**63))
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("key"), F.col(text).cast("string").alias("text"), F.struct(*keep, F.lit(None).cast("int").alias("_")).alias("rest"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("key"), F.col(text).cast("string").alias("text"), (F.struct(*keep) if keep else F.struct(F.lit(None).cast("int").alias("none"))).alias("rest"))
     rows = rows.select(F.pmod(F.xxhash64("key", "text"), F.lit(m)).cast("int").alias("chunk"), "key", "text", "rest")
 
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("key", "n_words", "n_removed")), T.StructField("kept", T.StringType()), T.StructField("rest", _nullable(rows.schema["rest"].dataType))])

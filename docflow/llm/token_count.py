@@ -12,16 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import trimmed, written
 
 #: Tokens in a block, and blocks in a group of the two-level prefix scan.
 BLOCK, GROUP = 1 << 19, 1024
 END = 50256
+_KINDS = {2: "<u2", 4: "<u4", 8: "<u8"}
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -43,14 +45,22 @@ def _encoder(path: str, pattern: str) -> object:
     return _ENCODERS[path]
 
 
-def flatten(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", end: int = END, block: int = BLOCK) -> DataFrame:
-    """Encode documents into flat files of 16-bit ids, one a task, written as rows (file, block, tokens, first, keys).
+def width_of(vocabulary: str, end: int = END) -> int:
+    """Bytes that each id of a vocabulary and its separator need in a token file."""
+    return 2 if max(end, *ranks(vocabulary).values()) < 1 << 16 else 4
+
+
+def flatten(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", end: int = END, block: int = BLOCK, width: int | None = None) -> DataFrame:
+    """Encode documents into flat files of ids of ``width`` bytes (as many as the vocabulary needs), one file a task.
+
+    They are written as rows (file, block, tokens, first, keys).
 
     Rows with ``tokens`` are the blocks of a file in order; rows with ``keys`` say which documents it holds from document
     ``first`` on. The table is written before it is used, so a repeated task can't deal documents otherwise. Null texts
     are documents without tokens.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    kind = _KINDS[width or width_of(vocabulary, end)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary, pattern).encode_ordinary
@@ -60,7 +70,7 @@ def flatten(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
 
         def blocks(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, n_block
-            flat = np.concatenate(held) if held else np.zeros(0, np.uint16)
+            flat = np.concatenate(held) if held else np.zeros(0, kind)
             cut = len(flat) if last else len(flat) - len(flat) % block
             for at in range(0, cut, block):
                 yield row(n_block, flat[at : at + block].tobytes(), None, None)
@@ -75,22 +85,37 @@ def flatten(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
             yield row(None, None, n_docs, keys)
             n_docs += len(keys)
             for t in b.column("text").to_pylist():
-                ids = np.array([*(encode(t) if t else ()), end], dtype=np.uint16)
+                ids = np.array([*(encode(t) if t else ()), end], dtype=kind)
                 held.append(ids)
                 size += len(ids)
                 if size >= 2 * block:
                     yield from blocks(False)
         yield from blocks(True)
 
-    return written(rows.mapInArrow(run, "file int, block long, tokens binary, first long, keys array<long>"), "tokens")
+    return written(rows.mapInArrow(trimmed(run), "file int, block long, tokens binary, first long, keys array<long>"), "tokens")
 
 
 def read_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Blocks (file, block, tokens) of flat binary token files; Spark reads each file as one value of at most 2 GB."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    """Blocks (file, block, tokens) of flat binary token files of any size.
+
+    Spark lists the files; each block is a range of one file that a task reads by seeking, so the blocks of a large file
+    are spread over all tasks. The files lie where pyarrow's file systems reach them (local, HDFS, object stores). Files of
+    no bytes have no blocks; bytes behind the last whole id are left out.
+    """
     step = block * width
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step)))
-    return files.select(F.col("path").alias("file"), "content", at.alias("block")).select("file", "block", F.expr(f"substring(content, cast(block * {step} + 1 as int), {step})").alias("tokens"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.floor(F.col("length") / width).alias("n")).where("n > 0")
+    at = files.select("file", (F.col("n") * width).alias("stop"), F.explode(F.expr(f"sequence(0L, (n - 1) div {block})")).alias("block"))
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, stop, n in zip(*(b.column(c).to_pylist() for c in ("file", "stop", "block")), strict=True):
+                store, inner = fs.FileSystem.from_uri(name)
+                with store.open_input_file(inner) as f:
+                    f.seek(n * step)
+                    raw = f.read(min(step, stop - n * step))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([raw], pa.binary())], names=["file", "block", "tokens"])
+
+    return at.repartition("file", "block").mapInArrow(ranges, "file string, block long, tokens binary")
 
 
 def count(blocks: DataFrame, end: int = END, block: int = BLOCK, width: int = 2) -> DataFrame:
@@ -100,7 +125,7 @@ def count(blocks: DataFrame, end: int = END, block: int = BLOCK, width: int = 2)
     ``width`` bytes. Empty documents count 0; tokens behind the last separator of a file are a last document of their own;
     null and empty blocks hold nothing; a block that is given twice counts once. An empty table gives no rows.
     """
-    kind = {2: "<u2", 4: "<u4", 8: "<u8"}[width]
+    kind = _KINDS[width]
     name = blocks.schema["file"].dataType
     arrow = pa.string() if name.simpleString() == "string" else pa.int64()
     blocks = blocks.select(F.col("file").cast("string" if arrow == pa.string() else "long").alias("file"), F.col("block").cast("long").alias("block"), "tokens")
@@ -134,9 +159,11 @@ def count(blocks: DataFrame, end: int = END, block: int = BLOCK, width: int = 2)
 def document_counts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_tokens): documents flattened into token files and counted from the files alone.
 
-    Null and empty texts count 0. Repeated rows each keep a row; other columns are left out.
+    Null and empty texts count 0. Repeated rows each keep a row; a null key stays null; other columns are left out,
+    whatever their names; an empty table gives no rows.
     """
-    flat = flatten(docs, vocabulary, pattern, key, text)
-    counts = count(flat.where("tokens is not null").select("file", "block", "tokens"))
+    width = width_of(vocabulary)
+    flat = flatten(docs, vocabulary, pattern, key, text, width=width)
+    counts = count(flat.where("tokens is not null").select("file", "block", "tokens"), width=width)
     named = flat.where("keys is not null").select(F.col("file").cast("long").alias("file"), "first", F.posexplode("keys").alias("i", key)).select("file", (F.col("first") + F.col("i")).alias("nth"), key)
     return named.join(counts, ["file", "nth"]).select(key, "n_tokens")

@@ -26,8 +26,8 @@ from .common import WORD, text_slices, written
 #: At most so many labelled documents (those of least hash) teach lexicon and weights; their whole texts are read.
 SAMPLE = 20_000
 #: A term needs this log odds, and this log-likelihood ratio against the base rate of toxic documents (about one chance
-#: in a million); the TERMS of best evidence are kept.
-LOG_ODDS, EVIDENCE, TERMS = 2.5, 12.0, 4_000
+#: in a million). All such terms are kept; the sample bounds their number.
+LOG_ODDS, EVIDENCE = 2.5, 12.0
 #: Words on each side of a hit that make its context.
 CONTEXT = 8
 THRESHOLD = 0.3
@@ -279,16 +279,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learn lexicon and weights from ``labels(key, label)``, of which at most ``sample`` rows are used.
+    """Learn lexicon and weights from ``labels(key, label)``, of which at most ``sample`` keys are used.
 
-    The driver gets the terms (at most ``TERMS``) and one row of features for each sampled document. Conflicting labels of
-    a document count as toxic. Without toxic documents the lexicon is empty and every score is the same.
+    The driver gets the terms and one row of features for each sampled key. Conflicting labels of a document count as
+    toxic; of several texts of a key the first in order is read. Null keys and labels teach nothing. Without toxic
+    documents the lexicon is empty and every score is the same.
     """
     spark = docs.sparkSession
     taught = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias("_k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     taught = taught.orderBy(F.xxhash64("_k"), "_k").limit(sample)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = written(rows.join(F.broadcast(taught), F.col("k") == F.col("_k")).select("text", "y"), "labelled")
+    rows = rows.join(F.broadcast(taught), F.col("k") == F.col("_k")).groupBy("k").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = written(rows.select("text", "y"), "labelled")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     evidence = a * F.log(a / ((a + b) * base)) + b * F.log(F.greatest(b, F.lit(1)) / ((a + b) * (1 - base)))
     counts = rows.mapInArrow(words, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = counts.where("toxic > 0 and length(term) > 2").select("term", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") >= LOG_ODDS) & (F.col("evidence") >= EVIDENCE))
-    terms = {r["term"]: (r["odds"], 1.0) for r in best.orderBy(F.desc("evidence"), "term").limit(TERMS).collect()}
+    terms = {r["term"]: (r["odds"], 1.0) for r in best.orderBy(F.desc("evidence"), "term").collect()}
 
     sent = _sent(spark, terms, np.zeros(len(FEATURES) + 1))
 
@@ -362,8 +364,9 @@ def _model(sent: object) -> Model:
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows (key, score, predicted) for every whole text: the probability of toxicity, and 1 from ``threshold`` on.
 
-    Null and empty texts score as texts without hits. Repeated rows each keep a row; other columns are left out; an empty
-    table gives no rows.
+    Null and empty texts score as texts without hits. Repeated rows each keep a row; a null key stays null; other columns
+    are left out, whatever their names; an empty table gives no rows. Of terms equally near, the one of greatest weight is
+    taken, then the first in order.
     """
     sent = _sent(docs.sparkSession, model.lexicon.terms, model.weights)
 

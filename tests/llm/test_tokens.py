@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from docflow.llm import chat, decontamination, quality, sentencepiece_bpe, token_count
 from docflow.llm.common import written
 from tests.llm.helpers import TEXTS, documents, words
@@ -77,11 +78,39 @@ def test_separator_scan_over_blocks(spark):
 
 
 def test_token_files_on_disk(spark, tmp_path):
-    (tmp_path / "x.bin").write_bytes(np.array([1, 2, 9, 9, 3, 9], dtype="<u2").tobytes())
+    (tmp_path / "x.bin").write_bytes(np.array([1, 2, 9, 9, 3, 9], dtype="<u2").tobytes() + b"\x09")
+    (tmp_path / "none.bin").write_bytes(b"")
     blocks = token_count.read_files(spark, str(tmp_path), block=4)
     assert [r["n_tokens"] for r in token_count.count(blocks, end=9, block=4).orderBy("nth").collect()] == [2, 0, 1]
 
 
+def test_token_files_beyond_two_gigabytes(spark, tmp_path):
+    # sparse on disk; ids of four bytes, separators at a few far places
+    places, n = [5, 1_000_000, 400_000_000, 599_999_999], 600_000_000
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(4 * n)
+        for p in places:
+            f.seek(4 * p)
+            f.write(np.uint32(70_000).tobytes())
+    block = 1 << 22
+    blocks = token_count.read_files(spark, str(tmp_path), width=4, block=block)
+    assert blocks.select("file", "block").distinct().count() == -(-n // block)
+    got = [r["n_tokens"] for r in token_count.count(blocks, end=70_000, block=block, width=4).orderBy("nth").collect()]
+    assert got == [5, 999_994, 398_999_999, 199_999_998]
+
+
+def test_wide_ids(spark, tmp_path):
+    import base64
+
+    # a vocabulary whose ids don't fit into 16 bits
+    path = tmp_path / "wide.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b + 70_000}\n" for b in range(256)))
+    assert token_count.width_of(str(path)) == 4
+    got = token_count.document_counts(documents(spark), str(path), public_tokenizers.PATTERN).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, len((t or "").encode())) for i, t in TEXTS), key=repr)
+    assert token_count.document_counts(documents(spark).limit(0), str(path), public_tokenizers.PATTERN).count() == 0
+
+
 def test_document_counts(spark):
     import tiktoken
 
@@ -151,6 +180,31 @@ def test_near_duplicates_of_an_id_with_two_texts(spark):
     assert sorted((tuple(r) for r in got), key=repr) == sorted([(5, a), (7, b), (8, c), (8, c[::-1]), (None, a)], key=repr)
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, repeats, long texts, empty tables and columns with the stages' own names."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [*TEXTS, (20, f"{passage} one"), (21, f"{passage} two"), (20, f"{passage}  one"), (None, None), (22, passage)]
+    docs = documents(spark, rows).withColumns({c: F.lit(7) for c in ("_n", "_", "kept", "n_removed", "row", "component")})
+    spark.createDataFrame([(8, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, f"{passage} one"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns
+        got = made.collect()
+        assert got and all(r["_n"] == 7 and r["key"] == -1 for r in got)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        ids = [r["doc_id"] for r in got]
+        if name == names[1]:
+            # 20 has a row whose text differs in blanks only: the first in order stays
+            assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] == 20) == [(20, f"{passage}  one")]
+            assert ids.count(None) == 2 and ids.count(1) == 1
+        if name == names[2]:
+            assert ids.count(3) == 1 and 22 not in ids and ids.count(None) == 2
+        if name == names[3]:
+            assert not {20, 21, 22} & set(ids) and ids.count(3) == 1
+
+
 def _before_last(spark, path):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
