@@ -6,16 +6,23 @@ gone for the stages after it. The near-duplicate stage works on 4-word shingles
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import decontamination, quality, sentencepiece_bpe, simhash, substring_dedup
-from docflow.llm.common import table, written
+from docflow.llm.common import removed, scratch, table, written
 from docflow.llm.queries import tokenizer
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the log-likelihood threshold, judged on the corpus this stage gets."""
+    """Documents that pass the base rules and the log-likelihood threshold, judged on the corpus this stage gets.
+
+    Null and empty texts go, as all of under 20 words do. Rows without id and repeated rows are judged as any other.
+    """
     ratios = quality.log_ratios(docs, table(spark, sf_dir, "labels"))
     judged = quality.judge(docs, ratios, keep=tuple(docs.columns), nested="row")
     return judged.where("kept").select("row.*").select(*docs.columns)
@@ -24,32 +31,36 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest id, once. Rows without id stay.
 
-    Where an id has several texts, each is judged by its own fingerprint; of those in one group that of least fingerprint stays.
+    Where an id has several texts, each is judged by its own fingerprint; of those in one group that of least fingerprint
+    stays, and of rows that share id and fingerprint the least (by their columns in order). Null and empty texts are one group.
     """
     found = simhash.groups(docs).where("doc_id = component")
     heads = found.groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp")
     rows = simhash.fingerprints(docs.where("doc_id is not null"), keep=tuple(docs.columns))
-    named = rows.join(heads, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]).select("rest.*")
+    named = rows.join(heads, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.min("rest").alias("rest")).select("rest.*")
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows that occur earlier; documents of which nothing is left go. ``n_chars`` follows."""
+    """Texts without the windows that occur earlier; documents of which nothing is left go. ``n_chars`` follows.
+
+    Null texts and those of under 20 words stay as they are. A missing id counts as the smallest.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = substring_dedup.deduplicate(docs, keep=others).where("n_removed = 0 or n_removed < n_words")
-    rows = cut.select("doc_id", F.col("kept").alias("text"), *[F.col("rest")[c].alias(c) for c in others], F.col("n_removed").alias("_n"))
+    made = {c: F.col("rest")[c] for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
     if "n_chars" in others:
-        rows = rows.withColumn("n_chars", F.when(F.col("_n") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(made["n_chars"]).cast("long")
+    return cut.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts stay, and all documents if there is no benchmark."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digests of the token ids of each text, and of the text they decode to."""
+    """Number and digests of the token ids of each text, and of the text they decode to; null texts are empty."""
     return sentencepiece_bpe.encode(docs, tokenizer("piece_bpe_32k.model"))
 
 
@@ -64,9 +75,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def stage_written(spark: SparkSession, docs: DataFrame, sf_dir: str, name: str, stage: Stage) -> DataFrame:
+    """A stage's result as a table of the shared folder; tables of its own that it has read are gone."""
+    with scratch(spark):
+        return written(stage(spark, docs, sf_dir), name, kept=True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; the first four are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to ``documents``; the first four are written to the shared folder and read again.
+
+    What they have written on the way is deleted, but for the table that the last stage reads.
+    """
+    docs = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stage_written(spark, table(spark, sf_dir, "documents") if docs is None else docs, sf_dir, name, stage)
+        if before is not None:
+            removed(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
