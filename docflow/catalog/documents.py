@@ -104,7 +104,7 @@ _WORDS = "list_filter(regexp_split_to_array(regexp_replace(text, '[^A-Za-z ]', '
 
 @_C.add(
     f"""SELECT conv_id::VARCHAR AS doc_id, 'par_' || turn AS par_id, 0 AS line_ord, array_to_string({_WORDS}, ' ') AS text,
-  turn::INTEGER AS x1, (turn + 1)::INTEGER AS y1, (turn + 20)::INTEGER AS x2, (turn + 30)::INTEGER AS y2, (turn + 0.5)::DOUBLE AS size FROM conversations WHERE conv_id % 10 < 5"""
+  turn::INTEGER AS x1, (turn + 1)::INTEGER AS y1, (turn + 20)::INTEGER AS x2, (turn + 30)::INTEGER AS y2, (turn + 0.5)::DOUBLE AS size FROM conversations"""
 )
 def hocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of OCR pages: words, box and size of each line; turns of conversations stand for paragraphs."""
@@ -152,13 +152,11 @@ def layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_C.add(
     """SELECT doc_id, left(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 35) || '...' AS preview, lang || '.' || source AS selector,
-  (n_chars * 640 // greatest(n_chars, 1000))::INTEGER AS width, (1000 * 640 // greatest(n_chars, 1000))::INTEGER AS height FROM documents"""
+  trunc(n_chars * least(640 / n_chars::DOUBLE, 640 / 1000.0::DOUBLE))::INTEGER AS width, trunc(1000 * least(640 / n_chars::DOUBLE, 640 / 1000.0::DOUBLE))::INTEGER AS height FROM documents"""
 )
 def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews of texts, selectors from a tag and classes, sizes fitted to a longest side."""
-    size = fitted(F.col("n_chars"), F.lit(1000))
-    exact = F.struct((F.col("n_chars") * 640 / F.greatest("n_chars", F.lit(1000))).cast("int").alias("width"), (F.lit(640000) / F.greatest("n_chars", F.lit(1000))).cast("int").alias("height"))
-    rows = table(spark, sf_dir, "documents").withColumn("fit", F.when(F.abs(size["width"] - exact["width"]) + F.abs(size["height"] - exact["height"]) <= 2, exact).otherwise(size))
+    rows = table(spark, sf_dir, "documents").withColumn("fit", fitted(F.col("n_chars"), F.lit(1000)))
     return rows.select("doc_id", X.preview(F.col("text")).alias("preview"), X.selector(F.col("lang"), F.col("source")).alias("selector"), "fit.width", "fit.height")
 
 

@@ -35,10 +35,8 @@ def article_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_C.add(_PIECES + "SELECT page_id, string_agg(CASE tag WHEN 'h1' THEN '# ' ELSE '' END || text || chr(10), chr(10) ORDER BY ord) AS markdown FROM blocks GROUP BY page_id")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as one Markdown text."""
-    rows = html.article_blocks(table(spark, sf_dir, "pages"))
-    rows = rows.select("page_id", "ord", F.when(F.col("tag") == "h1", "h").otherwise("p").alias("type"), "text", F.when(F.col("tag") == "h1", 1).alias("level"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("html"))
-    return markdown.assembled(rows.withColumn("content", markdown.line()), "page_id", "ord", "content")
+    """Every page's content as one Markdown text: headings, paragraphs, items, pictures and tables."""
+    return markdown.assembled(html.blocks(table(spark, sf_dir, "pages")).withColumn("content", markdown.line()), "page_id", "ord", "content")
 
 
 @_C.add(_PIECES + "SELECT page_id, ord, tag AS label, text, row_number() OVER (PARTITION BY page_id ORDER BY CASE tag WHEN 'h1' THEN 0 ELSE 1 END, ord)::INTEGER AS nth FROM blocks")
@@ -68,9 +66,8 @@ def content_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_C.add(_PIECES + "SELECT page_id, string_agg('#1->#' || ord || chr(10), '' ORDER BY ord) AS edges FROM blocks WHERE ord > 1 GROUP BY page_id")
 def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hierarchy edges of each page: every paragraph belongs to the heading above it."""
-    rows = html.article_blocks(table(spark, sf_dir, "pages")).withColumn("id", F.col("ord"))
-    hung = hierarchy.parents(rows, "page_id")
+    """Hierarchy edges of each page's content: headings by level, paragraphs, pictures and tables below them, items by indent."""
+    hung = hierarchy.tree(html.blocks(table(spark, sf_dir, "pages")).drop("level"), "page_id")
     return hierarchy.edge_text(hierarchy.edges(hierarchy.preorder(hung, "page_id"), "page_id"), "page_id")
 
 

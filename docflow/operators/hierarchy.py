@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 HEADINGS = ("h1", "h2", "h3")
@@ -88,31 +90,43 @@ def children(rows: DataFrame, page: str) -> DataFrame:
 
 
 def preorder(rows: DataFrame, page: str) -> DataFrame:
-    """Adds ``path`` (zero-padded places from the root down) and ``depth``; sorting by path is the preorder walk.
+    """Adds ``nth`` (place in the preorder walk of the page's tree, from 1) and ``depth``, from ``ord`` and ``parent_ord``.
 
-    Parents come before their children, so one fold over a page in order finds every parent's path ready; the page's rows
-    travel with it, in one shuffle. A parent that does not come before its child makes the child a root.
+    A page's rows meet in one shuffle and are walked in time that grows with their number alone, however deep the tree. A
+    parent that does not come before its child makes the child a root, so there are no cycles.
     """
-    sort = F.struct(F.col("ord").cast("int").alias("o"), F.col("parent_ord").cast("int").alias("p"), F.struct(*rows.columns).alias("row"))
-    pages = rows.groupBy(F.col(page).alias("_page")).agg(F.sort_array(F.collect_list(sort)).alias("all"))
-    pages = pages.select("all", F.transform("all", lambda e: e["o"]).alias("ords"))
-
-    def step(done: Column, e: Column) -> Column:
-        own = F.lpad(e["o"].cast("string"), 8, "0")
-        up = F.get(done, F.nullif(F.array_position(F.col("ords"), e["p"]), F.lit(0).cast("long")).cast("int") - 1)
-        path = F.coalesce(F.concat(up["path"], F.lit("/"), own), own)
-        return F.array_append(done, F.struct(path.alias("path"), F.coalesce(up["depth"] + 1, F.lit(0)).alias("depth")))
-
-    walked = F.aggregate("all", F.array().cast("array<struct<path:string,depth:int>>"), step)
-    both = pages.select(F.explode(F.arrays_zip(F.col("all"), walked.alias("walked"))).alias("e"))
-    return both.select("e.all.row.*", "e.walked.path", "e.walked.depth")
+    schema = T.StructType([*rows.schema, T.StructField("nth", T.IntegerType()), T.StructField("depth", T.IntegerType())])
+
+    def walked(table: pa.Table) -> pa.Table:
+        at = table.column("ord").to_pylist()
+        up = table.column("parent_ord").to_pylist()
+        order = sorted(range(len(at)), key=lambda i: at[i])
+        row_of: dict[int, int] = {}
+        below: list[list[int]] = [[] for _ in at]
+        roots = []
+        for i in order:
+            above = row_of.get(up[i])
+            (roots if above is None else below[above]).append(i)
+            row_of.setdefault(at[i], i)
+        nth, depth, done = [0] * len(at), [0] * len(at), 0
+        todo = roots[::-1]
+        while todo:
+            i = todo.pop()
+            done += 1
+            nth[i] = done
+            for child in reversed(below[i]):
+                depth[child] = depth[i] + 1
+                todo.append(child)
+        return table.append_column("nth", pa.array(nth, pa.int32())).append_column("depth", pa.array(depth, pa.int32()))
+
+    return rows.groupBy(page).applyInArrow(walked, schema)
 
 
 def edges(rows: DataFrame, page: str) -> DataFrame:
-    """Rows (page, ord, parent_id, child_id): the tree's edges in preorder, numbered from 1; from ``path``."""
+    """Rows (page, ord, parent_id, child_id): the tree's edges in preorder, numbered from 1; from ``nth``."""
     ids = rows.select(page, F.col("ord").alias("parent_ord"), F.col("id").alias("parent_id"))
     found = rows.where("parent_ord is not null").join(ids, [page, "parent_ord"])
-    return found.select(page, F.row_number().over(Window.partitionBy(page).orderBy("path")).alias("ord"), "parent_id", F.col("id").alias("child_id"))
+    return found.select(page, F.row_number().over(Window.partitionBy(page).orderBy("nth")).alias("ord"), "parent_id", F.col("id").alias("child_id"))
 
 
 def edge_text(found: DataFrame, page: str) -> DataFrame:

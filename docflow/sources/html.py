@@ -6,7 +6,9 @@ parser of the standard library, in Arrow batches: a page is one row, so no group
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Container, Iterable, Iterator, Sequence
+from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import heading_level
+
 #: Collected tags in the order in which they are numbered, and tags without an end.
 TAGS = ("h1", "h2", "h3", "table", "li", "img", "p")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -22,66 +26,82 @@ _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer f
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-class Node:
-    """An element with its attributes, its place in the document, and the text below it."""
+#: Tags one of which ends an open one of them.
+_HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+#: Text of found elements in one batch of rows, in characters.
+_BATCH = 1 << 22
 
-    __slots__ = ("attrs", "nth", "parent", "tag", "words")
 
-    def __init__(self, tag: str, attrs: dict, parent: Node | None, nth: int) -> None:
-        self.tag, self.attrs, self.parent, self.nth, self.words = tag, attrs, parent, nth, []
+class Node:
+    """An element with its attributes, its place in the document, and where its text begins and ends in the page's."""
 
-    def within(self, tag: str) -> bool:
-        node = self.parent
-        while node is not None and node.tag != tag:
-            node = node.parent
-        return node is not None
+    __slots__ = ("attrs", "first", "nth", "parent", "stop", "tag")
 
-    def text(self) -> str:
-        return " ".join("".join(self.words).split())
+    def __init__(self, tag: str, attrs: dict, parent: Node | None, nth: int, first: int) -> None:
+        self.tag, self.attrs, self.parent, self.nth, self.first, self.stop = tag, attrs, parent, nth, first, first
 
 
 class Tree(HTMLParser):
-    """All elements in document order; open paragraphs, items, rows and cells are closed where the standard says so."""
+    """All elements in document order; open headings, paragraphs, items, rows and cells are closed where the standard says so.
+
+    Texts are kept once for the page, so the work grows with the page and not with how deep its elements lie.
+    """
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[Node] = []
         self.open: list[Node] = []
+        self.words: list[str] = []
+        self._open: Counter = Counter()
         self.feed(html)
         self.close()
+        self._cut(0)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _CLOSES_P:
             self._shut({"p"}, {"article", "td", "th", "li", "div", "section", "main", "body"})
+        if tag in _HEADINGS and self.open and self.open[-1].tag in _HEADINGS:
+            self._cut(len(self.open) - 1)
         if tag in _SIBLINGS:
             self._shut(*_SIBLINGS[tag])
         if tag == "br":
-            self._say(" ")
-        node = Node(tag, dict(attrs), self.open[-1] if self.open else None, len(self.nodes))
+            self.words.append(" ")
+        node = Node(tag, dict(attrs), self.open[-1] if self.open else None, len(self.nodes), len(self.words))
         self.nodes.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self._open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        if self._open[tag]:
+            self._cut(next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag == tag))
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1].tag in _SILENT):
-            self._say(data)
-
-    def _say(self, data: str) -> None:
-        for node in self.open:
-            node.words.append(data)
+            self.words.append(data)
+
+    def text(self, node: Node, without: Iterable[Node] = ()) -> str:
+        """Text below an element on one line, without that of some elements below it (in document order, none in another)."""
+        parts, at = [], node.first
+        for inner in without:
+            parts += [*self.words[at : inner.first], " "]
+            at = inner.stop
+        return " ".join("".join([*parts, *self.words[at : node.stop]]).split())
+
+    def _cut(self, i: int) -> None:
+        for node in self.open[i:]:
+            node.stop = len(self.words)
+            self._open[node.tag] -= 1
+        del self.open[i:]
 
     def _shut(self, tags: set[str], walls: set[str]) -> None:
+        if not any(self._open[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i].tag in walls:
                 return
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return
 
 
@@ -94,7 +114,7 @@ def content(tree: Tree) -> Node | None:
     weight: dict[int, int] = {}
     for node in tree.nodes:
         if node.tag == "p" and node.parent is not None:
-            weight[node.parent.nth] = weight.get(node.parent.nth, 0) + len(node.text())
+            weight[node.parent.nth] = weight.get(node.parent.nth, 0) + len(tree.text(node))
     return tree.nodes[max(weight, key=lambda n: (weight[n], -n))] if weight else None
 
 
@@ -110,37 +130,98 @@ def _numbers(node: Node) -> list[float | None]:
     return [number(f"data-{n}") for n in "xywh"]
 
 
-def _parsed(pages: DataFrame, page: str, html: str, rows_of: Callable[[str], list[tuple]], schema: str, types: Sequence[pa.DataType]) -> DataFrame:
+def _parsed(pages: DataFrame, page: str, html: str, rows_of: Callable[[str], Iterable[tuple]], schema: str, types: Sequence[pa.DataType]) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(k, *row) for k, h in zip(b.column("page").to_pylist(), b.column("html").to_pylist(), strict=True) if h for row in rows_of(h)]
+        def made(found: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*found, strict=True)) if found else [()] * (len(types) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *types), strict=True)], names=[page, *names])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *types), strict=True)], names=[page, *names])
+
+        for b in batches:
+            found, size = [], 0
+            for k, h in zip(b.column("page"), b.column("html"), strict=True):
+                for row in rows_of(h.as_py()) if h.is_valid else ():
+                    found.append((k.as_py(), *row))
+                    size += 64 + sum(len(x) for x in row if isinstance(x, str))
+                    if size > _BATCH:
+                        yield made(found)
+                        found, size = [], 0
+            yield made(found)
 
     return pages.select(F.col(page).cast("long").alias("page"), F.col(html).cast("string").alias("html")).mapInArrow(run, f"`{page}` long, {schema}")
 
 
+def _below(tree: Tree, tags: Container[str]) -> tuple[dict[int, Node], dict[int, list[Node]]]:
+    """By place: the nearest element of the tags around each element, and the nearest ones within each, in order."""
+    above: dict[int, Node] = {}
+    below: dict[int, list[Node]] = {}
+    for node in tree.nodes:
+        if node.parent is not None:
+            near = node.parent if node.parent.tag in tags else above.get(node.parent.nth)
+            if near is not None:
+                above[node.nth] = near
+                if node.tag in tags:
+                    below.setdefault(near.nth, []).append(node)
+    return above, below
+
+
+def _table(tree: Tree, rows: list[Node]) -> str:
+    """A table's rows and cells (tr, td and th nodes in order) as plain markup."""
+    out: list[str] = []
+    for node in rows:
+        if node.tag == "tr":
+            out.append("</tr><tr>" if out else "<tr>")
+        else:
+            out.append(f"{'' if out else '<tr>'}<{node.tag}>{escape(tree.text(node), quote=False)}</{node.tag}>")
+    return f"<table>{''.join(out)}{'</tr>' if out else ''}</table>"
+
+
 def elements(pages: DataFrame, page: str = "page_id", html: str = "html", tags: Sequence[str] = TAGS) -> DataFrame:
-    """Rows (page, id, label, dom_ord, in_content, x, y, w, h, text): all elements of the tags, numbered by tag, then place.
+    """Rows (page, id, label, dom_ord, in_content, x, y, w, h, text, own, owner, nesting, src, html): all elements of the tags.
 
-    Ids are given before any filter, so they stay sparse under one. Null and empty pages have no elements.
+    They are numbered by tag, then place; ids are given before any filter, so they stay sparse under one. ``text`` is all
+    text below the element, ``own`` that without what lies in other elements of the tags, ``owner`` the tag of the nearest
+    of them around it, ``nesting`` the number of lists around it, ``src`` a picture's address, ``html`` a table's rows and
+    cells as plain markup. Null and empty pages have no elements.
     """
+    rank = {t: i for i, t in enumerate(tags)}
 
-    def rows_of(markup: str) -> list[tuple]:
+    def rows_of(markup: str) -> Iterator[tuple]:
         tree = Tree(markup)
         top = content(tree)
-        inner = set()
+        inner: set[int] = set()
+        lists: dict[int, int] = {}
+        rows: dict[int, list[Node]] = {}
         for node in tree.nodes:
             if top is not None and (node is top or (node.parent is not None and node.parent.nth in inner)):
                 inner.add(node.nth)
-        rank = {t: i for i, t in enumerate(tags)}
+            lists[node.nth] = (lists[node.parent.nth] + (node.parent.tag in ("ul", "ol"))) if node.parent is not None else 0
+        above, below = _below(tree, rank)
+        tables, _ = _below(tree, ("table",))
+        for node in tree.nodes:
+            if node.tag in ("tr", "td", "th") and node.nth in tables:
+                rows.setdefault(tables[node.nth].nth, []).append(node)
         picked = sorted((n for n in tree.nodes if n.tag in rank), key=lambda n: (rank[n.tag], n.nth))
-        return [(i, n.tag, n.nth, n.nth in inner, *_numbers(n), n.text()) for i, n in enumerate(picked, 1)]
+        for i, n in enumerate(picked, 1):
+            owner = above.get(n.nth)
+            yield i, n.tag, n.nth, n.nth in inner, *_numbers(n), tree.text(n), tree.text(n, below.get(n.nth, ())), owner and owner.tag, lists[n.nth], n.attrs.get("src") if n.tag == "img" else None, _table(tree, rows.get(n.nth, [])) if n.tag == "table" else None
+
+    types = (pa.int32(), pa.string(), pa.int32(), pa.bool_(), *[pa.float64()] * 4, pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+    return _parsed(pages, page, html, rows_of, "id int, label string, dom_ord int, in_content boolean, x double, y double, w double, h double, text string, own string, owner string, nesting int, src string, html string", types)
+
 
-    types = (pa.int32(), pa.string(), pa.int32(), pa.bool_(), *[pa.float64()] * 4, pa.string())
-    return _parsed(pages, page, html, rows_of, "id int, label string, dom_ord int, in_content boolean, x double, y double, w double, h double, text string", types)
+def blocks(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
+    """Rows (page, id, ord, type, tag, level, text, left, src, html): what a page's content says, in reading order.
+
+    Headings, paragraphs, items, pictures and tables of the content element; what lies in a table is the table's, and each
+    text is said once, by the innermost of them. ``left`` is the captured place or else follows from the nesting of lists.
+    """
+    rows = elements(pages, page, html).where("in_content and not coalesce(owner = 'table', false)")
+    rows = rows.where("label in ('img', 'table') or own <> '' or label in ('h1', 'h2', 'h3')")
+    tag = F.col("label")
+    kind = F.when(tag.isin("h1", "h2", "h3"), "h").otherwise(tag)
+    return reading_order(rows, page).select(page, F.col("ord").alias("id"), "ord", kind.alias("type"), tag.alias("tag"), F.when(kind == "h", heading_level(tag)).alias("level"), F.col("own").alias("text"), F.coalesce("x", F.col("nesting") * 40.0).alias("left"), "src", "html")
 
 
 def cells(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
@@ -159,7 +240,7 @@ def cells(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFr
             x0, y0, _, _ = _numbers(table)
             for i, n in enumerate((n for n in tree.nodes if n.tag == "td" and table in below[n.nth]), 1):
                 x, y, w, h = _numbers(n)
-                out.append((k, i, "td", None if x is None or x0 is None else x - x0, None if y is None or y0 is None else y - y0, w, h, n.text()))
+                out.append((k, i, "td", None if x is None or x0 is None else x - x0, None if y is None or y0 is None else y - y0, w, h, tree.text(n)))
         return out
 
     types = (pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 4, pa.string())

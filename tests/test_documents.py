@@ -3,12 +3,13 @@
 import io
 import math
 import re
+import time
 import zipfile
 
 import numpy as np
 import pytest
 
-from docflow.catalog import documents
+from docflow.catalog import documents, web
 from docflow.functions import pixels
 from docflow.functions import text as X
 from docflow.plans import markdown
@@ -59,6 +60,33 @@ def test_tolerant_html(spark):
     assert [r["selector"] for r in html.selectors(df).collect()] == ["main.a.b"]
 
 
+def test_unclosed_tags_take_linear_time():
+    for tag in ("b", "h1", "p", "div"):
+        begun = time.perf_counter()
+        page = html.Tree("".join(f"<{tag}>x </i>" for _ in range(8_000)))
+        assert len(page.nodes) == 8_000 and len(page.words) == 8_000
+        assert time.perf_counter() - begun < 3
+    # a heading ends an open heading, so texts don't pile up
+    tree = html.Tree("<h1>a<h2>b")
+    assert [tree.text(n) for n in tree.nodes] == ["a", "b"]
+
+
+def test_blocks_of_general_pages(spark, tmp_path):
+    page = "<main><h1>T</h1><p>one</p><ul><li>a<ul><li>b<p>c</p></ul><li>d</ul><img src='i.png'><h2>U</h2><table><tr><th>x<td><p>y &lt;</p></table><h3></h3><p> </p></main><p>out</p>"
+    df = spark.createDataFrame([(1, page), (2, "<body><p>only</p>"), (3, None), (4, "no tags")], "page_id long, html string")
+    got = [(r["page_id"], r["tag"], r["text"], r["left"], r["src"], r["html"]) for r in html.blocks(df).orderBy("page_id", "ord").collect()]
+    table = "<table><tr><th>x</th><td>y &lt;</td></tr></table>"
+    assert got == [
+        (1, "h1", "T", 0.0, None, None), (1, "p", "one", 0.0, None, None), (1, "li", "a", 40.0, None, None), (1, "li", "b", 80.0, None, None), (1, "p", "c", 80.0, None, None), (1, "li", "d", 40.0, None, None),
+        (1, "img", "", 0.0, "i.png", None), (1, "h2", "U", 0.0, None, None), (1, "table", "x", 0.0, None, table), (1, "h3", "", 0.0, None, None), (2, "p", "only", 0.0, None, None),
+    ]
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    text = {r["page_id"]: r["markdown"] for r in web.page_markdown(spark, str(tmp_path)).collect()}
+    assert text == {1: f"# T\n\none\n\n- a\n\n- b\n\nc\n\n- d\n\n![Image](i.png)\n\n## U\n\n{table}\n\n### \n", 2: "only\n"}
+    found = {r["page_id"]: r["edges"] for r in web.page_edges(spark, str(tmp_path)).collect()}
+    assert found == {1: "#1->#2\n#2->#3\n#3->#4\n#1->#5\n#5->#6\n#5->#7\n#1->#8\n#8->#9\n#8->#10\n"}
+
+
 def test_article_fallback_is_the_element_with_most_text(spark):
     df = spark.createDataFrame([(1, "<div><p>x</p></div><section class=s><p>long text</p></section>")], "page_id long, html string")
     assert html.selectors(df).first()["selector"] == "section.s"

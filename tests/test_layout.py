@@ -48,6 +48,21 @@ def _iou(a, b):
     return x * y / union if union > 0 else 0
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.05, 0.3, 0.5, 0.95, 1.0])
+@pytest.mark.parametrize("compat", [False, True])
+def test_overlapping_pairs_equal_brute_force(spark, threshold, compat):
+    rng = random.Random(8)
+    rows = [(p, i, tuple(rng.choice([rng.randint(0, 12), rng.uniform(0, 12)]) for _ in range(4))) for p in range(5) for i in range(40)]
+    rows += [(9, i, (5.0, 5.0, 4.0, 4.0)) for i in range(3)] + [(9, 7, None), (None, 8, (5.0, 5.0, 4.0, 4.0)), (9, 8, (5.0, 5.0, 0.0, 4.0))]
+    boxes = spark.createDataFrame([(p, i, None if b is None else tuple(map(float, b))) for p, i, b in rows], "page int, id int, bbox struct<xc:double,yc:double,w:double,h:double>")
+    moved = (lambda b: (b[0] + b[2] / 2, b[1] + b[3] / 2, b[2], b[3])) if compat else lambda b: b
+    want = {(p, i, j): _iou(moved(a), moved(b)) for p, i, a in rows for q, j, b in rows if p == q and p is not None and a and b and i < j}
+    got = {(r["page"], r["a"], r["b"]): r["iou"] for r in overlap.overlapping_pairs(boxes, "page", threshold, compat).collect()}
+    assert got.keys() == {k for k, v in want.items() if v >= threshold} or all(abs(want[k] - threshold) < 1e-9 for k in got.keys() ^ {k for k, v in want.items() if v >= threshold})
+    assert all(abs(want[k] - v) < 1e-9 for k, v in got.items())
+    assert overlap.overlapping_pairs(boxes.limit(0), "page", threshold, compat).count() == 0
+
+
 def test_suppression_equals_a_pop_loop(spark):
     rng = random.Random(5)
     rows = [(p, i, rng.choice(TAGS), (float(rng.randint(0, 9)), float(rng.randint(0, 9)), float(rng.randint(0, 12)), float(rng.randint(1, 12)))) for p in range(12) for i in range(20)]
