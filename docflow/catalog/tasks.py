@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import registry
+from ..storage import fresh_dir
 from ..streaming import tasks
 from .base import Catalog, table
 
@@ -45,8 +44,7 @@ def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream: all events are read once, and the last complete result is the answer."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    out = f"{base.rstrip('/')}/status-{uuid.uuid4().hex}"
+    out = fresh_dir(spark, "status")
 
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/result")
