@@ -17,27 +17,27 @@ _TURNS = "array<struct<role:string,text:string>>"
 def conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """Rows (key, turns): the turns of each conversation in order (equal numbers: by role, then text), repeats included.
 
-    Null turn numbers come first; null roles and texts are empty.
+    Null turn numbers come first; null roles and texts are empty. Rows without a key are conversations of one turn each,
+    so they never meet in one group. A conversation becomes one text and so is one group, whatever its length.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = turns.select(F.col(key).cast("long").alias(key), turn.alias("t")).groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = turns.select(F.col(key).cast("long").alias(key), turn.alias("t"), F.when(F.col(key).isNull(), F.monotonically_increasing_id()).alias("_lone")).groupBy(key, "_lone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     return rows.select(key, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def stale_pairs(convs: DataFrame, key: str = "conv_id") -> DataFrame:
     """Rows (key, chosen, rejected) made of single conversations.
 
-    Chosen: the turns up to the last answer. Rejected: the same, but its last answer is the conversation's first answer
-    again, or an empty one where they are equal. A conversation without an answer has two empty sides.
+    Chosen: the whole conversation. Rejected: the same, but its last answer is the conversation's first answer again, or an
+    empty one where they are equal. Without an answer both sides are the conversation.
     """
     at = F.array_max(F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda x: x.isNotNull()))
-    rows = convs.select(F.col(key), "turns", F.coalesce(at, F.lit(0)).alias("n"))
-    rows = rows.select(key, F.slice("turns", 1, F.col("n")).alias("chosen"))
+    rows = convs.select(F.col(key), F.col("turns").alias("chosen"), at.alias("n"))
     first = F.get(F.filter("chosen", lambda t: t["role"] == "assistant"), F.lit(0))["text"]
-    last = F.get(F.col("chosen"), F.size("chosen") - 1)["text"]
+    last = F.get(F.col("chosen"), F.col("n") - 1)["text"]
     stale = F.struct(F.lit("assistant").alias("role"), F.when(first == last, F.lit("")).otherwise(first).alias("text"))
-    cut = F.slice("chosen", 1, F.greatest(F.size("chosen") - 1, F.lit(0)))
-    return rows.select(key, "chosen", F.when(F.size("chosen") > 0, F.concat(cut, F.array(stale))).otherwise(F.col("chosen")).cast(_TURNS).alias("rejected"))
+    changed = F.concat(F.slice("chosen", 1, F.col("n") - 1), F.array(stale), F.slice("chosen", F.col("n") + 1, F.size("chosen")))
+    return rows.select(key, "chosen", F.when(F.col("n").isNotNull(), changed).otherwise(F.col("chosen")).cast(_TURNS).alias("rejected"))
 
 
 def _rendered(turns: Column) -> Column:

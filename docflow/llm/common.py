@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import inspect
-import re
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_dir
+
 #: The word separators of every word-based operator, and the word pattern they leave.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,20 +54,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` where it is set; otherwise a folder in the warehouse. On a cluster that folder must not be on a
-    local disk, where executors would each write their own; that is refused.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        if base.startswith(("file:", "/")) and not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return base.rstrip("/")
-
-
 #: Folders of tables that ``scratch`` blocks, from the outermost in, will delete.
 _SCRATCH: list[list[str]] = []
 
@@ -79,7 +65,7 @@ def written(df: DataFrame, what: str, kept: bool = False) -> DataFrame:
     result may read it; it belongs to whoever cleans the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, what)
     if _SCRATCH and not kept:
         _SCRATCH[-1].append(path)
     df.write.parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import chat, decontamination, langid, quality, simhash, substring_dedup, token_count, toxicity
 from .common import table
 from .sentencepiece_bpe import encode
-from .url_filter import BLOCK_GLOBS, HOST_RULES, filter_urls
+from .url_filter import BLOCK_GLOBS, HOST_RULES, UNRESERVED, filter_urls
 
 
 def tokenizer(name: str) -> str:
@@ -20,47 +20,56 @@ def tokenizer(name: str) -> str:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the production rules on every page's URL."""
     return filter_urls(table(spark, sf_dir, "pages")).drop("glob")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each benchmark item that one of its passages is within the edit budget of."""
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words without those that a 20-word window repeats; a digest of what is kept."""
     found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
     words = F.array_remove(F.split(F.coalesce("kept", F.lit("")), r"[\x20\x09-\x0D]+"), "")
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of a quarter of the ids are held out and teach nothing."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~_held_out(4, 2)))
     return toxicity.score(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document, against the trusted documents and the whole corpus."""
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.log_ratios(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted from flat token files."""
     import public_tokenizers
 
     return token_count.document_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's token ids, digest of the text they decode to."""
     return encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with a stale last answer: prompt, completions, scored spans."""
     pairs = chat.stale_pairs(chat.conversations(table(spark, sf_dir, "conversations")))
     spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",") for c in ("chosen_scored", "rejected_scored")}
     return chat.preferences(pairs).withColumns(spans)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
@@ -70,6 +79,7 @@ def _held_out(modulus: int, remainder: int) -> Column:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; those of a third of the ids are held out and teach nothing."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~_held_out(3, 1)))
     return langid.identify(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
@@ -86,40 +96,47 @@ def _op1_sql() -> str:
     ranked = sorted(HOST_RULES, key=lambda r: -len(r[1]))
     rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ranked)
     verdict = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in ranked)
-    globs = " OR ".join(rf"'.' || host || path LIKE '{like(g)}' ESCAPE '\'" for g in BLOCK_GLOBS)
+    globs = " OR ".join(rf"whole LIKE '{like(g)}' ESCAPE '\'" for g in BLOCK_GLOBS)
+    plain = "path"
+    for c in UNRESERVED:
+        for code in sorted({f"%{ord(c):02x}", f"%{ord(c):02X}"}):
+            plain = f"replace({plain}, '{code}', '{c}')"
     return rf"""
 WITH parts AS (
   SELECT page_id,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
   FROM pages),
-ruled AS (SELECT *, CASE {rule} END AS rule FROM parts)
+ruled AS (
+  SELECT *, CASE {rule} END AS rule,
+         '.' || rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') || {plain} AS whole FROM parts)
 SELECT page_id, host, path, rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
 
 
 _OP8_SQL = """
 WITH said AS (
-  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
-  FROM conversations),
+  SELECT conv_id, lone, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM conversations)),
 marked AS (
-  SELECT *, max(i) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS z,
-         min(i) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS a
+  SELECT *, max(i) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id, lone) AS z,
+         min(i) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id, lone) AS a,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS turn
   FROM said),
 heads AS (
-  SELECT conv_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY i) FILTER (WHERE i < z), '') AS prompt,
-         max(text) FILTER (WHERE i = z) AS good, max(text) FILTER (WHERE i = a) AS stale, max(z) AS z
-  FROM marked GROUP BY conv_id),
+  SELECT conv_id, count(*) AS m, max(z) AS z, string_agg(turn, '' ORDER BY i) AS whole,
+         coalesce(string_agg(turn, '' ORDER BY i) FILTER (WHERE i < z), '') AS head, coalesce(string_agg(turn, '' ORDER BY i) FILTER (WHERE i > z), '') AS tail,
+         max(text) FILTER (WHERE i = z) AS good, max(text) FILTER (WHERE i = a) AS stale
+  FROM marked GROUP BY conv_id, lone),
 sides AS (SELECT *, CASE WHEN good = stale THEN '' ELSE stale END AS bad FROM heads),
--- an empty last answer that is also the first one leaves both sides equal: all of it is prompt
-judged AS (SELECT *, z IS NOT NULL AND good <> bad AS split FROM sides),
-turns AS (SELECT *, '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) AS g, '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) AS b FROM judged)
-SELECT conv_id, CASE WHEN z IS NULL THEN 0 WHEN split THEN z - 1 ELSE z END::BIGINT AS n_prompt_turns,
-       CASE WHEN z IS NULL OR split THEN prompt ELSE prompt || g END AS prompt,
-       CASE WHEN split THEN g ELSE '' END AS chosen, CASE WHEN split THEN b ELSE '' END AS rejected,
+-- an empty last answer that is also the first one leaves both sides equal: all of it is prompt, as without an answer
+judged AS (SELECT *, z IS NOT NULL AND good <> bad AS split FROM sides)
+SELECT conv_id, CASE WHEN split THEN z - 1 ELSE m END::BIGINT AS n_prompt_turns, CASE WHEN split THEN head ELSE whole END AS prompt,
+       CASE WHEN split THEN '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) || tail ELSE '' END AS chosen,
+       CASE WHEN split THEN '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) || tail ELSE '' END AS rejected,
        CASE WHEN split THEN '14:' || (length(good) + 8) ELSE '' END AS chosen_scored,
        CASE WHEN split THEN '14:' || (length(bad) + 8) ELSE '' END AS rejected_scored
-FROM turns"""
+FROM judged"""
 
 _OP3_SQL = r"""
 WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -6,6 +6,7 @@ All rules are packed into the bits of a few 64-bit words (multiword Shift-And).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -26,13 +27,13 @@ HOST_RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Globs over host and path that block a URL no host rule decides; ``*`` stands for any bytes, ``?`` for one.
+#: Globs over canonical host and path that block a URL no host rule decides; ``*`` is any text, ``?`` one character.
 BLOCK_GLOBS = ("*cheap-pills*", "*spam-farm*", "*casino*", "*/login*", "*/cart/*", "*.exe", "*.zip", "*/wp-admin/*", "*//*")
 
 
 @dataclass(frozen=True)
 class Automaton:
-    """Packed rules: per byte the states that may advance, the states with a self-loop, start and accept states."""
+    """Packed rules: per byte the states that may advance and those that may stay; start and accept states."""
 
     advance: np.ndarray
     loop: np.ndarray
@@ -43,18 +44,21 @@ class Automaton:
     def of(globs: Sequence[bytes]) -> Automaton:
         sizes = [sum(c != 0x2A for c in g) + 1 for g in globs]
         words = max(1, -(-sum(sizes) // 64))
-        advance = np.zeros((256, words), dtype=np.uint64)
-        loop, start = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
+        advance, loop = np.zeros((256, words), dtype=np.uint64), np.zeros((256, words), dtype=np.uint64)
+        start = np.zeros(words, np.uint64)
         accept, at = [], 0
         for glob in globs:
             start[at >> 6] |= np.uint64(1 << (at & 63))
             for c in glob:
                 bit = np.uint64(1 << (at & 63))
                 if c == 0x2A:
-                    loop[at >> 6] |= bit
+                    loop[:, at >> 6] |= bit
                     continue
                 if c == 0x3F:
-                    advance[:, at >> 6] |= bit
+                    # the first byte of a character advances, the bytes that continue it stay
+                    advance[:0x80, at >> 6] |= bit
+                    advance[0xC0:, at >> 6] |= bit
+                    loop[0x80:0xC0, at + 1 >> 6] |= np.uint64(1 << (at + 1 & 63))
                 else:
                     advance[c, at >> 6] |= bit
                 at += 1
@@ -73,10 +77,11 @@ class Automaton:
         carry = np.uint64(63)
         for i, live in enumerate(left.tolist()):
             now = state[:live]
-            moved = now & self.advance[raw[first[:live] + i]]
+            byte = raw[first[:live] + i]
+            moved = now & self.advance[byte]
             after = moved << np.uint64(1)
             after[:, 1:] |= moved[:, :-1] >> carry
-            now &= self.loop
+            now &= self.loop[byte]
             now |= after
         out = np.zeros((n, len(self.accept)), dtype=bool)
         for k, (word, bit) in enumerate(self.accept):
@@ -84,6 +89,23 @@ class Automaton:
         return out
 
 
+def canonical(host: bytes, path: bytes) -> tuple[bytes, bytes]:
+    """Host without user info, port and final dots; path with the escapes of unreserved characters undone."""
+    if b"@" in host or b":" in host or host.endswith(b"."):
+        host = _PORT.sub(b"", host.rpartition(b"@")[2]).rstrip(b".")
+    return host, _ESCAPE.sub(_unescaped, path) if b"%" in path else path
+
+
+_PORT, _ESCAPE = re.compile(rb":[0-9]*\Z"), re.compile(rb"%([0-9A-Fa-f]{2})")
+#: The characters that an address never needs to escape.
+UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+
+
+def _unescaped(m: re.Match) -> bytes:
+    c = bytes.fromhex(m[1].decode())
+    return c if c in UNRESERVED.encode() else m[0]
+
+
 def _host_glob(rule: str) -> bytes:
     host, slash, path = rule.partition("/")
     return b"*." + host.encode() + _BORDER + (slash + path).encode() + b"*"
@@ -93,22 +115,20 @@ def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", host_r
     """Verdict on every URL: rows (key, host, path, rule, verdict, glob).
 
     A host rule fits its host and all subdomains when the path starts with the rule's; the longest wins (ties: the
-    first). Without one, the first glob that matches ``.host`` + path blocks, else the URL is allowed.
-    Null URLs and those without ``://`` have empty host and path, and fall to the globs. Repeated keys and rows each
+    first). They see host and path as the URL has them. Without one, the first glob that matches ``.host`` + path in
+    canonical form blocks, else the URL is allowed. Null URLs and those without ``://`` have empty host and path, and fall to the globs. Repeated keys and rows each
     keep their own row; other columns are left out, whatever their names; an empty table gives no rows.
     """
     ranked = sorted(host_rules, key=lambda r: -len(r[1]))
     globs = [b"*" + g.encode() if not g.startswith("*") else g.encode() for g in block_globs]
-    automaton = Automaton.of([_host_glob(r) for _, r in ranked] + [g.replace(b"?", b"?") for g in globs])
-    names, verdicts, n_host = [r for _, r in ranked], [v for v, _ in ranked], len(ranked)
+    automata = Automaton.of([_host_glob(r) for _, r in ranked]), Automaton.of(globs)
+    names, verdicts = [r for _, r in ranked], [v for v, _ in ranked]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, paths = b.column("host").cast(pa.binary()), b.column("path").cast(pa.binary())
-            whole = pa.array([b"." + h + _BORDER + p for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)], pa.binary())
-            hit = automaton.scan(*string_buffers(whole))
-            host_hit, glob_hit = hit[:, :n_host], hit[:, n_host:]
-            rule = np.where(host_hit.any(1), host_hit.argmax(1), -1).tolist() if n_host else [-1] * b.num_rows
+            parts = list(zip(*(b.column(c).cast(pa.binary()).to_pylist() for c in ("host", "path")), strict=True))
+            host_hit, glob_hit = (a.scan(*string_buffers(pa.array([b"." + h + _BORDER + p for h, p in x], pa.binary()))) for a, x in zip(automata, (parts, [canonical(*x) for x in parts]), strict=True))
+            rule = np.where(host_hit.any(1), host_hit.argmax(1), -1).tolist() if names else [-1] * b.num_rows
             glob = np.where(glob_hit.any(1), glob_hit.argmax(1), -1).tolist() if globs else [-1] * b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [

@@ -24,6 +24,21 @@ def test_automaton_equals_globs():
     assert got.tolist() == want
 
 
+def test_a_question_mark_is_one_character():
+    globs = ["?", "a?b", "??", "*é?", "?*?x"]
+    texts = ["é", "aéb", "a漢b", "ab", "漢🙂", "🙂", "xé🙂", "é🙂🙂", "漢x", "a🙂x", "🙂ééx"]
+    got = Automaton.of([g.encode() for g in globs]).scan(*string_buffers(pa.array(texts)))
+    assert got.tolist() == [[re.fullmatch(translate(g), t) is not None for g in globs] for t in texts]
+
+
+def test_globs_see_the_canonical_address(spark):
+    urls = [("http://a.org/%6Cogin", "block"), ("http://a.org/%6cogin?x", "block"), ("http://a.org/%2Flogin", "allow"), ("http://user@cheap-pills.org:80/", "block"), ("http://x.org/%%341", "allow"), ("http://x.org./a.exe", "block"), ("http://x.org:8080", "allow"), ("http://é.org/%C3%A9%", "allow")]
+    got = filter_urls(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == [v for _, v in urls]
+    # the columns and the host rules keep to the address as it is
+    assert (got[0]["path"], got[3]["host"]) == ("/%6Cogin", "user@cheap-pills.org:80")
+
+
 def test_url_rules(spark):
     urls = [
         (1, "https://a.com/x?y#z", "a.com", "/x", "com/", "allow"),
@@ -148,6 +163,130 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, silent).collect()} == {0.5}
 
 
+def test_toxicity_equals_plain_python(spark):
+    """Lexicon, features and score of a fitted model worked out again word by word, with edit distances to all terms."""
+    rng = random.Random(12)
+    plain = ["river", "stone", "said", "you", "green", "under", "house", "seven", "light", '"quiet', 'word"', "your!"]
+    bad = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([4, 6, 9, 12]))) for _ in range(120)]
+
+    def text(toxic):
+        w = [rng.choice(plain) for _ in range(rng.randint(60, 120))]
+        for _ in range(rng.randint(20, 34) * toxic):
+            x = list(rng.choice(bad))
+            if rng.random() < 0.2:
+                x[rng.randrange(len(x))] = rng.choice("zyx0")
+            w[rng.randrange(len(w))] = "".join(x) + rng.choice(["", "!", ",", '"'])
+        return " ".join(w)
+
+    rows = [(i, text(i % 3 == 0)) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(500)], "doc_id long, toxic int")
+    model = toxicity.fit(documents(spark, rows), labels)
+    terms = model.lexicon.terms
+    assert len(terms) > 80
+    n1 = sum(i % 3 == 0 for i in range(500))
+    n0, base = 500 - n1, (n1 + 0.5) / 501
+    seen = {w: [0, 0] for i, t in rows[:500] for w in map(toxicity.folded, words(t))}
+    for i, t in rows[:500]:
+        for w in {toxicity.folded(x) for x in words(t)}:
+            seen[w][i % 3 == 0] += 1
+    want = {}
+    for w, (c, x) in seen.items():
+        if len(w) > 2 and x:
+            odds = math.log((x + 0.25) / (n1 + 0.5)) - math.log((c + 0.25) / (n0 + 0.5))
+            if odds >= toxicity.LOG_ODDS and x * math.log(x / ((x + c) * base)) + c * math.log(max(c, 1) / ((x + c) * (1 - base))) >= toxicity.EVIDENCE:
+                want[w] = odds
+    assert set(terms) == set(want) and all(abs(terms[w][0] - want[w]) < 1e-9 for w in want)
+
+    def hit(word):
+        w = toxicity.folded(word)
+        if w in terms:
+            return terms[w][0], 0
+        near = []
+        for t in terms:
+            if abs(len(t) - len(w)) <= toxicity.edits(t) and (k := _edit(w, t)) <= toxicity.edits(t):
+                near.append((k, -terms[t][1] * (0.8 if k == 2 else 1.0), t))
+        return (-min(near)[1], min(near)[0]) if near and w else None
+
+    known = {}
+
+    def score(t):
+        ws = words(t)
+        hits = [(i, *known[w]) for i, w in enumerate(ws) if known.setdefault(w, hit(w))]
+        x = [0.0] * 7
+        if hits:
+            total, best, q, a, f = 0.0, 0.0, 0, 0, 0
+            for i, weight, k in hits:
+                near = ws[max(0, i - 8) : i + 9]
+                low = {re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) for w in near}
+                mark = lambda part: any(c in w for w in part for c in toxicity.QUOTES)
+                quoted = (mark(ws[max(0, i - 8) : i + 1]) and mark(ws[i : i + 9])) or bool(low & toxicity.REPORT)
+                addressed = bool(low & toxicity.ADDRESS) or "!" in ws[i]
+                weight *= (1 / 3 if quoted else 1) * (1.5 if addressed else 1)
+                total, best, q, a, f = total + weight, max(best, weight), q + quoted, a + addressed, f + (k > 0)
+            n = len(hits)
+            x = [1.0, math.log1p(total), best, math.log1p(100 * total / len(ws)), q / n, a / n, f / n]
+        z = sum(float(w) * v for w, v in zip(model.weights, [*x, 1.0], strict=True))
+        return 1 / (1 + math.exp(-z))
+
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(documents(spark, rows), model).collect()}
+    for i, t in rows:
+        s = score(t)
+        assert abs(got[i][0] - s) < 1e-9 and got[i][1] == int(s >= toxicity.THRESHOLD)
+    # long texts, repeated rows, rows without a key
+    odd = [(1, " ".join([rows[0][1]] * 400)), (1, " ".join([rows[0][1]] * 400)), (None, rows[0][1]), (2, None)]
+    assert sorted(round(r["score"], 9) for r in toxicity.score(documents(spark, odd), model).collect()) == sorted(round(score(t or ""), 9) for _, t in odd)
+
+
+def test_one_text_of_each_key_teaches(spark):
+    rows = [(i, f"plain words {i}") for i in range(50)] + [(7, "plain again")] * 200
+    labels = spark.createDataFrame([(i, int(i == 7)) for i in range(50)], "doc_id long, toxic int")
+    once = toxicity.fit(documents(spark, rows), labels)
+    assert once.weights.tolist() == toxicity.fit(documents(spark, rows[:51]), labels).weights.tolist()
+
+
+def test_languages_equal_plain_python(spark):
+    """Counts, prior and posterior of every n-gram of letters, by dictionary."""
+    rng = random.Random(21)
+    kinds = {"aa": ["talo", "Järvi", "metsä", "kuu"], "bb": ["house", "lake", "wood", "moon"], "cc": ["漢字", "かな", "語"]}
+    rows = [(i, " ".join(rng.choice(kinds[k] + ["12", "-"]) for _ in range(rng.randint(1, 12))), k) for i in range(90) for k in [rng.choice("aaabbc") * 2]]
+    docs = spark.createDataFrame([*rows, *rows[:3], (200, "kuu", None), (201, None, "aa")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+
+    def hashed(points, n):
+        h = n * 0x9E3779B1 & 0xFFFFFFFF
+        for p in points:
+            h = (h ^ p) * 0x85EBCA6B & 0xFFFFFFFF
+            h ^= h >> 15
+        return (h >> 1) & (langid.HASHES - 1)
+
+    def grams(text):
+        s = re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in text))
+        return [hashed([ord(c) for c in s[i : i + n]], n) for n in (1, 2, 3) for i in range(len(s) - n + 1)]
+
+    counts, n_docs = {}, Counter()
+    for _, t, k in [*rows, *rows[:3]]:
+        counts.setdefault(k, Counter()).update(grams(t))
+        n_docs[k] += 1
+    tests = [(i, t) for i, t, _ in rows] + [(300, "Talo moon"), (301, "!"), (302, None), (303, "metsä " * 2_000), (303, "metsä " * 2_000)]
+    names = sorted(counts)
+    for r in langid.identify(documents(spark, tests), model).collect():
+        t = dict(tests)[r["doc_id"]]
+        if not any(map(str.isalpha, t or "")):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        logs = []
+        for k in names:
+            whole = sum(counts[k].values()) + 0.5 * langid.HASHES
+            logs.append(math.log((n_docs[k] + 0.5) / (sum(n_docs.values()) + 0.5 * len(names))) + sum(math.log((counts[k][g] + 0.5) / whole) for g in grams(t)))
+        best = max(range(len(names)), key=lambda i: logs[i])
+        assert r["lang_pred"] == names[best]
+        assert abs(r["score"] - 1 / sum(math.exp(x - logs[best]) for x in logs)) < 1e-3
+    # equal languages tie: the first in order
+    even = langid.fit(spark.createDataFrame([(1, "abc", "y"), (2, "abc", "x")], "doc_id long, text string, lang string"))
+    got = langid.identify(documents(spark, [(1, "abc")]), even).first()
+    assert (got["lang_pred"], round(got["score"], 6)) == ("x", 0.5)
+
+
 def test_languages(spark):
     rng = random.Random(7)
     kinds = {"aa": ["talo", "järvi", "metsä", "kuu"], "bb": ["house", "lake", "wood", "moon"]}

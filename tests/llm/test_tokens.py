@@ -133,10 +133,43 @@ def test_preferences(spark):
 
 
 def test_stale_pairs(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "s"), (2, 0, "user", "only"), (3, 0, "assistant", "x"), (None, 0, "user", None), (1, 3, "assistant", "b")]
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "s"), (2, 0, "user", "only"), (3, 0, "assistant", "x"), (None, 0, "user", None), (None, 1, "user", "n"), (1, 3, "assistant", "b")]
     convs = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = {r["conv_id"]: ([t["text"] for t in r["chosen"]], [t["text"] for t in r["rejected"]]) for r in chat.stale_pairs(convs).collect()}
-    assert got == {1: (["q", "a", "r", "b", "b"], ["q", "a", "r", "b", "a"]), 2: ([], []), 3: (["x"], [""]), None: ([], [])}
+    got = sorted(((r["conv_id"], [t["text"] for t in r["chosen"]], [t["text"] for t in r["rejected"]]) for r in chat.stale_pairs(convs).collect()), key=repr)
+    # what follows the last answer stays on both sides; rows without an id are conversations of their own
+    assert got == sorted([(1, ["q", "a", "r", "b", "b", "s"], ["q", "a", "r", "b", "a", "s"]), (2, ["only"], ["only"]), (3, ["x"], [""]), (None, [""], [""]), (None, ["n"], ["n"])], key=repr)
+
+
+def test_preferences_equal_plain_python(spark):
+    rng = random.Random(3)
+    turn = "array<struct<role:string,text:string>>"
+    one = lambda: (rng.choice(["user", "assistant", "system"]), rng.choice(["", "a", "b", "漢🙂", "x" * 5_000]))
+    rows = []
+    for k in range(400):
+        head = [one() for _ in range(rng.randint(0, 6))]
+        rows.append((k, *(head + [one() for _ in range(rng.randint(0, 4))] for _ in range(2))))
+    rows += rows[:5] + [(None, [one()], [])]
+    pairs = spark.createDataFrame([(*r, 0, "") for r in rows], f"conv_id long, chosen {turn}, rejected {turn}, n_prompt_turns int, prompt string")
+    shown = lambda ts: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in ts)
+
+    def scored(ts):
+        at, spans = 0, []
+        for r, t in ts:
+            if r == "assistant":
+                spans.append((at + len(r) + 5, len(t) + 8))
+            at += len(r) + len(t) + 13
+        return spans
+
+    want = []
+    for k, a, b in rows:
+        n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        want.append((k, n, shown(a[:n]), shown(a[n:]), shown(b[n:]), scored(a[n:]), scored(b[n:])))
+        assert all(shown(a[n:])[s : s + z].endswith("<|end|>\n") for s, z in scored(a[n:]))
+    got = [(*tuple(r)[:5], [tuple(s) for s in r["chosen_scored"]], [tuple(s) for s in r["rejected_scored"]]) for r in chat.preferences(pairs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert chat.preferences(pairs.limit(0)).count() == 0
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, chosen int, n int")
+    assert chat.preferences(chat.stale_pairs(chat.conversations(empty))).count() == 0
 
 
 def test_pipeline_equals_plain_python(spark, tmp_path, library):
