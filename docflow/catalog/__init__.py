@@ -6,9 +6,9 @@ both engines.
 
 from __future__ import annotations
 
-from . import documents, layout, tasks, web
+from . import assets, documents, files, layout, tasks, web
 
-_MODULES = (web, layout, documents, tasks)
+_MODULES = (web, layout, documents, tasks, assets, files)
 
 
 def queries() -> dict:

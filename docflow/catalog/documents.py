@@ -91,6 +91,19 @@ def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.render(heads.unionByName(body))
 
 
+@_C.add(
+    """SELECT o_custkey AS doc_id, array_to_string(list(line ORDER BY o_orderkey), '') AS markdown FROM (
+  SELECT *, CASE o_orderkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN o_orderpriority || chr(10) || chr(10) ELSE '- ' || o_orderpriority || chr(10) || chr(10) END AS line FROM orders) GROUP BY o_custkey"""
+)
+def odd_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of unknown kinds say nothing, but their empty line stays."""
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("id"), F.when(k % 3 == 0, "odd").when(k % 3 == 1, "p").otherwise("li").alias("type"), F.col("o_orderpriority").alias("text"), none.alias("src"), none.alias("html"))
+    found = markdown.assembled(rows.withColumn("content", markdown.line(False)), "doc_id", "id", "content")
+    return found.select("doc_id", F.concat("markdown", F.lit("\n")).alias("markdown"))
+
+
 @_C.add("SELECT n_regionkey, string_agg('|' || replace(n_name, 'I', ' ') || '|' || CASE WHEN n_nationkey % 3 = 0 THEN 'None' ELSE n_nationkey::VARCHAR END || '|', chr(10) ORDER BY n_nationkey) AS pipes FROM nation GROUP BY n_regionkey")
 def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of cells as pipe tables; line breaks in cells become blanks, missing cells are spelled out."""

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import pixels
+from ..functions import text as X
 from ..operators import hierarchy, overlap
 from ..sources.html import TAGS
 from .base import Catalog, table
@@ -63,6 +64,34 @@ def overlapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlapping_pairs(_boxes(spark, sf_dir), "page", _AT).withColumn("iou", F.round("iou", 6))
 
 
+_LITERAL = "greatest(least(a.xc + a.w, b.xc + b.w) - greatest(a.xc, b.xc), 0) * greatest(least(a.yc + a.h, b.yc + b.h) - greatest(a.yc, b.yc), 0)"
+
+
+@_C.add(
+    _BOXES
+    + f""", centred AS (SELECT page, id, (x1 + x2) / 2.0 AS xc, (y1 + y2) / 2.0 AS yc, x2 - x1 AS w, y2 - y1 AS h FROM boxes),
+pairs AS (SELECT a.page, a.id AS a, b.id AS b, {_LITERAL} AS i, a.w * a.h + b.w * b.h AS s FROM centred a JOIN centred b ON a.page = b.page AND a.id < b.id)
+SELECT page, a, b, round(i / (s - i)::DOUBLE, 6) AS iou FROM pairs WHERE i >= 0.75 * (s - i)"""
+)
+def literal_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by the literal reading, which takes centres for top left corners."""
+    return overlap.overlapping_pairs(_boxes(spark, sf_dir), "page", 0.75, compat=True).withColumn("iou", F.round("iou", 6))
+
+
+@_C.add(_BOXES + """SELECT page, id, x1::DOUBLE AS "left", y1::DOUBLE AS top, row_number() OVER (PARTITION BY page ORDER BY y1, id * 3 % 7, id)::INTEGER AS ord FROM boxes""")
+def ordered_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements from the top of their page, ties by the rank of an earlier step, then id."""
+    rows = _boxes(spark, sf_dir).withColumn("rank", F.col("id") * 3 % 7)
+    return hierarchy.ordered(rows, "page").select("page", "id", "left", "top", "ord")
+
+
+@_C.add(_BOXES + "SELECT page, id, label, substr(label, 2, 1)::INTEGER AS level FROM boxes WHERE label IN ('h1', 'h2', 'h3')")
+def heading_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of headings by the digit of their tags."""
+    rows = _boxes(spark, sf_dir).where(F.col("label").isin(*hierarchy.HEADINGS))
+    return rows.select("page", "id", "label", X.heading_level(F.col("label")).alias("level"))
+
+
 @_C.add(
     _BOXES.replace("WITH", "WITH RECURSIVE", 1)
     + f""", ranked AS (

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Weights of blue, green and red bytes in the grey value, as they fall when red and blue are taken for each
-#: other; the level up to which a pixel is ink; the area a glyph box must exceed.
-GREY, INK, GLYPH_AREA = (0.299, 0.587, 0.114), 128, 10
+#: Weights of blue, green and red bytes in the grey value (in thousandths), as they fall when red and blue are
+#: taken for each other; the level up to which a pixel is ink; the area a glyph box must exceed.
+GREY, INK, GLYPH_AREA = (299, 587, 114), 128, 10
 
 
 def grey(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
@@ -19,7 +21,7 @@ def grey(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     x = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
     if channels == 1:
         return x[:, :, 0]
-    return np.clip(np.rint(x[:, :, :3] @ np.array(GREY)), 0, 255).astype(np.uint8)
+    return ((x[:, :, :3] @ np.array(GREY) + 500) // 1000).astype(np.uint8)
 
 
 def ink(values: np.ndarray) -> np.ndarray:
@@ -101,6 +103,119 @@ def font_style(mask: np.ndarray, area: int = GLYPH_AREA) -> tuple[float | None,
     return (float(np.median(heights)), run_thickness(mask)) if len(heights) > 1 else (None, None)
 
 
+def image(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+
+
+def crop(pixels: np.ndarray, x1: float, y1: float, x2: float, y2: float) -> np.ndarray:
+    """The part of an image within corners rounded half to even; what lies outside of the image is black."""
+    a, b, c, d = (round(v) for v in (x1, y1, x2, y2))
+    out = np.zeros((max(d - b, 0), max(c - a, 0), pixels.shape[2]), dtype=np.uint8)
+    h, w = pixels.shape[:2]
+    lo_x, hi_x, lo_y, hi_y = max(a, 0), min(c, w), max(b, 0), min(d, h)
+    if lo_x < hi_x and lo_y < hi_y:
+        out[lo_y - b : hi_y - b, lo_x - a : hi_x - a] = pixels[lo_y:hi_y, lo_x:hi_x]
+    return out
+
+
+def png(data: bytes, width: int, height: int, channels: int) -> bytes:
+    """An image row (bytes in the order blue, green, red, or grey) as a PNG file."""
+    x = image(data, width, height, channels)
+    x = x[:, :, 2::-1] if channels >= 3 else x[:, :, :1]
+    lines = np.concatenate((np.zeros((height, 1), np.uint8), x.reshape(height, -1)), axis=1)
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if channels >= 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def png_size(content: Column) -> Column:
+    """Width and height in the head of a PNG file."""
+    return F.struct(*[F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int").alias(n) for n, at in (("width", 17), ("height", 21))])
+
+
+_IMAGE = "width int, height int, channels int, data binary"
+
+
+def _mapped(rows: DataFrame, keys: tuple[str, ...], schema: str, types: list[pa.DataType], of: Callable[..., list[tuple]], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (keys, schema): what a function makes of each image row; null data make nothing."""
+    columns = [*keys, "width", "height", "channels", "data", *extra]
+    kinds = {f.name: f for f in rows.schema}
+    whole = ", ".join([*(f"`{k}` {kinds[k].dataType.simpleString()}" for k in keys), schema])
+    names = [*keys, *(part.split()[0] for part in schema.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (*head, w, h, c, d) in enumerate(zip(*(b.column(n).to_pylist() for n in columns[: len(columns) - len(extra)]), strict=True)):
+                found = of(image(d, w, h, c), *(b.column(e)[i].as_py() for e in extra)) if d is not None else []
+                if found:
+                    own = [b.column(k).take(pa.array([i] * len(found))) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, t in zip(zip(*found, strict=True), types, strict=True))], names=names)
+
+    return rows.select(*columns).mapInArrow(run, whole)
+
+
+_PIXELS = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _row(x: np.ndarray) -> tuple[int, int, int, bytes]:
+    return x.shape[1], x.shape[0], x.shape[2], x.tobytes()
+
+
+def greyed(images: DataFrame, *keys: str) -> DataFrame:
+    """Images (keys, width, height, channels, data) as grey ones."""
+    return _mapped(images, keys, _IMAGE, _PIXELS, lambda x: [_row(grey(x.tobytes(), x.shape[1], x.shape[0], x.shape[2])[:, :, None])])
+
+
+def inked(images: DataFrame, *keys: str) -> DataFrame:
+    """Images as masks: 255 where the grey value is ink, else 0."""
+    return _mapped(images, keys, _IMAGE, _PIXELS, lambda x: [_row(np.where(ink(grey(x.tobytes(), x.shape[1], x.shape[0], x.shape[2])), 255, 0).astype(np.uint8)[:, :, None])])
+
+
+def glyphs(images: DataFrame, *keys: str) -> DataFrame:
+    """Rows (keys, x, y, w, h): boxes of the glyphs of each crop."""
+    return _mapped(images, keys, "x int, y int, w int, h int", [pa.int32()] * 4, lambda x: glyph_boxes(ink(grey(x.tobytes(), x.shape[1], x.shape[0], x.shape[2]))))
+
+
+def cropped(images: DataFrame, boxes: DataFrame, page: str, key: str) -> DataFrame:
+    """Rows (page, key, width, height, channels, data): each box of ``boxes(page, key, x1, y1, x2, y2)`` cut out of its page.
+
+    A page's boxes meet its image as one list; crops without a pixel are left out, as elements without one are.
+    """
+    listed = boxes.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(F.col(key).cast("long").alias("key"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]))).alias("boxes"))
+
+    def cut(x: np.ndarray, found: list[dict]) -> list[tuple]:
+        parts = [(f["key"], crop(x, f["x1"], f["y1"], f["x2"], f["y2"])) for f in found]
+        return [(k, *_row(p)) for k, p in parts if p.size]
+
+    return _mapped(images.join(listed, page), (page,), f"{key} long, {_IMAGE}", [pa.int64(), *_PIXELS], cut, ("boxes",))
+
+
+#: Colours of overlays as blue, green, red.
+COLOURS = {"green": (0, 128, 0), "red": (0, 0, 255), "orange": (0, 165, 255), "blue": (255, 0, 0)}
+
+
+def drawn(images: DataFrame, boxes: DataFrame, page: str) -> DataFrame:
+    """Images with the outlines of ``boxes(page, id, x1, y1, x2, y2, colour)``, later ids over earlier ones."""
+    corners = ("x1", "y1", "x2", "y2")
+    listed = boxes.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in corners], "colour"))).alias("boxes"))
+
+    def outlined(x: np.ndarray, found: list[dict]) -> list[tuple]:
+        x = x.copy()
+        h, w = x.shape[:2]
+        for f in found:
+            a, b, c, d = (round(f[n]) for n in corners)
+            ys, xs = (np.arange(max(lo, 0), max(min(hi + 1, n), 0)) for lo, hi, n in ((b, d, h), (a, c, w)))
+            edge = ((ys == b) | (ys == d))[:, None] | ((xs == a) | (xs == c))[None, :]
+            ys, xs = ys[np.nonzero(edge)[0]], xs[np.nonzero(edge)[1]]
+            x[ys, xs] = COLOURS[f["colour"]][: x.shape[2]]
+        return [_row(x)]
+
+    return _mapped(images.join(listed, page), (page,), _IMAGE, _PIXELS, outlined, ("boxes",))
+
+
 def styled(crops: DataFrame, key: str) -> DataFrame:
     """Rows (key, fontsize, thickness, erosions) of crops (key, width, height, channels, data). Null data give nulls."""
 

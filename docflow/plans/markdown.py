@@ -45,3 +45,42 @@ def strict_failures(elements: DataFrame, doc: str = "doc_id") -> DataFrame:
     head = F.col("type") == "h"
     counts = elements.groupBy(doc).agg(F.count(F.when(head, 1)).alias("n"), F.count(F.when(head & bad, 1)).alias("n_bad"))
     return counts.where("n = 0 or n_bad > 0").select(doc)
+
+
+#: An image of a Markdown text: its description and its address.
+_LINK = r"!\[([^\]]*)\]\([^)]*\)"
+
+
+def relinked(texts: DataFrame, assets: DataFrame, doc: str = "doc_id", text: str = "markdown") -> DataFrame:
+    """Rows (doc, markdown) whose n-th image points to the n-th of the document's ``assets(doc, path)``, by path order.
+
+    What an exporter has named in a folder of its own so finds the files of the bundle. Images beyond the assets stay as they
+    are. Paths are ordered by their length, then by themselves, so that 10 comes after 9.
+    """
+    named = assets.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.length("path").alias("n"), "path"))), lambda a: a["path"]).alias("paths"))
+    rows = texts.select(doc, F.col(text).alias("markdown")).join(named, doc, "left")
+    between, said, links = F.split("markdown", _LINK, -1), F.regexp_extract_all("markdown", F.lit(_LINK), F.lit(1)), F.regexp_extract_all("markdown", F.lit(_LINK), F.lit(0))
+
+    def one(link: Column, i: Column) -> Column:
+        path = F.get("paths", i)
+        return F.when(path.isNull(), link).otherwise(F.concat(F.lit("!["), F.get(said, i), F.lit("]("), path, F.lit(")")))
+
+    new = F.transform(links, one)
+    return rows.select(doc, F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.get(new, i), F.lit("")))), "").alias("markdown"))
+
+
+def bundle(elements: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Rows (doc, path, content) of an element table: ``text.md`` and three JSON files, as text.
+
+    ``content_list.json`` has what each element says in order, ``middle.json`` the boxes of each page, ``model.json`` the kinds.
+    """
+    said = F.struct("type", "text", (F.col("page") - 1).alias("page_idx"), F.col("src").alias("img_path"), F.col("html").alias("table_body"))
+    parts = {
+        "content_list.json": said,
+        "middle.json": F.struct((F.col("page") - 1).alias("page_idx"), "id", "bbox"),
+        "model.json": F.struct("id", "type"),
+    }
+    listed = [F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(F.col("id").alias("_id"), e.alias("e")))), lambda x: x["e"])).alias(n) for n, e in parts.items()]
+    rows = elements.groupBy(doc).agg(*listed).join(render(elements, doc), doc)
+    files = F.array(*[F.struct(F.lit(n).alias("path"), F.col(f"`{n}`").alias("content")) for n in parts], F.struct(F.lit("text.md").alias("path"), F.col("markdown").alias("content")))
+    return rows.select(doc, F.explode(files).alias("f")).select(doc, "f.path", "f.content")

@@ -85,3 +85,9 @@ def gated(requests: DataFrame, models: DataFrame) -> DataFrame:
 def parsed(rows: DataFrame, column: str) -> DataFrame:
     """Rows (model, extensions) of a registry kept as a JSON map."""
     return rows.select(F.explode(F.from_json(column, "map<string,array<string>>")).alias("model", "extensions"))
+
+
+def stored(models: DataFrame) -> DataFrame:
+    """One row (models): rows (model, extensions) as a JSON map, in order; the registry's few rows become one value."""
+    listed = F.sort_array(F.collect_list(F.struct("model", "extensions")))
+    return models.agg(F.to_json(F.map_from_entries(listed)).alias("models"))

@@ -54,21 +54,102 @@ def extracted(found: DataFrame, kind: str, extractor: Extractor, **options: obje
     return found.select("path", "content").mapInArrow(run, schema)
 
 
+#: Namespaces of word-processor, drawing and spreadsheet markup.
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_SLIDE = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
 def office_text(content: bytes) -> Iterator[tuple]:
-    """Paragraphs of a word-processor file (zipped XML), with the standard library: layout items without geometry."""
+    """Word-processor, slide and spreadsheet files (zipped XML), with the standard library: layout items without geometry.
+
+    Paragraphs in order, headings and list items by style; slides as pages, their titles as headings; sheets as pages, each
+    one table. Tables have their cells as plain markup.
+    """
     import io
     import zipfile
-    from xml.etree import ElementTree
 
-    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
-    for i, p in enumerate(root.iter(f"{space}p")):
-        text = "".join(t.text or "" for t in p.iter(f"{space}t"))
-        style = p.find(f"{space}pPr/{space}pStyle")
-        name = style.get(f"{space}val", "") if style is not None else ""
-        label = "section_header" if name.lower().startswith(("heading", "title")) else "list_item" if name.lower().startswith("list") else "text"
-        yield i, 1, label, None, None, None, None, text, None, None, None
+        names = set(z.namelist())
+        if "word/document.xml" in names:
+            found = _word_items(z)
+        elif any(n.startswith("ppt/slides/slide") for n in names):
+            found = _slide_items(z, names)
+        elif any(n.startswith("xl/worksheets/sheet") for n in names):
+            found = _sheet_items(z, names)
+        else:
+            raise ValueError("no office file")
+        for i, (page, label, text, html) in enumerate(found):
+            yield i, page, label, None, None, None, None, text, html, None, None
+
+
+def _said(node: object, space: str) -> str:
+    return "".join(t.text or "" for t in node.iter(f"{space}t"))
+
+
+def _numbered(names: set[str], start: str) -> list[tuple[int, str]]:
+    """Parts of a package by the number in their names."""
+    return sorted((int(n[len(start) : -4]), n) for n in names if n.startswith(start) and n.endswith(".xml") and n[len(start) : -4].isdigit())
+
+
+def _markup(rows: Iterable[Iterable[str]]) -> str:
+    from html import escape
+
+    return "<table>" + "".join("<tr>" + "".join(f"<td>{escape(c, quote=False)}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+
+
+def _word_items(z: object) -> Iterator[tuple]:
+    from xml.etree import ElementTree
+
+    body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_WORD}body")
+    for p in body if body is not None else ():
+        if p.tag == f"{_WORD}tbl":
+            yield 1, "table", None, _markup([[_said(c, _WORD) for c in r.iter(f"{_WORD}tc")] for r in p.iter(f"{_WORD}tr")])
+        elif p.tag == f"{_WORD}p":
+            style = p.find(f"{_WORD}pPr/{_WORD}pStyle")
+            name = (style.get(f"{_WORD}val", "") if style is not None else "").lower()
+            listed = name.startswith("list") or p.find(f"{_WORD}pPr/{_WORD}numPr") is not None
+            yield 1, "section_header" if name.startswith(("heading", "title")) else "list_item" if listed else "text", _said(p, _WORD), None
+
+
+def _slide_items(z: object, names: set[str]) -> Iterator[tuple]:
+    from xml.etree import ElementTree
+
+    for n, part in _numbered(names, "ppt/slides/slide"):
+        root = ElementTree.fromstring(z.read(part))
+        for node in root.iter():
+            if node.tag == f"{_SLIDE}sp":
+                kind = node.find(f"{_SLIDE}nvSpPr/{_SLIDE}nvPr/{_SLIDE}ph")
+                title = kind is not None and kind.get("type") in ("title", "ctrTitle")
+                for p in node.iter(f"{_DRAWING}p"):
+                    if text := _said(p, _DRAWING):
+                        yield n, "title" if title else "text", text, None
+            elif node.tag == f"{_DRAWING}tbl":
+                yield n, "table", None, _markup([[_said(c, _DRAWING) for c in r.iter(f"{_DRAWING}tc")] for r in node.iter(f"{_DRAWING}tr")])
+
+
+def _sheet_items(z: object, names: set[str]) -> Iterator[tuple]:
+    from xml.etree import ElementTree
+
+    shared = [_said(s, _SHEET) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")] if "xl/sharedStrings.xml" in names else []
+
+    def value(cell: object) -> str:
+        if cell.get("t") == "inlineStr":
+            return _said(cell, _SHEET)
+        v = cell.find(f"{_SHEET}v")
+        text = (v.text or "") if v is not None else ""
+        return shared[int(text)] if cell.get("t") == "s" and text else text
+
+    for n, part in _numbered(names, "xl/worksheets/sheet"):
+        rows = [[value(c) for c in r.iter(f"{_SHEET}c")] for r in ElementTree.fromstring(z.read(part)).iter(f"{_SHEET}row")]
+        if rows:
+            yield n, "table", None, _markup(rows)
+
+
+def kth_table(tables: DataFrame, page: int, number: int) -> DataFrame:
+    """Of extracted tables (path, page, table_no, cells) the ``number``-th of a page, both from 0; files without it have no row."""
+    return tables.where((F.col("page") == page) & (F.col("table_no") == number))
 
 
 def first_match(rows: DataFrame, doc: str, order: tuple[str, ...], value: str) -> DataFrame:

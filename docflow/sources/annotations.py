@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.geometry import centred, crop_size, flipped
+from ..functions.pixels import png
 from ..functions.text import element_type, stripped
 from ..schema import ELEMENT, RUNNING_LABELS
 
@@ -63,6 +64,24 @@ def layout_elements(items: DataFrame, sizes: DataFrame, compat: bool = False) ->
     )
 
 
+def asset_paths(elements: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Rows (doc, id, path): names of the picture and table images of each document, each kind counted by itself in order."""
+    nth = F.row_number().over(Window.partitionBy(doc, "type").orderBy("id"))
+    rows = elements.where(F.col("type").isin("img", "table"))
+    return rows.select(doc, "id", F.concat(F.when(F.col("type") == "img", "images/picture-").otherwise("images/table-"), nth, F.lit(".png")).alias("path"))
+
+
+def page_paths(pages: DataFrame, page: str = "page") -> DataFrame:
+    """Adds ``path``: the name of each page's image."""
+    return pages.withColumn("path", F.concat(F.lit("pages/page-"), F.col(page), F.lit(".png")))
+
+
+def png_assets(images: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Rows (task_id, path, content) from images (doc, path, width, height, channels, data): PNG files of a bundle."""
+    made = F.udf(lambda d, w, h, c: None if d is None else png(bytes(d), w, h, c), "binary", useArrow=True)
+    return images.select(F.col(doc).cast("string").alias("task_id"), "path", made("data", "width", "height", "channels").alias("content"))
+
+
 def hocr_box(title: Column) -> Column:
     """The four numbers behind ``bbox`` in an hOCR title."""
     parts = [F.regexp_extract(title, r"bbox\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)", i).cast("int").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"), 1)]

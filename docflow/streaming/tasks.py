@@ -20,6 +20,57 @@ def task_stream(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame
     return spark.readStream.schema(TASK).option("maxFilesPerTrigger", per_batch).json(path)
 
 
+def upload_stream(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
+    """Files as they arrive in a landing zone laid out as ``model=.../filename=.../file``: rows (path, content, model, filename).
+
+    The two folder levels carry the form's fields; a file is seen once, when it is complete.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary, model string, filename string"
+    found = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_batch).load(path)
+    return found.select("path", "content", "model", "filename")
+
+
+def uploaded(files: DataFrame, models: DataFrame) -> DataFrame:
+    """Rows (task_id, pdf_path, model, verdict) of uploaded files: the id follows from the content's place, the path from the name.
+
+    Works on tables and streams; ``models(model, extensions)`` is the registry.
+    """
+    from ..functions.text import upload_path
+    from ..plans.registry import gated
+
+    rows = gated(files.withColumn("task_id", F.sha2("path", 256)), models)
+    return rows.select("task_id", upload_path(F.col("task_id"), F.col("filename")).alias("pdf_path"), "model", "verdict")
+
+
+def write_markdown(results: DataFrame, path: str) -> None:
+    """One folder a task with its Markdown as a text file, which ends in a line break; tasks without a result have none."""
+    rows = results.where("markdown is not null").select("task_id", F.regexp_replace("markdown", r"\n\z", "").alias("value"))
+    rows.write.mode("overwrite").partitionBy("task_id").text(path)
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (task_id, markdown) of such folders."""
+    return spark.read.text(path, wholetext=True).select(F.col("task_id").cast("string").alias("task_id"), F.col("value").alias("markdown"))
+
+
+def unbundled(archives: DataFrame) -> DataFrame:
+    """Rows (task_id, path, content): the files in each archive ``zip``. Null archives have none."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for task, raw in zip(b.column("task_id").to_pylist(), b.column("zip").to_pylist(), strict=True):
+                if raw is not None:
+                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                        for name in z.namelist():
+                            yield pa.RecordBatch.from_arrays([pa.array([task], pa.string()), pa.array([name]), pa.array([z.read(name)], pa.binary())], names=["task_id", "path", "content"])
+
+    return archives.select(F.col("task_id").cast("string").alias("task_id"), "zip").mapInArrow(run, "task_id string, path string, content binary")
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """Rows (task_id, status, seq): the last status of each task; of equal numbers, the greater word.
 
