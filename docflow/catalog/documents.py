@@ -187,12 +187,4 @@ def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.first_match(rows, "conv_id", ("turn",), "text")
 
 
-@_C.add("SELECT * FROM (VALUES (1, 42, 44), (2, 42, 47), (3, 42, 50), (4, 50, 53), (5, 53, 54), (6, 53, 55), (7, 53, 56), (8, 50, 58)) t(ord, parent_id, child_id)")
-def edge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges in the text of a model's answer; lines that are no edge are passed over."""
-    answer = "Ok:\n#42->#44\n#42->#47\n#42->#50\n#50->#53\n#53->#54\n#53->#55\n#53->#56\n#50->#58\n"
-    rows = spark.range(1).select(F.posexplode(X.edge_lines(F.lit(answer))).alias("i", "e"))
-    return rows.select((F.col("i") + 1).alias("ord"), "e.parent_id", "e.child_id")
-
-
 QUERIES, SQL = _C.queries, _C.sql

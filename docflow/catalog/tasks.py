@@ -89,15 +89,6 @@ def extension_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.gated(asked, _models(spark)).select("event_id", "model", "verdict")
 
 
-@_C.add("SELECT * FROM (VALUES ('layout', '.pdf'), ('plain', '.pdf'), ('office', '.docx,.pptx,.xlsx')) t(model, accept)")
-def registry_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry read from its JSON map, as accept lists of forms."""
-    import json
-
-    stored = spark.createDataFrame([(json.dumps({m: x for m, x in _MODELS}),)], "models string")
-    return registry.parsed(stored, "models").select("model", X.accepted(F.col("extensions")).alias("accept"))
-
-
 @_C.add(
     """SELECT doc_id::VARCHAR AS task_id, CASE WHEN doc_id % 5 < 4 AND length(text) > 0 THEN CASE doc_id % 5 WHEN 0 THEN '# ' || text ELSE text END || chr(10) END AS markdown,
   CASE WHEN doc_id % 5 = 4 THEN 'unknown model' WHEN length(text) = 0 THEN 'no result' END AS error FROM documents"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy
@@ -64,6 +64,59 @@ def content_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.selectors(table(spark, sf_dir, "pages"))
 
 
+def _varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with other content elements and kinds: by page a main, a section, headings for paragraphs, a table and a picture."""
+    k, page = F.col("page_id") % 4, F.col("html")
+
+    def changed(*pairs: tuple[str, str]) -> Column:
+        out = page
+        for old, new in pairs:
+            out = F.replace(out, F.lit(old), F.lit(new))
+        return out
+
+    main = changed(("<article>", '<main class="a  b">'), ("</article>", "</main>"))
+    section = changed(("<article>", '<section class="s">'), ("</article>", "</section>"))
+    heads = changed(("<b>", ""), ("<p>", "<h3>"), ("</p>", "</h3>"))
+    filled = changed(("</h1>", '</h1><table><tr><td>x</td><td>&lt;y</td></tr></table><img src="a.png">'))
+    return table(spark, sf_dir, "pages").withColumn("html", F.when(k == 0, main).when(k == 1, section).when(k == 2, heads).otherwise(filled))
+
+
+_VARIED = (
+    _PIECES
+    + r""", items AS (
+  SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) AS text, generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1), 1) AS ord FROM pages),
+varied AS (
+  SELECT page_id, ord + 1000 AS ord, CASE WHEN tag = 'p' AND page_id % 4 = 2 THEN 'h3' ELSE tag END AS label, true AS in_content, text, NULL AS src FROM blocks
+  UNION ALL SELECT page_id, 1001.1, 'table', true, 'x<y', NULL FROM pages WHERE page_id % 4 = 3
+  UNION ALL SELECT page_id, 1001.2, 'img', true, '', 'a.png' FROM pages WHERE page_id % 4 = 3
+  UNION ALL SELECT page_id, ord, 'li', false, trim(regexp_replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), NULL FROM items)
+"""
+)
+
+
+@_C.add(_VARIED + f"SELECT page_id, label, in_content, text, coalesce(src, '') AS src, row_number() OVER (PARTITION BY page_id ORDER BY list_position({list(html.TAGS)}, label), ord)::INTEGER AS id FROM varied")
+def varied_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven kinds of elements within and without the content, numbered by tag, then place."""
+    found = html.elements(_varied(spark, sf_dir))
+    return found.select("page_id", "label", "in_content", "text", F.coalesce("src", F.lit("")).alias("src"), "id")
+
+
+@_C.add("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'main.a.b' WHEN 1 THEN 'section.s' ELSE 'article' END AS selector FROM pages")
+def varied_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content elements: an article, else a main, else what has most text."""
+    return html.selectors(_varied(spark, sf_dir))
+
+
+@_C.add(
+    _VARIED
+    + """SELECT page_id, string_agg(CASE label WHEN 'h1' THEN '# ' || text WHEN 'h3' THEN '### ' || text WHEN 'img' THEN '![Image](a.png)' WHEN 'table' THEN '<table><tr><td>x</td><td>&lt;y</td></tr></table>' ELSE text END || chr(10), chr(10) ORDER BY ord) AS markdown
+FROM varied WHERE in_content AND (label <> 'p' OR text <> '') GROUP BY page_id"""
+)
+def varied_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as Markdown."""
+    return markdown.assembled(html.blocks(_varied(spark, sf_dir)).withColumn("content", markdown.line()), "page_id", "ord", "content")
+
+
 @_C.add(_PIECES + "SELECT page_id, string_agg('#1->#' || ord || chr(10), '' ORDER BY ord) AS edges FROM blocks WHERE ord > 1 GROUP BY page_id")
 def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchy edges of each page's content: headings by level, paragraphs, pictures and tables below them, items by indent."""
