@@ -193,12 +193,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``near_duplicates`` and ``part``, which tells groups of the same smallest key apart."""
-    fps = written(fingerprints(docs, key, text), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min(key).alias("rep"))
-    reps = written(reps, "reps")
+    return grouped(written(fingerprints(docs, key, text), "fingerprints"), key, radius)
+
+
+def grouped(fps: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``groups`` from a table (key, fp); it is read more than once, so it should be a written one."""
+    reps = written(fps.groupBy("fp").agg(F.min(key).alias("rep")), "reps")
     near = links(reps.select("fp"), radius).distinct()
     ends = components(near)
     part = reps.join(ends, reps["fp"] == ends["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("part"))
     low = written(part.groupBy("part").agg(F.min("rep").alias("component")), "names")
     named = part.join(low, "part").select("fp", "component", "part")
-    return fps.join(named, "fp").select(key, "fp", "component", "part")
+    return fps.select(key, "fp").join(named, "fp").select(key, "fp", "component", "part")
