@@ -34,11 +34,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where an id has several texts, each is judged by its own fingerprint; of those in one group that of least fingerprint
     stays, and of rows that share id and fingerprint the least (by their columns in order). Null and empty texts are one group.
     """
-    found = simhash.groups(docs).where("doc_id = component")
+    rows = written(simhash.fingerprints(docs, keep=tuple(docs.columns)), "fingerprinted")
+    found = simhash.grouped(rows).where("doc_id = component")
     heads = found.groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp")
-    rows = simhash.fingerprints(docs.where("doc_id is not null"), keep=tuple(docs.columns))
-    named = rows.join(heads, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.min("rest").alias("rest")).select("rest.*")
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    named = rows.join(heads, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.min("rest").alias("rest"))
+    return named.select("rest.*").unionByName(rows.where("doc_id is null").select("rest.*")).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
