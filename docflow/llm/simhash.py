@@ -33,8 +33,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for b in batches:
-            texts = b.column("text").fill_null("")
-            for lo, hi in text_slices(texts, 1 << 21):
+            texts = (b.column("rest").field(inner) if inner is not None else b.column("text")).fill_null("")
+            for lo, hi in text_slices(texts, 1 << 20):
                 raw, offsets = string_buffers(texts[lo:hi])
                 starts, ends, first = word_spans(raw, offsets)
                 # words of all rows, one space between them; bytes.lower and bytes.split know ASCII only, as asked for
@@ -51,8 +51,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                 hashes = np.array([digest(whole[i:j], seed) for i, j in zip(a.tolist(), z.tolist(), strict=True)], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column("key")[lo:hi], pa.array(_majority(hashes, bound).view(np.int64)), *([b.column("rest")[lo:hi]] if keep else [])], names=[key, "fp", *(["rest"] if keep else [])])
 
+    # a text that is kept is not sent to the workers twice
+    inner = keep.index(text) if text in keep and isinstance(docs.schema[text].dataType, T.StringType) else None
+    sent = [] if inner is not None else [F.col(text).cast("string").alias("text")]
     rest = [F.struct(*[F.col(c) for c in keep]).alias("rest")] if keep else []
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *rest)
+    rows = docs.select(F.col(key).cast("long").alias("key"), *sent, *rest)
     out = T.StructType([T.StructField(key, T.LongType()), T.StructField("fp", T.LongType()), *[f for f in rows.schema if f.name == "rest"]])
     return rows.mapInArrow(trimmed(run), out)
 
