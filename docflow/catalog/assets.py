@@ -109,6 +109,16 @@ def element_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.cropped(_images(spark, sf_dir), _corners(spark, sf_dir), "page_id", "id").select("page_id", "id", "width", "height", F.hex("data").alias("data"))
 
 
+@_C.add(
+    _COLOUR
+    + f"""SELECT page_id, 20 AS width, {20 * _H // _W} AS height, string_agg(printf('%02X', v::INTEGER), '' ORDER BY r, q, c) AS data
+FROM range({20 * _H // _W}) rs(r), range(20) qs(q), px WHERE px.y = (2 * r + 1) * {_H} // {2 * (20 * _H // _W)} AND px.x = (2 * q + 1) * {_W} // 40 GROUP BY page_id"""
+)
+def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images brought to a longest side."""
+    return pixels.resized(_images(spark, sf_dir), "page_id", longest=20).select("page_id", "width", "height", F.hex("data").alias("data"))
+
+
 _KINDS = ("title", "picture", "caption", "text")
 
 

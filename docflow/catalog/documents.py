@@ -187,4 +187,11 @@ def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.first_match(rows, "conv_id", ("turn",), "text")
 
 
+@_C.add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A look at the first rows of a table, of which a few are asked for."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("least"))
+    return annotations.preview(rows, 5, "least", "o_orderkey").drop("least")
+
+
 QUERIES, SQL = _C.queries, _C.sql

@@ -64,6 +64,19 @@ def overlapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlapping_pairs(_boxes(spark, sf_dir), "page", _AT).withColumn("iou", F.round("iou", 6))
 
 
+@_C.add(
+    _BOXES
+    + """, next AS (SELECT *, lead(x1) OVER w AS u1, lead(y1) OVER w AS v1, lead(x2) OVER w AS u2, lead(y2) OVER w AS v2 FROM boxes WINDOW w AS (PARTITION BY page ORDER BY id)),
+met AS (SELECT page, id, greatest(least(x2, u2) - greatest(x1, u1), 0) * greatest(least(y2, v2) - greatest(y1, v1), 0) AS i, (x2 - x1) * (y2 - y1) + (u2 - u1) * (v2 - v1) AS s FROM next WHERE u1 IS NOT NULL)
+SELECT page, id, round(i / (s - i)::DOUBLE, 6) AS iou, i >= 0.5 * (s - i) AS near FROM met"""
+)
+def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection over union of each box and the next one on its page."""
+    other = F.lead("bbox").over(Window.partitionBy("page").orderBy("id"))
+    rows = _boxes(spark, sf_dir).withColumn("other", other).where("other is not null")
+    return rows.select("page", "id", F.round(G.iou(F.col("bbox"), F.col("other")), 6).alias("iou"), G.overlaps(F.col("bbox"), F.col("other"), _AT).alias("near"))
+
+
 _LITERAL = "greatest(least(a.xc + a.w, b.xc + b.w) - greatest(a.xc, b.xc), 0) * greatest(least(a.yc + a.h, b.yc + b.h) - greatest(a.yc, b.yc), 0)"
 
 

@@ -193,6 +193,18 @@ def cropped(images: DataFrame, boxes: DataFrame, page: str, key: str) -> DataFra
     return _mapped(images.join(listed, page), (page,), f"{key} long, {_IMAGE}", [pa.int64(), *_PIXELS], cut, ("boxes",))
 
 
+def resized(images: DataFrame, *keys: str, longest: int = 640) -> DataFrame:
+    """Images whose longest side is ``longest``, the ratio kept, fractions of the size cut off; each pixel is the nearest one."""
+
+    def scaled(x: np.ndarray) -> list[tuple]:
+        h, w = x.shape[:2]
+        factor = min(longest / w, longest / h) if w and h else 0
+        to_h, to_w = int(h * factor), int(w * factor)
+        return [_row(x[((2 * np.arange(to_h) + 1) * h // (2 * to_h or 1))[:, None], ((2 * np.arange(to_w) + 1) * w // (2 * to_w or 1))[None, :]])]
+
+    return _mapped(images, keys, _IMAGE, _PIXELS, scaled)
+
+
 #: Colours of overlays as blue, green, red.
 COLOURS = {"green": (0, 128, 0), "red": (0, 0, 255), "orange": (0, 165, 255), "blue": (255, 0, 0)}
 

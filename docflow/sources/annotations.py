@@ -36,6 +36,11 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.col("line").rlike(pattern)).select("path", "ord", *[F.regexp_extract("line", pattern, i).cast("int").alias(n) for i, n in ((1, "parent_id"), (2, "child_id"))])
 
 
+def preview(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in an order that leaves no ties, for a look at a table."""
+    return rows.orderBy(*order).limit(n)
+
+
 def layout_elements(items: DataFrame, sizes: DataFrame, compat: bool = False) -> DataFrame:
     """Elements from layout items and page sizes (doc_id, page, height), in reading order with dense ids.
 

@@ -3,8 +3,10 @@
 import io
 import math
 import re
+import struct
 import time
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -168,3 +170,54 @@ def test_layout_elements(spark, compat):
     got = annotations.layout_elements(spark.createDataFrame(rows, LAYOUT_ITEM), spark.createDataFrame([("d", 1, 100.0)], "doc_id string, page int, height double"), compat).orderBy("id").collect()
     assert [(r["id"], r["type"], r["src"]) for r in got] == [(1, "h", None), (2, "p" if compat else "li", None), (3, "img", "images/picture-1.png")]
     assert tuple(got[0]["bbox"]) == (4.5, 15.0, 9.0, 10.0)
+
+
+def test_office_files(spark):
+    w, a, p, x = (f"http://schemas.openxmlformats.org/{n}/2006/main" for n in ("wordprocessingml", "drawingml", "presentationml", "spreadsheetml"))
+
+    def packed(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n, body in files.items():
+                z.writestr(n.replace("__", "/") + ".xml", body)
+        return bytearray(out.getvalue())
+
+    cell = "<w:tc><w:p><w:r><w:t>%s</w:t></w:r></w:p></w:tc>"
+    word = f"<w:document xmlns:w='{w}'><w:body><w:p><w:pPr><w:pStyle w:val='Title'/></w:pPr><w:r><w:t>T</w:t></w:r></w:p><w:tbl><w:tr>{cell % 'a'}{cell % 'b &lt;'}</w:tr></w:tbl><w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>i</w:t></w:r></w:p><w:p/></w:body></w:document>"
+    slide = f"<p:sld xmlns:p='{p}' xmlns:a='{a}'><p:sp><p:nvSpPr><p:nvPr><p:ph type='title'/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>%s</a:t></a:r></a:p></p:txBody></p:sp></p:sld>"
+    sheet = f"<worksheet xmlns='{x}'><sheetData><row><c t='s'><v>1</v></c><c><v>2.5</v></c></row></sheetData></worksheet>"
+    strings = f"<sst xmlns='{x}'><si><t>zero</t></si><si><t>o</t><t>ne</t></si></sst>"
+    files = {"a.docx": packed(word__document=word), "b.pptx": packed(ppt__slides__slide10=slide % "ten", ppt__slides__slide2=slide % "two"), "c.xlsx": packed(xl__worksheets__sheet1=sheet, xl__sharedStrings=strings), "d.zip": packed(x="x"), "e.docx": bytearray(b"no zip")}
+    rows = spark.createDataFrame(list(files.items()), "path string, content binary")
+    got = {}
+    for r in adapters.extracted(rows, "layout", adapters.office_text).orderBy("path", "raw_ord").collect():
+        got.setdefault(r["path"], []).append(r["error"] or (r["page"], r["label"], r["text"], r["html"]))
+    assert got["a.docx"] == [(1, "section_header", "T", None), (1, "table", None, "<table><tr><td>a</td><td>b &lt;</td></tr></table>"), (1, "list_item", "i", None), (1, "text", "", None)]
+    assert got["b.pptx"] == [(2, "title", "two", None), (10, "title", "ten", None)]
+    assert got["c.xlsx"] == [(1, "table", None, "<table><tr><td>one</td><td>2.5</td></tr></table>")]
+    assert got["d.zip"] == ["ValueError: no office file"] and got["e.docx"][0].startswith("BadZipFile")
+
+
+def test_links_beyond_the_assets_stay(spark):
+    texts = spark.createDataFrame([("a", "x ![p](u.png) y\n![](v w.png)![q](z)"), ("b", "![p](u.png)"), ("c", None)], "doc_id string, markdown string")
+    assets = spark.createDataFrame([("a", f"images/picture-{i}.png") for i in (2, 1)], "doc_id string, path string")
+    got = dict(markdown.relinked(texts, assets).collect())
+    assert got["a"] == "x ![p](images/picture-1.png) y\n![](images/picture-2.png)![q](z)" and got["b"] == "![p](u.png)" and not got["c"]
+
+
+def test_png_holds_the_pixels(spark):
+    x = np.arange(2 * 3 * 3, dtype=np.uint8)
+    raw = pixels.png(x.tobytes(), 3, 2, 3)
+    size = struct.unpack(">II", raw[16:24])
+    body = zlib.decompress(raw[raw.index(b"IDAT") + 4 : raw.index(b"IEND") - 8])
+    lines = np.frombuffer(body, np.uint8).reshape(2, 10)
+    assert size == (3, 2) and not lines[:, 0].any()
+    # the file has red first, the engine's rows blue
+    assert (lines[:, 1:].reshape(2, 3, 3)[:, :, ::-1] == x.reshape(2, 3, 3)).all()
+
+
+def test_crops_round_half_to_even_and_are_black_outside():
+    x = np.full((4, 4, 1), 9, np.uint8)
+    assert pixels.crop(x, 0.5, 1.5, 2.5, 2.5).shape == (0, 2, 1)
+    out = pixels.crop(x, -1, -1, 2, 2)
+    assert out.shape == (3, 3, 1) and out.sum() == 4 * 9

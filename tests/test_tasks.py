@@ -2,11 +2,14 @@
 
 import io
 import json
+import time
 import zipfile
 
+from docflow import pipelines
 from docflow.catalog import tasks as catalog
 from docflow.plans import registry
 from docflow.streaming import tasks
+from docflow.streaming.progress import ProgressLog
 from pyspark.sql import functions as F
 
 
@@ -17,7 +20,10 @@ def test_extension_gate(spark):
     assert got == {"mReport.PDF": "accepted", "mxpdf": "accepted", "ma.docx": "wrong extension", "othera.pdf": "unknown model"}
 
 
-def test_chain_and_default():
+def test_chain_and_default(spark):
+    steps = [lambda d: d.withColumn("x", F.col("id") + 1), lambda d: d.withColumn("y", F.col("x") * 10)]
+    assert [tuple(r) for r in registry.chain(steps)(spark.range(2)).orderBy("id").collect()] == [(0, 1, 10), (1, 2, 20)]
+    assert registry.chain([])(spark.range(2)).count() == 2
     known = registry.Registry()
     known.register("a", ["pdf"])(lambda df: df)
     known.register("b", ["pdf"], default=True)(lambda df: df)
@@ -65,8 +71,45 @@ def test_guarded_status(spark, tmp_path):
     assert {r["task_id"]: (r["status"], r["seq"]) for r in spark.table("guarded").collect()} == {"a": ("completed", 3), "c": ("pending", 1)}
 
 
+def test_discovered_pipelines():
+    assert pipelines.REGISTRY.discover("docflow.pipelines") == ["office", "plain"]
+    assert pipelines.REGISTRY.default == "plain"
+    assert {n: p.formats for n, p in pipelines.REGISTRY.pipelines.items()} == {"office": ("docx", "pptx", "xlsx"), "plain": ("txt", "md")}
+
+
+def test_registry_as_json(spark):
+    models = spark.createDataFrame([("b", ["x", "y"]), ("a", [])], "model string, extensions array<string>")
+    row = registry.stored(models).first()["models"]
+    assert json.loads(row) == {"a": [], "b": ["x", "y"]}
+
+
+def test_progress_is_logged(spark, tmp_path, caplog):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"task_id": "1", "pdf_path": "x", "model": "m"}))
+    listener = ProgressLog()
+    spark.streams.addListener(listener)
+    try:
+        with caplog.at_level("INFO", "docflow.streaming"):
+            tasks.task_stream(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda df, n: None).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+            for _ in range(100):
+                if "ended" in caplog.text:
+                    break
+                time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert "started" in caplog.text and "ended" in caplog.text and "batch 0: " in caplog.text
+
+
+def test_markdown_files(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "# a\n\nb\n"), ("2", "x\n"), ("3", None)], "task_id string, markdown string")
+    tasks.write_markdown(rows, str(tmp_path / "m"))
+    assert sorted(map(tuple, tasks.read_markdown(spark, str(tmp_path / "m")).collect())) == [("1", "# a\n\nb\n"), ("2", "x\n")]
+
+
 def test_bundles(spark):
     rows = spark.createDataFrame([("t", "text.md", bytearray(b"x")), ("t", "images/1.png", bytearray(b"y")), ("t", "text.md", bytearray(b"x"))], "task_id string, path string, content binary")
     with zipfile.ZipFile(io.BytesIO(bytes(tasks.bundles(rows).first()["zip"]))) as z:
         assert sorted(z.namelist()) == ["images/1.png", "text.md"]
         assert z.read("text.md") == b"x"
+    back = {r["path"]: bytes(r["content"]) for r in tasks.unbundled(tasks.bundles(rows)).collect()}
+    assert back == {"text.md": b"x", "images/1.png": b"y"}
