@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import hierarchy
 from ..plans import markdown
 from ..sources import html
+from ..storage import spread
 from .base import Catalog, table
 
 _C = Catalog()
 
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
+
+
 _PIECES = r"""
 WITH articles AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a FROM pages),
 pieces AS (
@@ -30,19 +36,19 @@ blocks AS (
 @_C.add(_PIECES + "SELECT page_id, ord, tag, text FROM blocks")
 def article_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings and paragraphs of each page's article, in generated code alone."""
-    return html.article_blocks(table(spark, sf_dir, "pages"))
+    return html.article_blocks(_pages(spark, sf_dir))
 
 
 @_C.add(_PIECES + "SELECT page_id, string_agg(CASE tag WHEN 'h1' THEN '# ' ELSE '' END || text || chr(10), chr(10) ORDER BY ord) AS markdown FROM blocks GROUP BY page_id")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's content as one Markdown text: headings, paragraphs, items, pictures and tables."""
-    return markdown.assembled(html.blocks(table(spark, sf_dir, "pages")).withColumn("content", markdown.line()), "page_id", "ord", "content")
+    return markdown.assembled(html.blocks(_pages(spark, sf_dir)).withColumn("content", markdown.line()), "page_id", "ord", "content")
 
 
 @_C.add(_PIECES + "SELECT page_id, ord, tag AS label, text, row_number() OVER (PARTITION BY page_id ORDER BY CASE tag WHEN 'h1' THEN 0 ELSE 1 END, ord)::INTEGER AS nth FROM blocks")
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tolerant parser's headings and paragraphs within the content, numbered by tag, then place."""
-    found = html.elements(table(spark, sf_dir, "pages"), tags=("h1", "p")).where("in_content")
+    found = html.elements(_pages(spark, sf_dir), tags=("h1", "p")).where("in_content")
     rows = html.reading_order(found)
     rank = F.row_number().over(hierarchy.Window.partitionBy("page_id").orderBy("id"))
     return rows.select("page_id", "ord", "label", "text", rank.alias("nth"))
@@ -54,14 +60,14 @@ FROM (SELECT page_id, regexp_replace(regexp_replace(html, '<script>.*?</script>'
 )
 def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many elements of each tag the tolerant parser finds on a page."""
-    found = html.elements(table(spark, sf_dir, "pages"))
+    found = html.elements(_pages(spark, sf_dir))
     return found.groupBy("page_id").agg(*[F.count(F.when(F.col("label") == t, 1)).alias(f"n_{t}") for t in ("li", "h1", "p")])
 
 
 @_C.add("SELECT page_id, 'article' AS selector FROM pages WHERE contains(html, '<article>')")
 def content_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag and classes of each page's content element."""
-    return html.selectors(table(spark, sf_dir, "pages"))
+    return html.selectors(_pages(spark, sf_dir))
 
 
 def _varied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +84,7 @@ def _varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = changed(("<article>", '<section class="s">'), ("</article>", "</section>"))
     heads = changed(("<b>", ""), ("<p>", "<h3>"), ("</p>", "</h3>"))
     filled = changed(("</h1>", '</h1><table><tr><td>x</td><td>&lt;y</td></tr></table><img src="a.png">'))
-    return table(spark, sf_dir, "pages").withColumn("html", F.when(k == 0, main).when(k == 1, section).when(k == 2, heads).otherwise(filled))
+    return _pages(spark, sf_dir).withColumn("html", F.when(k == 0, main).when(k == 1, section).when(k == 2, heads).otherwise(filled))
 
 
 _VARIED = (
@@ -120,7 +126,7 @@ def varied_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_C.add(_PIECES + "SELECT page_id, string_agg('#1->#' || ord || chr(10), '' ORDER BY ord) AS edges FROM blocks WHERE ord > 1 GROUP BY page_id")
 def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchy edges of each page's content: headings by level, paragraphs, pictures and tables below them, items by indent."""
-    hung = hierarchy.tree(html.blocks(table(spark, sf_dir, "pages")).drop("level"), "page_id")
+    hung = hierarchy.tree(html.blocks(_pages(spark, sf_dir)).drop("level"), "page_id")
     return hierarchy.edge_text(hierarchy.edges(hierarchy.preorder(hung, "page_id"), "page_id"), "page_id")
 
 

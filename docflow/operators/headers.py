@@ -22,12 +22,14 @@ def clustered(headers: DataFrame, doc: str, eps: float = EPS) -> DataFrame:
     """Adds ``cluster``: density clusters of a document's headers in scaled size and thickness, -1 for lone ones.
 
     A point with one neighbour within ``eps`` belongs to a cluster, so clusters are the connected components of the
-    neighbour graph. They are grown by a fold over each document's points: a new point joins all groups it is near.
-    Clusters are numbered from 0 by their first header. Headers without size or thickness (null or NaN) are lone.
+    neighbour graph. They are grown by a fold over each document's distinct pairs of size and thickness, of which there are
+    few: a new pair joins all groups it is near. A group of one header is none. Clusters are numbered from 0 by their first
+    header. Headers without size or thickness (null or NaN) are lone.
     """
     usable = F.col("fontsize").isNotNull() & F.col("thickness").isNotNull() & ~F.isnan("fontsize") & ~F.isnan("thickness")
-    z = standardised(headers.where(usable), doc)
-    points = z.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("id", F.col("z_fontsize").alias("x"), F.col("z_thickness").alias("y")))).alias("points"))
+    style = ("fontsize", "thickness")
+    styles = standardised(headers.where(usable), doc).groupBy(doc, *style).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("z_fontsize").alias("x"), F.first("z_thickness").alias("y"))
+    points = styles.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("id", "x", "y", "n", *style))).alias("points"))
     none = F.array(F.slice("points", 1, 0))
 
     def near(group: Column, p: Column) -> Column:
@@ -36,10 +38,10 @@ def clustered(headers: DataFrame, doc: str, eps: float = EPS) -> DataFrame:
     def grow(groups: Column, p: Column) -> Column:
         return F.concat(F.filter(groups, lambda g: ~near(g, p)), F.array(F.array_append(F.flatten(F.filter(groups, lambda g: near(g, p))), p)))
 
-    groups = F.filter(F.aggregate("points", F.slice(none, 1, 0), grow), lambda g: F.size(g) > 1)
-    ordered = F.array_sort(F.transform(groups, lambda g: F.array_sort(F.transform(g, lambda q: q["id"]))))
-    named = points.select(doc, F.posexplode(ordered).alias("cluster", "ids")).select(doc, F.col("cluster").cast("int").alias("cluster"), F.explode("ids").alias("id"))
-    return headers.join(named, [doc, "id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    groups = F.filter(F.aggregate("points", F.slice(none, 1, 0), grow), lambda g: (F.size(g) > 1) | (F.get(g, F.lit(0))["n"] > 1))
+    ordered = F.array_sort(F.transform(groups, lambda g: F.array_sort(g)))
+    named = points.select(doc, F.posexplode(ordered).alias("cluster", "members")).select(doc, F.col("cluster").cast("int").alias("cluster"), F.explode("members").alias("m")).select(doc, "cluster", *[F.col(f"m.{c}").alias(c) for c in style])
+    return headers.join(named, [doc, *style], "left").select(*headers.columns, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def cluster_means(rows: DataFrame, doc: str) -> DataFrame:

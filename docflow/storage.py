@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table as scanned, dealt to all cores if its files come in fewer pieces; for steps that work hard on each row.
+
+    A small file is often one row group, which one task reads. Where there are pieces enough nothing is shuffled.
+    """
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows

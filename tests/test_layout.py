@@ -1,6 +1,7 @@
 """Boxes, trees and heading levels against golden values and plain models."""
 
 import random
+import time
 
 import pytest
 
@@ -131,3 +132,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "page int, id int, label string, bbox struct<xc:double,yc:double,w:double,h:double>")
     assert overlap.suppress(none, "page").count() == 0
     assert headers.levels(spark.createDataFrame([], "doc_id string, id int, fontsize double, thickness double")).count() == 0
+
+
+def test_preorder_of_deep_and_wide_pages(spark):
+    # a chain, a fan, and parents that come later or are missing
+    n = 8_000
+    rows = [("chain", i, i - 1 if i > 1 else None) for i in range(1, n + 1)] + [("fan", i, 1 if i > 1 else None) for i in range(1, n + 1)] + [("odd", 1, 2), ("odd", 2, 9), ("odd", 3, 1), ("odd", 4, None), ("odd", 5, 2)]
+    tree = spark.createDataFrame(rows, "page string, ord int, parent_ord int")
+    begun = time.perf_counter()
+    got = {(r["page"], r["ord"]): (r["nth"], r["depth"]) for r in hierarchy.preorder(tree, "page").collect()}
+    assert time.perf_counter() - begun < 20
+    assert all(got["chain", i] == (i, i - 1) and got["fan", i] == (i, int(i > 1)) for i in range(1, n + 1))
+    assert {k[1]: v for k, v in got.items() if k[0] == "odd"} == {1: (1, 0), 3: (2, 1), 2: (3, 0), 5: (4, 1), 4: (5, 0)}
+    assert hierarchy.preorder(tree.limit(0), "page").count() == 0
