@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from . import chat, decontamination, langid, quality, simhash, substring_dedup, token_count, toxicity
 from .common import table
 from .sentencepiece_bpe import encode
@@ -19,6 +20,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the production rules on every page's URL."""
     return filter_urls(table(spark, sf_dir, "pages")).drop("glob")
@@ -26,7 +31,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with each benchmark item that one of its passages is within the edit budget of."""
-    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.matches(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,14 +43,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of a quarter of the ids are held out and teach nothing."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~_held_out(4, 2)))
     return toxicity.score(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document, against the trusted documents and the whole corpus."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return quality.judge(docs, quality.log_ratios(docs, table(spark, sf_dir, "labels")))
 
 
@@ -53,12 +58,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted from flat token files."""
     import public_tokenizers
 
-    return token_count.document_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_count.document_counts(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of every document's token ids, digest of the text they decode to."""
-    return encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return encode(_documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +75,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -80,7 +85,7 @@ def _held_out(modulus: int, remainder: int) -> Column:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; those of a third of the ids are held out and teach nothing."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = langid.fit(docs.where(~_held_out(3, 1)))
     return langid.identify(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
