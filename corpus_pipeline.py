@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docflow.llm import decontamination, quality, sentencepiece_bpe, simhash, substring_dedup
 from docflow.llm.common import removed, scratch, table, written
 from docflow.llm.queries import tokenizer
+from docflow.storage import spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -88,7 +89,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = None
     for name, stage in STAGES[:-1]:
-        before, docs = docs, stage_written(spark, table(spark, sf_dir, "documents") if docs is None else docs, sf_dir, name, stage)
+        before, docs = docs, stage_written(spark, spread(table(spark, sf_dir, "documents")) if docs is None else docs, sf_dir, name, stage)
         if before is not None:
             removed(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
