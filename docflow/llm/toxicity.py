@@ -227,6 +227,21 @@ class Lexicon:
         return {w: x for w in words if (x := self._known[w])}
 
 
+class _Kinds(dict):
+    """By raw word: 1 if it reports, 2 if it addresses, both or neither; a bounded memory of what words are."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        plain = _EDGE.sub("", word.lower())
+        self[word] = kind = (plain in REPORT) + 2 * (plain in ADDRESS)
+        return kind
+
+
+_KINDS = _Kinds()
+_QUOTE = re.compile(f"[{QUOTES}]")
+
+
 def features(words: list[str], hits: dict[str, tuple[float, int]]) -> list[float]:
     """Sums over the hits of one text; a quoted hit counts a third, an addressed one half more."""
     found = [(i, *hits[w]) for i, w in enumerate(words) if w in hits] if hits else []
@@ -234,12 +249,10 @@ def features(words: list[str], hits: dict[str, tuple[float, int]]) -> list[float
         return [0.0] * len(FEATURES)
     total = best = quoted = addressed = fuzzy = 0.0
     for i, weight, k in found:
-        around = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
-        low = {_EDGE.sub("", w.lower()) for w in around}
-        opened = any(q in w for w in words[max(0, i - CONTEXT) : i + 1] for q in QUOTES)
-        closed = any(q in w for w in words[i : i + CONTEXT + 1] for q in QUOTES)
-        is_quoted = (opened and closed) or bool(low & REPORT)
-        is_addressed = bool(low & ADDRESS) or "!" in words[i]
+        low = max(0, i - CONTEXT)
+        kinds = {_KINDS[w] for w in words[low : i + CONTEXT + 1]}
+        is_quoted = 1 in kinds or 3 in kinds or bool(_QUOTE.search(" ".join(words[low : i + 1])) and _QUOTE.search(" ".join(words[i : i + CONTEXT + 1])))
+        is_addressed = 2 in kinds or 3 in kinds or "!" in words[i]
         w = weight * (1 / 3 if is_quoted else 1.0) * (1.5 if is_addressed else 1.0)
         total += w
         best = max(best, w)
