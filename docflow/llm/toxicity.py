@@ -214,7 +214,7 @@ class Lexicon:
                     stack.append((child, (a, b, d)))
         return None if best is None else (best[2], best[0])
 
-    def look_up(self, words: set[str], most: int = 400_000) -> dict[str, tuple[str, int]]:
+    def look_up(self, words: set[str], most: int = 200_000) -> dict[str, tuple[str, int]]:
         """Hits among raw words: term and number of edits."""
         if len(self._known) > most:
             self._known = {w: x for w, x in self._known.items() if x}
@@ -387,7 +387,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         m = _model(sent)
         for b in batches:
             texts = b.column("text").fill_null("")
-            for lo, hi in text_slices(texts, 1 << 22):
+            for lo, hi in text_slices(texts, 1 << 20):
                 p = m.score(texts[lo:hi].to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("key")[lo:hi], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[key, "score", "predicted"])
 

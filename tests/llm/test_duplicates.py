@@ -1,12 +1,13 @@
 """Decontamination, substring dedup, near-duplicates, components."""
 
+import os
 import random
 
 import numpy as np
 import xxhash
 
 from docflow.llm import decontamination, simhash, substring_dedup
-from docflow.llm.common import components
+from docflow.llm.common import components, removed, scratch, written
 from tests.llm.helpers import TEXTS, documents, words
 
 
@@ -193,6 +194,17 @@ def test_split_groups_lose_no_link(spark):
         assert got == want
 
 
+def test_scratch_tables_go(spark):
+    with scratch(spark):
+        inner, kept = written(spark.range(3), "inner"), written(spark.range(4), "kept", kept=True)
+        paths = [x.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/") for x in (inner, kept)]
+        assert all(map(os.path.isdir, paths))
+    assert [os.path.isdir(p) for p in paths] == [False, True]
+    assert kept.count() == 4
+    removed(spark, kept)
+    assert not os.path.isdir(paths[1])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 180)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
