@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.geometry import overlaps
+from pyspark.sql import types as T
 
 THRESHOLD = 0.95
 #: Tags in the order in which they win.
@@ -64,12 +64,25 @@ def _priority(tag: Column, tags: Sequence[str]) -> Column:
 def suppress(boxes: DataFrame, page: str, threshold: float = THRESHOLD, tags: Sequence[str] = PRIORITY, compat: bool = False) -> DataFrame:
     """Rows (page, id, rank) of the boxes that survive greedy suppression, in the order in which they were taken.
 
-    Order: tag priority, then larger area, then id. A box goes if one that was taken before it overlaps it enough. One
-    shuffle by page; the page's boxes are folded in that order, with the boxes kept so far as state.
+    Order: tag priority, then larger area, then id. A box goes if one that was taken before it overlaps it enough. Which boxes
+    do is known from ``overlapping_pairs``, so a page's boxes are walked once in that order, and each looks only at those
+    that it overlaps. Ids are unique within a page. Boxes without a place overlap none and stay.
     """
-    sort = F.struct(
-        _priority(F.col("label"), tags).alias("priority"), (-F.col("bbox.w") * F.col("bbox.h")).alias("area"), F.col("id").alias("id"), *[F.col(f"bbox.{c}").alias(c) for c in ("xc", "yc", "w", "h")]
-    )
-    rows = boxes.groupBy(page).agg(F.sort_array(F.collect_list(sort)).alias("all"))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, c: F.when(F.exists(acc, lambda k: overlaps(k, c, threshold, compat)), acc).otherwise(F.array_append(acc, c)))
-    return rows.select(page, F.posexplode(kept).alias("rank", "box")).select(page, F.col("box.id").alias("id"), (F.col("rank") + 1).alias("rank"))
+    order = boxes.select(page, F.col("id").cast("long").alias("id"), _priority(F.col("label"), tags).alias("priority"), (-F.col("bbox.w") * F.col("bbox.h")).alias("area"))
+    pairs = overlapping_pairs(boxes, page, threshold, compat).select(F.col(page).alias("of_page"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
+    def taken(rows: pa.Table, found: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("priority", "ascending"), ("area", "ascending"), ("id", "ascending")])
+        near: dict[int, list[int]] = {}
+        for a, b in zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        kept: dict[int, int] = {}
+        for i in rows.column("id").to_pylist():
+            if not any(j in kept for j in near.get(i, ())):
+                kept[i] = len(kept) + 1
+        return pa.table({page: rows.column(page).take(pa.array([0] * len(kept), pa.int64())), "id": pa.array(list(kept), pa.int64()), "rank": pa.array(list(kept.values()), pa.int32())})
+
+    shape = T.StructType([order.schema[page], T.StructField("id", T.LongType()), T.StructField("rank", T.IntegerType())])
+    out = order.groupBy(page).cogroup(pairs.groupBy("of_page")).applyInArrow(taken, shape)
+    return out.select(page, F.col("id").cast(boxes.schema["id"].dataType).alias("id"), "rank")

@@ -134,6 +134,21 @@ def test_empty_tables(spark):
     assert headers.levels(spark.createDataFrame([], "doc_id string, id int, fontsize double, thickness double")).count() == 0
 
 
+def test_suppression_of_a_crowded_page(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(0, 12_000, 3):
+        x, y = rng.uniform(0, 1000), rng.uniform(0, 60_000)
+        # a box, its copy under another tag, and one that is moved too far
+        rows += [(1, i, "p", (x, y, 40.0, 20.0)), (1, i + 1, "h1", (x, y, 40.0, 20.0)), (1, i + 2, "li", (x + 5, y, 40.0, 20.0))]
+    boxes = spark.createDataFrame(rows, "page int, id int, label string, bbox struct<xc:double,yc:double,w:double,h:double>")
+    begun = time.perf_counter()
+    got = {r["id"] for r in overlap.suppress(boxes, "page").collect()}
+    assert time.perf_counter() - begun < 30
+    assert not any(i % 3 == 0 for i in got) and sum(i % 3 == 1 for i in got) == 4_000
+    assert overlap.suppress(boxes.limit(0), "page").count() == 0
+
+
 def test_preorder_of_deep_and_wide_pages(spark):
     # a chain, a fan, and parents that come later or are missing
     n = 8_000
