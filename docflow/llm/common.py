@@ -165,18 +165,28 @@ def local_forest(edges: Iterable[tuple[np.ndarray, np.ndarray]]) -> dict[int, in
     return {x: top(x) for x in parent}
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Links that one task joins by union-find at a time.
+BLOCK = 200_000
+
+
+def components(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """Connected components of ``edges(u, v)``: rows (node, component), the component being its smallest node.
 
     Alternates two star steps until nothing changes: every node hands its smallest neighbour to its larger
     neighbours, then to all its smaller ones. The links live in written tables, never on the driver; each step is a
     partial-aggregated minimum, written, and one join of two plain tables, which Spark can split at a hub. Before each round every task joins what
-    it holds by union-find, which is why few rounds are needed. Null ends are dropped; an empty input gives no rows.
+    it holds by union-find, which is why few rounds are needed, and none once all links that are left fit into one block.
+    Null ends are dropped; an empty input gives no rows.
     """
     spark = edges.sparkSession
     now = written(_contracted(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")), "links")
     seen = None
     while True:
+        if now.count() <= block:
+            whole = written(_contracted(now.coalesce(1)), "links")
+            removed(spark, now)
+            now = whole
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -196,7 +206,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _contracted(edges: DataFrame) -> DataFrame:
     """Within blocks of links of one task, each part becomes a star around its smallest node."""
-    block = 200_000
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -211,7 +220,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows >= block:
+            if rows >= BLOCK:
                 yield from flush()
                 held, rows = [], 0
         yield from flush()

@@ -207,6 +207,11 @@ def test_scratch_tables_go(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 180)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
-    got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
-    assert got == {**dict.fromkeys(range(1, 61), 1), **dict.fromkeys(range(100, 180), 100), 200: 200, 201: 200}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    want = {**dict.fromkeys(range(1, 61), 1), **dict.fromkeys(range(100, 180), 100), 200: 200, 201: 200}
+    for block in (0, 200_000):  # by rounds of stars, and in one block
+        assert dict(components(spark.createDataFrame(edges, "u long, v long"), block).collect()) == want
+        assert components(spark.createDataFrame([], "u long, v long"), block).count() == 0
+    # links of one task must not be enough: a path dealt to many partitions
+    path = spark.range(300).selectExpr("id AS u", "id + 1 AS v").repartition(16)
+    got = components(path, 20)
+    assert got.count() == 301 and {r["component"] for r in got.collect()} == {0}
