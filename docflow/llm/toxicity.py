@@ -387,7 +387,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         m = _model(sent)
         for b in batches:
             texts = b.column("text").fill_null("")
-            for lo, hi in text_slices(texts, 1 << 20):
+            for lo, hi in text_slices(texts, 1 << 22):  # words are looked up together: smaller slices cost more
                 p = m.score(texts[lo:hi].to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("key")[lo:hi], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[key, "score", "predicted"])
 
