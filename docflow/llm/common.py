@@ -61,14 +61,15 @@ _SCRATCH: list[list[str]] = []
 def written(df: DataFrame, what: str, kept: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut and a lost executor loses nothing.
 
-    Within a ``scratch`` block the table goes when the block ends, unless it is ``kept``. Outside of one it stays, as a lazy
-    result may read it; it belongs to whoever cleans the shared folder.
+    Within a ``scratch`` block the table goes when the block ends, unless it is ``kept``. Outside of one it stays as long as the
+    session's engine, as a lazy result may read it, and goes when that ends.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, what)
     if _SCRATCH and not kept:
         _SCRATCH[-1].append(path)
     df.write.parquet(path)
+    leaving(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,6 +90,12 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         _delete(spark, root)
 
 
+def leaving(spark: SparkSession, path: str) -> None:
+    """Have a folder that exists deleted when the driver's engine ends, if it is still there then."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -123,6 +130,11 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def separators(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are word separators."""
+    return _IS_SEP[raw]
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words of all rows, and the first word of each row (length rows + 1)."""
     n = len(raw)

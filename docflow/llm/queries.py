@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import spread
-from . import chat, decontamination, langid, quality, simhash, substring_dedup, token_count, toxicity
+from . import chat, decontamination, exact_dedup, fim, hard_negatives, langid, quality, simhash, substring_dedup, token_count, toxicity
 from .common import table
 from .sentencepiece_bpe import encode
 from .url_filter import BLOCK_GLOBS, HOST_RULES, UNRESERVED, filter_urls
@@ -90,6 +90,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of smallest id that has the same words and blanks, by an index of digests."""
+    return exact_dedup.equal_texts(spark, sf_dir)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hardest negatives of each anchor's best positives; anchors are a fiftieth of the vectors."""
+    k = F.col("vec_id")
+    label = F.when(k % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select(k.alias("id"), label.alias("label"), F.col("embedding").alias("vector"), (k % 50 == 0).alias("anchor")))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its fill-in-middle form; digests of that and of the text rebuilt from it."""
+    found = fim.transformed(_documents(spark, sf_dir))
+    digests = {"output_sha256": F.col("output"), "restored_sha256": fim.restored(F.col("output"), F.col("form"))}
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(c, 256).alias(name) for name, c in digests.items()])
+
+
 def _op1_sql() -> str:
     def fits(rule: str) -> str:
         host, slash, path = rule.partition("/")
@@ -158,9 +177,44 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, n::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept"""
 
 
+_OP11_SQL = r"""
+WITH digests AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM digests WINDOW same AS (PARTITION BY text_sha256)"""
+
+_OP12_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER best::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 3"""
+
+_OP13_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(t) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(t) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM tokens),
+cut AS (
+  SELECT *, array_to_string(t[1 : least(a, b)], '') AS prefix, array_to_string(t[least(a, b) + 1 : greatest(a, b)], '') AS middle, array_to_string(t[greatest(a, b) + 1 :], '') AS suffix FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op3_substring_dedup": _OP3_SQL, "op8_chat_formatting": _OP8_SQL}
+    return {"op1_url_filter": _op1_sql(), "op3_substring_dedup": _OP3_SQL, "op8_chat_formatting": _OP8_SQL, "op11_exact_dedup": _OP11_SQL, "op12_hard_negatives": _OP12_SQL, "op13_fim": _OP13_SQL}
