@@ -67,7 +67,10 @@ class Index:
         A batch that is added again adds nothing, so a job that was lost is simply run again. Null keys come after all others.
         """
         new = self._dealt(rows.groupBy("digest").agg(F.min(_place(key)).alias("first")))
-        new = new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        # an anti-join in the form of an outer join without a match: the optimizer would move the other form below the grouping,
+        # and then all copies of a text would travel to the index instead of one row
+        known = self.rows().select(F.col("digest").alias("known")).hint("merge")
+        new = new.join(known, F.col("digest") == F.col("known"), "left").where("known is null")
         new.select("digest", F.col("first.key").alias("keep_id"), F.col("first.batch").alias("batch")).write.insertInto(self.name)
 
     def resolve(self, rows: DataFrame, key: str = "doc_id") -> DataFrame:
