@@ -6,9 +6,9 @@ both engines.
 
 from __future__ import annotations
 
-from . import assets, documents, files, layout, tasks, web
+from . import assets, documents, files, layout, streams, tasks, web
 
-_MODULES = (web, layout, documents, tasks, assets, files)
+_MODULES = (web, layout, documents, tasks, assets, files, streams)
 
 
 def queries() -> dict:

@@ -100,17 +100,18 @@ def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_C.add(
-    """SELECT o_custkey::VARCHAR AS doc_id,
-  string_agg('See ![' || o_orderpriority || '](' || CASE WHEN nth <= 12 THEN 'images/picture-' || nth ELSE 'x_artifacts/image_' || o_orderkey END || '.png).', chr(10) ORDER BY o_orderkey) AS markdown
-FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders) GROUP BY o_custkey"""
+    """WITH said AS (
+  SELECT *, (o_custkey // 20)::VARCHAR AS doc_id, row_number() OVER (PARTITION BY o_custkey // 20 ORDER BY o_orderkey) AS nth, count(*) FILTER (WHERE o_orderstatus <> 'P') OVER (PARTITION BY o_custkey // 20) AS n_assets FROM orders)
+SELECT doc_id, string_agg('See ![' || o_orderpriority || '](' || CASE WHEN nth <= n_assets THEN 'images/picture-' || nth ELSE 'x_artifacts/image_' || o_orderkey END || '.png).', chr(10) ORDER BY o_orderkey) AS markdown
+FROM said GROUP BY doc_id"""
 )
 def relinked_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An exporter's Markdown whose pictures point to the files of the bundle; it has twelve at most here."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), "o_orderkey", "o_orderpriority")
+    """An exporter's Markdown whose pictures point to the files of the bundle, hundreds in a document; some files are missing."""
+    rows = table(spark, sf_dir, "orders").select(F.expr("CAST(o_custkey DIV 20 AS STRING)").alias("doc_id"), "o_orderkey", "o_orderpriority", "o_orderstatus")
     line = F.concat(F.lit("See !["), "o_orderpriority", F.lit("](x_artifacts/image_"), "o_orderkey", F.lit(".png)."))
     texts = rows.groupBy("doc_id").agg(F.array_join(_listed("o_orderkey", line), "\n").alias("markdown"))
-    assets = annotations.asset_paths(rows.select("doc_id", F.col("o_orderkey").alias("id"), F.lit("img").alias("type")), "doc_id")
-    return markdown.relinked(texts, assets.where(F.regexp_extract("path", r"(\d+)", 1).cast("int") <= 12), "doc_id")
+    there = rows.where("o_orderstatus <> 'P'").select("doc_id", F.col("o_orderkey").alias("id"), F.lit("img").alias("type"))
+    return markdown.relinked(texts, annotations.asset_paths(there, "doc_id"), "doc_id")
 
 
 _NS = {"w": "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "a": "http://schemas.openxmlformats.org/drawingml/2006/main", "p": "http://schemas.openxmlformats.org/presentationml/2006/main", "s": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -266,62 +267,6 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("filename", "model", "verdict", F.expr("substring(pdf_path, length(task_id) + 1)").alias("extension"))
 
 
-@_C.add(
-    """SELECT s_suppkey::VARCHAR AS task_id, CASE WHEN s_suppkey % 4 = 3 THEN 'failed' WHEN s_suppkey % 5 = 0 THEN 'failed' ELSE 'completed' END AS status,
-  CASE WHEN s_suppkey % 4 <> 3 AND s_suppkey % 5 <> 0 THEN CASE s_suppkey % 4 WHEN 0 THEN '# ' ELSE '' END || s_name || chr(10) END AS markdown,
-  CASE WHEN s_suppkey % 4 = 3 THEN 'unknown model' WHEN s_suppkey % 5 = 0 THEN 'no result' END AS error FROM supplier"""
-)
-def conversion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task messages as a stream through the conversion loop: results, and the last status of each task."""
-    base = fresh_dir(spark, "conversion")
-    k = F.col("s_suppkey")
-    rows = table(spark, sf_dir, "supplier")
-    asked = rows.select(k.cast("string").alias("task_id"), F.col("s_name").alias("pdf_path"), F.when(k % 4 == 0, "titled").when(k % 4 == 1, "plain").when(k % 4 == 3, "none").alias("model"))
-    asked.repartition(4, "task_id").write.json(f"{base}/queue")
-    known = registry.Registry()
-    name = F.when(F.col("task_id").cast("long") % 5 != 0, F.col("pdf_path"))
-    known.register("plain", ["txt"])(lambda df: df.select("task_id", F.concat(name, F.lit("\n")).alias("markdown")))
-    known.register("titled", ["txt"])(lambda df: df.select("task_id", F.concat(F.lit("# "), name, F.lit("\n")).alias("markdown")))
-    tasks.conversion(tasks.task_stream(spark, f"{base}/queue", 2), known.convert, f"{base}/results", f"{base}/status", f"{base}/checkpoint").awaitTermination()
-    status = tasks.latest_status(spark.read.parquet(f"{base}/status"))
-    return spark.read.parquet(f"{base}/results").select("task_id", "markdown", "error").join(status.select("task_id", "status"), "task_id")
-
-
-_STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
-
-
-@_C.add(
-    f"""WITH RECURSIVE log AS (SELECT user_id::VARCHAR AS task_id, {_STATUS} AS status, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-walk(task_id, n, status, seq) AS (
-  SELECT DISTINCT task_id, 0::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM log
-  UNION ALL
-  SELECT w.task_id, l.n, CASE WHEN ok THEN l.status ELSE w.status END, CASE WHEN ok THEN l.seq ELSE w.seq END
-  FROM (SELECT w.*, l.n AS m, l.status AS s, l.seq AS q, (w.status IS NULL AND l.status = 'pending') OR (w.status = 'pending' AND l.status IN ('processing', 'failed')) OR (w.status = 'processing' AND l.status IN ('completed', 'failed')) AS ok
-        FROM walk w JOIN log l ON l.task_id = w.task_id AND l.n = w.n + 1) w, LATERAL (SELECT m AS n, s AS status, q AS seq) l)
-SELECT task_id, arg_max(status, n) AS status, arg_max(seq, n) AS seq FROM walk WHERE status IS NOT NULL GROUP BY task_id"""
-)
-def guarded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status messages as a stream in which no task skips a step or leaves a final status; two batches or more, in order."""
-    base = fresh_dir(spark, "guarded")
-    status = F.lit("failed")
-    for event, name in (("signup", "pending"), ("click", "processing"), ("view", "processing"), ("purchase", "completed")):
-        status = F.when(F.col("event_type") == event, name).otherwise(status)
-    table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), status.alias("status"), F.col("event_id").alias("seq")).write.parquet(f"{base}/log")
-    stream = spark.readStream.schema("task_id string, status string, seq long").parquet(f"{base}/log")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-    def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/status/batch={number}")
-
-    try:
-        tasks.guarded_status(stream).writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(key, before)
-    return tasks.latest_status(spark.read.parquet(f"{base}/status").select("task_id", "status", "seq"))
-
-
 @_C.add("SELECT r_name AS model, string_agg('.' || lower(n_name), ',' ORDER BY n_name) AS accept FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def models_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry written as a JSON map, and read again as the accept lists of forms; regions stand for models."""

@@ -59,14 +59,15 @@ def relinked(texts: DataFrame, assets: DataFrame, doc: str = "doc_id", text: str
     """
     named = assets.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.length("path").alias("n"), "path"))), lambda a: a["path"]).alias("paths"))
     rows = texts.select(doc, F.col(text).alias("markdown")).join(named, doc, "left")
-    between, said, links = F.split("markdown", _LINK, -1), F.regexp_extract_all("markdown", F.lit(_LINK), F.lit(1)), F.regexp_extract_all("markdown", F.lit(_LINK), F.lit(0))
+    # each text is matched three times, however many images it has; what stands before an image, its description, the image
+    # and its path then lie side by side, and one pass puts them together
+    rows = rows.withColumns({"between": F.split("markdown", _LINK, -1), "said": F.regexp_extract_all("markdown", F.lit(_LINK), F.lit(1)), "link": F.regexp_extract_all("markdown", F.lit(_LINK), F.lit(0)), "path": F.coalesce("paths", F.array().cast("array<string>"))})
 
-    def one(link: Column, i: Column) -> Column:
-        path = F.get("paths", i)
-        return F.when(path.isNull(), link).otherwise(F.concat(F.lit("!["), F.get(said, i), F.lit("]("), path, F.lit(")")))
+    def piece(x: Column) -> Column:
+        new = F.concat(F.lit("!["), x["said"], F.lit("]("), x["path"], F.lit(")"))
+        return F.concat(F.coalesce(x["between"], F.lit("")), F.when(x["link"].isNull(), "").when(x["path"].isNull(), x["link"]).otherwise(new))
 
-    new = F.transform(links, one)
-    return rows.select(doc, F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.get(new, i), F.lit("")))), "").alias("markdown"))
+    return rows.select(doc, F.array_join(F.transform(F.arrays_zip("between", "said", "link", "path"), piece), "").alias("markdown"))
 
 
 def bundle(elements: DataFrame, doc: str = "doc_id") -> DataFrame:

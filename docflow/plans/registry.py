@@ -59,13 +59,17 @@ class Registry:
         """Rows (task_id, markdown, error): each task's file by its model's pipeline, in one plan for each model.
 
         A pipeline takes the tasks and returns rows (task_id, markdown). Tasks of unknown models, and those a pipeline
-        returns nothing for, have an error and no Markdown; the batch never fails for one of them.
+        returns nothing for, have an error and no Markdown; the batch never fails for one of them. A task that was delivered more
+        than once is one task, and has one row.
         """
-        tasks = tasks.withColumn("model", F.coalesce("model", F.lit(self.default)))
+        from ..streaming.tasks import one_a_task
+
+        tasks = one_a_task(tasks).withColumn("model", F.coalesce("model", F.lit(self.default)))
         parts = [p.run(tasks.where(F.col("model") == p.name)).select("task_id", "markdown") for p in self.pipelines.values()]
         done = reduce(DataFrame.unionByName, parts) if parts else tasks.select("task_id", F.lit(None).cast("string").alias("markdown")).limit(0)
         error = F.when(~F.col("model").isin(*self.pipelines), "unknown model").when(F.col("markdown").isNull(), "no result")
-        return tasks.join(done, "task_id", "left").select("task_id", "markdown", error.alias("error"))
+        done = done.groupBy("task_id").agg(F.min("markdown").alias("markdown"))
+        return tasks.select("task_id", "model").join(done, "task_id", "left").select("task_id", "markdown", error.alias("error"))
 
 
 def accepts(filename: Column, extensions: Column) -> Column:

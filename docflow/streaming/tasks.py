@@ -71,6 +71,29 @@ def unbundled(archives: DataFrame) -> DataFrame:
     return archives.select(F.col("task_id").cast("string").alias("task_id"), "zip").mapInArrow(run, "task_id string, path string, content binary")
 
 
+def once(tasks: DataFrame, sent: str = "sent", within: str = "7 days") -> DataFrame:
+    """A stream of messages without those that come again: of each ``task_id`` the first that arrives.
+
+    The ids that have been seen are keyed state, which forgets one when ``within`` has passed in the messages' own time, so it
+    holds what a queue can deliver again and no more. A message that comes later still is a task again, which replaces its
+    result (``latest_results``).
+    """
+    return tasks.withWatermark(sent, within).dropDuplicatesWithinWatermark(["task_id"])
+
+
+def one_a_task(tasks: DataFrame) -> DataFrame:
+    """A table of messages with one row a task: of several the one of least hash, the same in every run.
+
+    Partially aggregated; a task that is delivered very often is one row a partition. Messages without an id are one task.
+    """
+    others = [c for c in tasks.columns if c != "task_id"]
+    if not others:
+        return tasks.distinct()
+    plain = [f.name for f in tasks.schema.fields if f.name != "task_id" and "map" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    kept = tasks.groupBy("task_id").agg(F.min_by(F.struct(*others), F.xxhash64(*plain) if plain else F.lit(0)).alias("rest"))
+    return kept.select("task_id", "rest.*").select(*tasks.columns)
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """Rows (task_id, status, seq): the last status of each task; of equal numbers, the greater word.
 
@@ -80,32 +103,86 @@ def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("task_id").agg(F.max_by("status", order).alias("status"), F.max("seq").alias("seq"))
 
 
+def latest_results(results: DataFrame) -> DataFrame:
+    """Rows (task_id, markdown, error): the result of each task's last conversion, as a task's folder would hold it."""
+    return results.groupBy("task_id").agg(F.max_by(F.struct("markdown", "error"), "seq").alias("r")).select("task_id", "r.markdown", "r.error")
+
+
+def step(now: str | None, status: str) -> bool:
+    """A task in status ``now`` (None: unknown) may take this step."""
+    return status == "pending" if now is None else status in NEXT[now]
+
+
 class _Guard(StatefulProcessor):
-    """Keeps each task's status and lets only allowed steps through."""
+    """Each task's steps in the order of their numbers, whatever the order in which they arrive.
+
+    ``done`` is the status after all steps that are settled, ``waiting`` has the steps since then, ``last`` the status after
+    those. A step that is behind the others is put in its place and what follows is replayed from ``done``; steps in order
+    go on from ``last``. Where steps settle, a timer does it when the watermark has passed them: what is missing before them
+    comes no more.
+    """
+
+    def __init__(self, settles: bool) -> None:
+        self.settles = settles
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._now = handle.getValueState("now", "status string, seq long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now, seq = self._now.get() if self._now.exists() else (None, -1)
-        found = pd.concat(list(rows)).sort_values(["seq", "status"])
-        for s, n in zip(found["status"], found["seq"], strict=True):
-            if (now is None and s == "pending") or (now is not None and s in NEXT[now]):
-                now, seq = s, int(n)
-        if now is not None:
-            self._now.update((now, seq))
-            yield pd.DataFrame({"task_id": [key[0]], "status": [now], "seq": [seq]})
+        self._handle = handle
+        self._done = handle.getValueState("done", "status string, seq long, upto long")
+        self._last = handle.getValueState("last", "status string, seq long, upto long")
+        self._waiting = handle.getMapState("waiting", "seq long, status string", "sent long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = pd.concat(list(rows))
+        done, last = (s.get() if s.exists() else (None, -1, -(1 << 62)) for s in (self._done, self._last))
+        steps = sorted({(int(n), s): int(t) for s, n, t in zip(found["status"], found["seq"], found["sent"], strict=True) if n > done[2]}.items())
+        for k, t in steps:
+            self._waiting.updateValue(k, (t,))
+        if steps and self.settles:
+            self._handle.registerTimer(min(t for _, t in steps))
+        behind = bool(steps) and steps[0][0][0] <= last[2]
+        status, seq, upto = done if behind else last
+        for (n, s), _ in sorted(((tuple(k), v[0]) for k, v in self._waiting.iterator()), key=lambda x: x[0]) if behind else steps:
+            if step(status, s):
+                status, seq = s, n
+            upto = max(upto, n)
+        self._last.update((status, seq, upto))
+        if status is not None:
+            yield pd.DataFrame({"task_id": [key[0]], "status": [status], "seq": [seq]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        limit = expiredTimerInfo.getExpiryTimeInMs()
+        status, seq, upto = self._done.get() if self._done.exists() else (None, -1, -(1 << 62))
+        waiting = sorted(((tuple(k), v[0]) for k, v in self._waiting.iterator()), key=lambda x: x[0])
+        for (n, s), sent in waiting:
+            if sent > limit:  # ones that are missing before it may still come
+                self._handle.registerTimer(sent)
+                break
+            if step(status, s):
+                status, seq = s, n
+            upto = n
+            self._waiting.removeKey((n, s))
+        self._done.update((status, seq, upto))
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def guarded_status(log: DataFrame) -> DataFrame:
-    """A stream of (task_id, status, seq) in which no task leaves a final status or skips a step.
+def guarded_status(log: DataFrame, sent: str | None = None, gap: str | None = None) -> DataFrame:
+    """A stream of (task_id, status, seq) in which no task leaves a final status or skips a step, by the order of ``seq``.
 
-    Needs the RocksDB state store; state is one small row a task.
+    Messages may arrive in any order and more than once; a row comes for each task of a batch, with its status by all that has
+    arrived. With ``sent`` (a time column) and ``gap`` (an interval) a step settles when messages have come that were sent a
+    gap after it; what should have come before it is then late and passed over. Without them every step waits, and state holds
+    them all. Needs the RocksDB state store.
     """
-    return log.groupBy("task_id").transformWithStateInPandas(_Guard(), STATUS, "update", "none")
+    if (sent is None) != (gap is None):
+        raise ValueError("a gap needs the time at which messages were sent, and the other way round")
+    if sent is None:
+        rows = log.select("task_id", "status", "seq", F.lit(0).cast("long").alias("sent"))
+        return rows.groupBy("task_id").transformWithStateInPandas(_Guard(False), STATUS, "update", "none")
+    rows = log.select("task_id", "status", "seq", F.unix_millis(sent).alias("sent"), F.col(sent).alias("_sent")).withWatermark("_sent", gap)
+    return rows.groupBy("task_id").transformWithStateInPandas(_Guard(True), STATUS, "update", "eventtime")
 
 
 def status_answer(requests: DataFrame, status: DataFrame) -> DataFrame:
@@ -121,22 +198,36 @@ def result_answer(requests: DataFrame, status: DataFrame, results: DataFrame) ->
     return rows.select("task_id", code.alias("code"), F.when(code == 200, F.col("markdown")).alias("markdown"))
 
 
-def conversion(tasks: DataFrame, convert: Callable[[DataFrame], DataFrame], results: str, status: str, checkpoint: str) -> StreamingQuery:
+def conversion(tasks: DataFrame, convert: Callable[[DataFrame], DataFrame], results: str, status: str, checkpoint: str, sent: str | None = None, within: str = "7 days", available: bool = True) -> StreamingQuery:
     """Start the loop: every batch of tasks is converted, results and status are appended as Parquet.
 
     ``convert`` returns (task_id, markdown, error). Each batch writes a folder named by its number, so a batch that runs
-    again after a crash replaces its own output. A task that fails has a status and an error, and is not tried again.
+    again after a crash replaces its own output. A task that fails has a status and an error, and is not tried again. With
+    ``sent``, the messages' time column, those that are delivered again ``within`` that time are passed over; several in one
+    batch are one task in any case. ``available`` ends the loop when what is there has been read.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        done = convert(df).withColumn("seq", F.lit(number).cast("long") * 2 + 1)
+        # state moves once a batch, so the tasks are read once; all else reads what is written here
+        one_a_task(df).write.mode("overwrite").parquet(f"{results}-asked/batch={number}")
+        asked = df.sparkSession.read.schema(df.schema).parquet(f"{results}-asked/batch={number}")
+        done = convert(asked).withColumn("seq", F.lit(number).cast("long") * 2 + 1)
         done.write.mode("overwrite").parquet(f"{results}/batch={number}")
         written = df.sparkSession.read.parquet(f"{results}/batch={number}")
-        begun = df.select("task_id", F.lit("processing").alias("status"), F.lit(number * 2).cast("long").alias("seq"))
+        begun = asked.select("task_id", F.lit("processing").alias("status"), F.lit(number * 2).cast("long").alias("seq"))
         ended = written.select("task_id", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "seq")
         begun.unionByName(ended).write.mode("overwrite").parquet(f"{status}/batch={number}")
 
-    return tasks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = (tasks if sent is None else once(tasks, sent, within)).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (stream.trigger(availableNow=True) if available else stream.trigger(processingTime="0 seconds")).start()
+
+
+def drained(query: StreamingQuery) -> None:
+    """Wait until a running stream has read all there is, and stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def bundles(assets: DataFrame) -> DataFrame:

@@ -61,16 +61,6 @@ def test_conversion_loop(spark, tmp_path):
     assert {r["task_id"]: r["status"] for r in tasks.latest_status(log).collect()} == {"1": "completed", "2": "completed", "3": "failed"}
 
 
-def test_guarded_status(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    steps = [("a", "pending", 1), ("a", "processing", 2), ("a", "completed", 3), ("a", "processing", 4), ("b", "completed", 1), ("c", "pending", 1), ("c", "completed", 2)]
-    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps({"task_id": t, "status": s, "seq": n}) for t, s, n in steps))
-    stream = spark.readStream.schema("task_id string, status string, seq long").json(str(tmp_path / "in"))
-    query = tasks.guarded_status(stream).writeStream.format("memory").queryName("guarded").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {r["task_id"]: (r["status"], r["seq"]) for r in spark.table("guarded").collect()} == {"a": ("completed", 3), "c": ("pending", 1)}
-
-
 def test_discovered_pipelines():
     assert pipelines.REGISTRY.discover("docflow.pipelines") == ["office", "plain"]
     assert pipelines.REGISTRY.default == "plain"
