@@ -34,3 +34,16 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     n = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
+def stored(rows: DataFrame, what: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back: lineage is cut, and a lost executor loses nothing.
+
+    A lazy result may read the table, so it stays until the session's engine ends.
+    """
+    spark = rows.sparkSession
+    path = fresh_dir(spark, what)
+    rows.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -205,6 +205,19 @@ def test_links_beyond_the_assets_stay(spark):
     assert got["a"] == "x ![p](images/picture-1.png) y\n![](images/picture-2.png)![q](z)" and got["b"] == "![p](u.png)" and not got["c"]
 
 
+def test_relinking_thousands_of_pictures(spark):
+    n = 10_000
+    text = "start " + "\n".join(f"a ![p{i}](old/{i}.png) b" for i in range(n)) + " end"
+    texts = spark.createDataFrame([("many", text), ("none", None), ("plain", "no picture ![x] (y)")], "doc_id string, markdown string")
+    assets = spark.range(n - 5).select(F.lit("many").alias("doc_id"), F.concat(F.lit("images/picture-"), F.col("id") + 1, F.lit(".png")).alias("path"))
+    markdown.relinked(texts.limit(1), assets.limit(10)).collect()  # starts the engine
+    began = time.perf_counter()
+    got = dict(markdown.relinked(texts, assets).collect())
+    assert time.perf_counter() - began < 5
+    want = "start " + "\n".join(f"a ![p{i}]({f'images/picture-{i + 1}.png' if i < n - 5 else f'old/{i}.png'}) b" for i in range(n)) + " end"
+    assert got == {"many": want, "none": None, "plain": "no picture ![x] (y)"}
+
+
 def test_png_holds_the_pixels(spark):
     x = np.arange(2 * 3 * 3, dtype=np.uint8)
     raw = pixels.png(x.tobytes(), 3, 2, 3)
