@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,43 +93,112 @@ def children(rows: DataFrame, page: str) -> DataFrame:
     return rows.where("parent_ord is not null").groupBy(page, "parent_ord").agg(F.transform(kids, lambda k: k["id"]).alias("children"))
 
 
-def preorder(rows: DataFrame, page: str) -> DataFrame:
-    """Adds ``nth`` (place in the preorder walk of the page's tree, from 1) and ``depth``, from ``ord`` and ``parent_ord``.
+#: Rows of a page that one task walks.
+CROWDED = 500_000
+
 
-    A page's rows meet in one shuffle and are walked in time that grows with their number alone, however deep the tree. A
-    parent that does not come before its child makes the child a root, so there are no cycles.
+def preorder(rows: DataFrame, page: str, crowded: int = CROWDED) -> DataFrame:
+    """Adds ``nth`` (place in the preorder walk of the page's tree, from 1), ``depth`` and ``parent_id``, from ``ord``, ``parent_ord`` and ``id``.
+
+    ``ord`` numbers a page's rows. A parent that is not among them or does not come before its child makes the child a root, so
+    there are no cycles. Pages are walked one after another where their rows lie, in time that grows with their number alone,
+    however deep the tree; the walk of a page of over ``crowded`` rows is ranked by ``_toured`` instead, over all tasks.
     """
-    schema = T.StructType([*rows.schema, T.StructField("nth", T.IntegerType()), T.StructField("depth", T.IntegerType())])
+    from ..storage import stored
+
+    rows = stored(rows, "tree")
+    large = stored(rows.groupBy(page).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select(F.col(page).alias("large")), "large-pages")
+    if large.isEmpty():
+        return _walked(rows, page)
+    same = F.col(page).eqNullSafe(F.col("large"))
+    return _walked(rows.join(large, same, "left_anti"), page).unionByName(_toured(rows.join(large, same, "left_semi"), page))
 
-    def walked(table: pa.Table) -> pa.Table:
-        at = table.column("ord").to_pylist()
-        up = table.column("parent_ord").to_pylist()
-        order = sorted(range(len(at)), key=lambda i: at[i])
+
+def _walked(rows: DataFrame, page: str) -> DataFrame:
+    """The walk of pages that each fit into a task."""
+    added = [T.StructField("nth", T.IntegerType()), T.StructField("depth", T.IntegerType()), T.StructField("parent_id", rows.schema["id"].dataType)]
+
+    def walked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        at, up = table.column("ord").to_pylist(), table.column("parent_ord").to_pylist()
+        pages = np.asarray(table.column(page).combine_chunks().dictionary_encode(null_encoding="encode").indices)
+        above, nth, depth = np.full(len(at), -1), [0] * len(at), [0] * len(at)
         row_of: dict[int, int] = {}
-        below: list[list[int]] = [[] for _ in at]
-        roots = []
-        for i in order:
-            above = row_of.get(up[i])
-            (roots if above is None else below[above]).append(i)
-            row_of.setdefault(at[i], i)
-        nth, depth, done = [0] * len(at), [0] * len(at), 0
-        todo = roots[::-1]
-        while todo:
-            i = todo.pop()
-            done += 1
-            nth[i] = done
-            for child in reversed(below[i]):
-                depth[child] = depth[i] + 1
-                todo.append(child)
-        return table.append_column("nth", pa.array(nth, pa.int32())).append_column("depth", pa.array(depth, pa.int32()))
-
-    return rows.groupBy(page).applyInArrow(walked, schema)
+        firsts = np.flatnonzero(np.r_[True, pages[1:] != pages[:-1]]).tolist()
+        for lo, hi in zip(firsts, [*firsts[1:], len(at)], strict=True):
+            row_of.clear()
+            for i in range(lo, hi):
+                above[i] = row_of.get(up[i], -1)
+                row_of.setdefault(at[i], i)
+            size = [1] * (hi - lo)
+            for i in range(hi - 1, lo - 1, -1):
+                if above[i] >= 0:
+                    size[above[i] - lo] += size[i - lo]
+            # parents come before their children, which take the places after them one by one
+            free, root = [0] * (hi - lo), 1
+            for i in range(lo, hi):
+                if above[i] < 0:
+                    nth[i], root = root, root + size[i - lo]
+                else:
+                    nth[i], depth[i] = free[above[i] - lo], depth[above[i]] + 1
+                    free[above[i] - lo] += size[i - lo]
+                free[i - lo] = nth[i] + 1
+        parent = table.column("id").combine_chunks().take(pa.array(above, mask=above < 0))
+        for name, values in (("nth", pa.array(nth, pa.int32())), ("depth", pa.array(depth, pa.int32())), ("parent_id", parent)):
+            table = table.append_column(name, values)
+        yield from table.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pages = b.column(page).dictionary_encode(null_encoding="encode").indices
+            cut = b.num_rows - pc.sum(pc.equal(pages, pages[-1])).as_py()
+            if cut or (held and not held[0].column(page)[-1].equals(b.column(page)[-1])):
+                yield from walked(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from walked(pa.Table.from_batches(held))
+
+    return rows.repartition(page).sortWithinPartitions(page, "ord").mapInArrow(run, T.StructType([*rows.schema, *added]))
+
+
+def _toured(rows: DataFrame, page: str) -> DataFrame:
+    """The walk of large pages, by list ranking of their Euler tours.
+
+    The tour enters and leaves each element once; what follows each step is known from its first child, next sibling and parent.
+    Every step knows the entries and the rise from itself to before the one it points to, and each round it takes over those
+    of that one and points where it points, so the tour is ranked in as many joins as its length has bits. Steps are dealt
+    by themselves, not by page.
+    """
+    from ..storage import gone, stored
+
+    above = rows.select(F.col(page).alias("_page"), F.col("ord").alias("_ord"), F.col("id").alias("parent_id"))
+    hung = rows.join(above, F.col(page).eqNullSafe(F.col("_page")) & (F.col("parent_ord") == F.col("_ord")) & (F.col("_ord") < F.col("ord")), "left").drop("_page")
+    hung = stored(hung.withColumn("after", F.lead("ord").over(Window.partitionBy(page, "_ord").orderBy("ord"))), "hung")
+    ord_, up = F.col("ord").cast("long"), F.col("_ord").cast("long")
+    first = hung.where("_ord is not null").groupBy(F.col(page).alias("_page"), F.col("_ord").alias("_parent")).agg(F.min("ord").alias("first"))
+    steps = hung.join(first, F.col(page).eqNullSafe(F.col("_page")) & (F.col("ord") == F.col("_parent")), "left")
+    enter = F.struct((2 * ord_).alias("step"), F.coalesce(2 * F.col("first").cast("long"), 2 * ord_ + 1).alias("to"), F.lit(1).alias("entries"), F.lit(1).alias("rise"))
+    leave = F.struct((2 * ord_ + 1).alias("step"), F.coalesce(2 * F.col("after").cast("long"), 2 * up + 1).alias("to"), F.lit(0).alias("entries"), F.lit(-1).alias("rise"))
+    tour = stored(steps.select(F.col(page).alias("p"), F.explode(F.array(enter, leave)).alias("s")).select("p", "s.*"), "tour")
+    while not tour.where("to is not null").isEmpty():
+        ahead = tour.select(F.col("p").alias("q"), F.col("step").alias("at"), F.col("to").alias("next"), F.col("entries").alias("e"), F.col("rise").alias("r"))
+        joined = tour.join(ahead, F.col("p").eqNullSafe(F.col("q")) & (F.col("to") == F.col("at")), "left")
+        further = stored(joined.select("p", "step", F.col("next").alias("to"), (F.col("entries") + F.coalesce("e", F.lit(0))).alias("entries"), (F.col("rise") + F.coalesce("r", F.lit(0))).alias("rise")), "tour")
+        gone(tour)
+        tour = further
+    # what is known now is the rest of the tour from each step on
+    sizes = hung.groupBy(F.col(page).alias("_page")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    ranked = tour.where("step % 2 = 0").select("p", (F.col("step") / 2).cast("long").alias("at"), "entries", "rise")
+    found = hung.join(ranked, F.col(page).eqNullSafe(F.col("p")) & (ord_ == F.col("at"))).join(F.broadcast(sizes), F.col(page).eqNullSafe(F.col("_page")))
+    return found.select(*rows.columns, (F.col("n") - F.col("entries") + 1).alias("nth"), (-F.col("rise")).alias("depth"), "parent_id")
 
 
 def edges(rows: DataFrame, page: str) -> DataFrame:
-    """Rows (page, ord, parent_id, child_id): the tree's edges in preorder, numbered from 1; from ``nth``."""
-    ids = rows.select(page, F.col("ord").alias("parent_ord"), F.col("id").alias("parent_id"))
-    found = rows.where("parent_ord is not null").join(ids, [page, "parent_ord"])
+    """Rows (page, ord, parent_id, child_id): the tree's edges in preorder, numbered from 1; from ``nth`` and ``parent_id``."""
+    found = rows.where("parent_id is not null")
     return found.select(page, F.row_number().over(Window.partitionBy(page).orderBy("nth")).alias("ord"), "parent_id", F.col("id").alias("child_id"))
 
 

@@ -47,3 +47,11 @@ def stored(rows: DataFrame, what: str) -> DataFrame:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def gone(table: DataFrame) -> None:
+    """Delete a stored table that no later plan reads."""
+    context = table.sparkSession.sparkContext
+    for root in {f.rsplit("/", 1)[0] for f in table.inputFiles()[:1]}:
+        where = context._jvm.org.apache.hadoop.fs.Path(root)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

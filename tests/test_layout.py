@@ -154,10 +154,30 @@ def test_preorder_of_deep_and_wide_pages(spark):
     # a chain, a fan, and parents that come later or are missing
     n = 8_000
     rows = [("chain", i, i - 1 if i > 1 else None) for i in range(1, n + 1)] + [("fan", i, 1 if i > 1 else None) for i in range(1, n + 1)] + [("odd", 1, 2), ("odd", 2, 9), ("odd", 3, 1), ("odd", 4, None), ("odd", 5, 2)]
-    tree = spark.createDataFrame(rows, "page string, ord int, parent_ord int")
+    tree = spark.createDataFrame([(p, o, up, 10 * o) for p, o, up in rows], "page string, ord int, parent_ord int, id int")
     begun = time.perf_counter()
     got = {(r["page"], r["ord"]): (r["nth"], r["depth"]) for r in hierarchy.preorder(tree, "page").collect()}
     assert time.perf_counter() - begun < 20
     assert all(got["chain", i] == (i, i - 1) and got["fan", i] == (i, int(i > 1)) for i in range(1, n + 1))
     assert {k[1]: v for k, v in got.items() if k[0] == "odd"} == {1: (1, 0), 3: (2, 1), 2: (3, 0), 5: (4, 1), 4: (5, 0)}
     assert hierarchy.preorder(tree.limit(0), "page").count() == 0
+
+
+def test_ranked_tours_equal_walks(spark):
+    rng = random.Random(14)
+    rows = [(p, o, rng.choice([None, rng.randint(1, o), max(1, o - 1), 1, o + 2]), f"x{o}") for p in ("a", "b", None) for o in range(1, 60)]
+    rows += [("chain", o, o - 1, f"x{o}") for o in range(1, 200)] + [("one", 7, None, "x")]
+    tree = spark.createDataFrame([(*r, rng.random()) for r in rows], "page string, ord int, parent_ord int, id string, more double")
+    columns = [*tree.columns, "nth", "depth", "parent_id"]
+    gots = []
+    for crowded in (hierarchy.CROWDED, 0, 59):  # all walked, all ranked, the chain ranked
+        found = hierarchy.preorder(tree, "page", crowded)
+        assert found.columns == columns
+        gots.append(sorted(map(tuple, found.collect()), key=repr))
+    assert gots[0] == gots[1] == gots[2] and len(gots[0]) == len(rows)
+    at = {(r[0], r[1]): r for r in gots[0]}
+    for page, o, up, *_, nth, depth, parent in gots[0]:
+        above = at.get((page, up)) if up is not None and up < o else None
+        assert parent == (above[3] if above else None) and depth == (above[6] + 1 if above else 0) and (not above or above[5] < nth)
+    for page in ("a", "b", None, "chain"):
+        assert sorted(r[5] for r in gots[0] if r[0] == page) == list(range(1, 1 + sum(r[0] == page for r in rows)))
