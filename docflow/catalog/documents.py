@@ -104,12 +104,13 @@ def odd_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.concat("markdown", F.lit("\n")).alias("markdown"))
 
 
-@_C.add("SELECT n_regionkey, string_agg('|' || replace(n_name, 'I', ' ') || '|' || CASE WHEN n_nationkey % 3 = 0 THEN 'None' ELSE n_nationkey::VARCHAR END || '|', chr(10) ORDER BY n_nationkey) AS pipes FROM nation GROUP BY n_regionkey")
+@_C.add("SELECT o_custkey AS doc_id, string_agg('|' || replace(o_orderpriority, '-', ' ') || '|' || CASE WHEN o_orderkey % 3 = 0 THEN 'None' ELSE o_orderkey::VARCHAR END || '|', chr(10) ORDER BY o_orderkey) AS pipes FROM orders GROUP BY o_custkey")
 def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of cells as pipe tables; line breaks in cells become blanks, missing cells are spelled out."""
-    cells = F.array(F.regexp_replace("n_name", "I", "\n"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey").cast("string")))
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", cells.alias("cells")))).alias("rows"))
-    return rows.select("n_regionkey", X.pipe_table(F.transform("rows", lambda r: r["cells"])).alias("pipes"))
+    k = F.col("o_orderkey")
+    cells = F.array(F.regexp_replace("o_orderpriority", "-", "\n"), F.when(k % 3 != 0, k.cast("string")))
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", cells.alias("cells")))).alias("rows"))
+    return rows.select("doc_id", X.pipe_table(F.transform("rows", lambda r: r["cells"])).alias("pipes"))
 
 
 _WORDS = "list_filter(regexp_split_to_array(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' +'), lambda w: w <> '')"

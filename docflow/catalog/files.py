@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import hierarchy
 from ..plans import markdown, registry
 from ..sources import adapters, annotations, html
+from ..sources import archives as packages
 from ..storage import fresh_dir
 from ..streaming import tasks
 from .base import Catalog, table
@@ -24,48 +25,73 @@ def _listed(order: str, value: Column) -> Column:
     return F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"])
 
 
-@_C.add("SELECT n_regionkey::VARCHAR AS doc_id, n_nationkey AS id, 'p' AS type, n_name AS text, (n_nationkey / 2.0)::DOUBLE AS w FROM nation")
+_ITEMS = """
+WITH items AS (
+  SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus)::INTEGER AS id, l_quantity, l_returnflag || l_linestatus AS said, l_linenumber, l_partkey FROM lineitem)
+"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a supplier has delivered, numbered; stands for the elements of a document."""
+    nth = F.row_number().over(hierarchy.Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"))
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", nth.alias("id"), "l_quantity", F.concat("l_returnflag", "l_linestatus").alias("said"), "l_linenumber", "l_partkey")
+
+
+@_C.add(_ITEMS + "SELECT l_suppkey::VARCHAR AS doc_id, id, 'p' AS type, said AS text, (l_quantity / 2)::DOUBLE AS w FROM items")
 def annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements written as one JSON array a document, and read again under the element schema."""
-    n = F.col("n_nationkey")
+    n = F.col("l_quantity")
     box = F.struct(*[c.cast("double").alias(k) for k, c in (("xc", n), ("yc", n), ("w", n / 2), ("h", n))])
-    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("doc_id"), n.alias("id"), box.alias("bbox"), F.lit("p").alias("type"), F.col("n_name").alias("text"))
+    rows = _items(spark, sf_dir).select(F.col("l_suppkey").cast("string").alias("doc_id"), "id", box.alias("bbox"), F.lit("p").alias("type"), F.col("said").alias("text"))
     out = fresh_dir(spark, "annotations")
-    annotations.to_json_text(rows, "doc_id", "id", "doc_id", "id", "bbox", "type", "text").select(F.col("doc_id").alias("file"), F.col("annotations").alias("value")).write.partitionBy("file").text(out)
+    annotations.to_json_text(rows, "doc_id", "id", "doc_id", "id", "bbox", "type", "text").select(F.col("doc_id").alias("file"), F.col("annotations").alias("value")).repartition("file").write.partitionBy("file").text(out)
     return annotations.read_elements(spark, out).select("doc_id", "id", "type", "text", "bbox.w")
 
 
-@_C.add("SELECT n_regionkey AS page, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INTEGER AS ord, n_regionkey AS parent_id, (n_nationkey + 100)::INTEGER AS child_id FROM nation")
+@_C.add(_ITEMS + "SELECT l_suppkey::INTEGER AS page, id AS ord, l_linenumber::INTEGER AS parent_id, (l_partkey + 100)::INTEGER AS child_id FROM items")
 def edge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written as one text a page, and read again line by line."""
-    rows = table(spark, sf_dir, "nation")
-    ord_ = F.row_number().over(hierarchy.Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
-    found = rows.select(F.col("n_regionkey").alias("page"), ord_.alias("ord"), F.col("n_regionkey").alias("parent_id"), (F.col("n_nationkey") + 100).alias("child_id"))
+    found = _items(spark, sf_dir).select(F.col("l_suppkey").alias("page"), F.col("id").alias("ord"), F.col("l_linenumber").alias("parent_id"), (F.col("l_partkey") + 100).alias("child_id"))
     out = fresh_dir(spark, "edges")
-    hierarchy.edge_text(found, "page").select("page", F.col("edges").alias("value")).write.partitionBy("page").text(out)
+    hierarchy.edge_text(found, "page").select("page", F.col("edges").alias("value")).repartition("page").write.partitionBy("page").text(out)
     read = annotations.read_edges(spark, out)
     return read.select(F.regexp_extract("path", r"page=(\d+)", 1).cast("int").alias("page"), (F.col("ord") + 1).alias("ord"), "parent_id", "child_id")
 
 
-@_C.add("SELECT n_regionkey::VARCHAR AS task_id, string_agg(n_name || chr(10), chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")
+@_C.add("SELECT (o_custkey // 20)::VARCHAR AS task_id, string_agg(o_orderpriority || chr(10), chr(10) ORDER BY o_orderkey) AS markdown FROM orders GROUP BY o_custkey // 20")
 def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written as one text file a task, and read again."""
-    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("task_id"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("content"))
+    rows = table(spark, sf_dir, "orders").select(F.expr("CAST(o_custkey DIV 20 AS STRING)").alias("task_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("content"))
     out = fresh_dir(spark, "markdown")
     tasks.write_markdown(markdown.assembled(rows, "task_id", "id", "content"), out)
     return tasks.read_markdown(spark, out)
 
 
-@_C.add("SELECT c_nationkey::VARCHAR AS task_id, 'images/picture-' || c_custkey || '.png' AS path, c_name AS content FROM customer")
+@_C.add("SELECT (c_custkey // 30)::VARCHAR AS task_id, 'images/picture-' || c_custkey || '.png' AS path, c_name AS content FROM customer")
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of each task in one archive, and out of it again."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("task_id"), F.concat(F.lit("images/picture-"), "c_custkey", F.lit(".png")).alias("path"), F.encode("c_name", "UTF-8").alias("content"))
+    """The files of each task in one archive value, and out of it again."""
+    rows = table(spark, sf_dir, "customer").select(F.expr("CAST(c_custkey DIV 30 AS STRING)").alias("task_id"), F.concat(F.lit("images/picture-"), "c_custkey", F.lit(".png")).alias("path"), F.encode("c_name", "UTF-8").alias("content"))
     return tasks.unbundled(tasks.bundles(rows)).select("task_id", "path", F.decode("content", "UTF-8").alias("content"))
 
 
+@_C.add(
+    """WITH files AS (SELECT o_custkey // 50 AS task, o_orderpriority AS said, 'images/' || o_custkey || '.png' AS path FROM orders),
+once AS (SELECT task, path, said, row_number() OVER (PARTITION BY task, path ORDER BY sha256(said)) AS nth FROM (SELECT DISTINCT * FROM files))
+SELECT task::VARCHAR AS task_id, CASE nth WHEN 1 THEN path ELSE replace(path, '.png', '-' || nth || '.png') END AS path, said AS content, '' AS error FROM once"""
+)
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives as files, of which members are read again by their places; files of one name and other content are numbered."""
+    path = F.concat(F.lit("images/"), "o_custkey", F.lit(".png"))
+    rows = table(spark, sf_dir, "orders").select(F.expr("CAST(o_custkey DIV 50 AS STRING)").alias("task_id"), path.alias("path"), F.encode("o_orderpriority", "UTF-8").alias("content"))
+    out = fresh_dir(spark, "archive-files")
+    packages.write_archives(rows, out)
+    found = packages.contents(packages.archive_members(spark, out))
+    return found.select("task_id", "path", F.decode("content", "UTF-8").alias("content"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 _PARTS = """
 WITH parts AS (
-  SELECT p_brand AS doc_id, p_partkey::INTEGER AS id, (p_size % 3 + 1)::INTEGER AS page, CASE p_partkey % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'li' ELSE 'img' END AS type,
+  SELECT (p_partkey // 40)::VARCHAR AS doc_id, p_partkey::INTEGER AS id, (p_size % 3 + 1)::INTEGER AS page, CASE p_partkey % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'li' ELSE 'img' END AS type,
          CASE WHEN p_partkey % 3 < 2 THEN p_name END AS text, CASE WHEN p_partkey % 3 = 2 THEN 'images/' || p_partkey || '.png' END AS src
   FROM part)
 """
@@ -76,7 +102,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None)
     box = F.struct(*[(k % m).cast("double").alias(n) for n, m in (("xc", 7), ("yc", 11), ("w", 13), ("h", 17))])
     return table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("doc_id"), k.cast("int").alias("id"), (F.col("p_size") % 3 + 1).cast("int").alias("page"), box.alias("bbox"), F.when(k % 3 == 0, "p").when(k % 3 == 1, "li").otherwise("img").alias("type"), F.when(k % 3 < 2, F.col("p_name")).alias("text"),
+        F.expr("CAST(p_partkey DIV 40 AS STRING)").alias("doc_id"), k.cast("int").alias("id"), (F.col("p_size") % 3 + 1).cast("int").alias("page"), box.alias("bbox"), F.when(k % 3 == 0, "p").when(k % 3 == 1, "li").otherwise("img").alias("type"), F.when(k % 3 < 2, F.col("p_name")).alias("text"),
         none.cast("double").alias("fontsize"), none.cast("double").alias("thickness"), none.cast("string").alias("html"), F.when(k % 3 == 2, F.concat(F.lit("images/"), k, F.lit(".png"))).alias("src"),
     )
 
@@ -118,27 +144,31 @@ _NS = {"w": "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "a":
 
 
 def _office(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (task_id, content): one word-processor, slide and spreadsheet file for each region."""
-    rows = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("region"))
-    n = F.col("n_name")
-    word = F.concat(F.lit('<w:p><w:pPr><w:pStyle w:val="'), F.when(F.col("n_nationkey") % 2 == 0, "Heading1").otherwise("ListBullet"), F.lit('"/></w:pPr><w:r><w:t>'), n, F.lit("</w:t></w:r></w:p>"))
+    """Rows (task_id, content): one word-processor, slide and spreadsheet file for the orders of each twenty customers."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.expr("CAST(o_custkey DIV 20 AS STRING)").alias("file"))
+    n, k = F.col("o_orderpriority"), F.col("o_orderkey")
+    word = F.concat(F.lit('<w:p><w:pPr><w:pStyle w:val="'), F.when(k % 2 == 0, "Heading1").otherwise("ListBullet"), F.lit('"/></w:pPr><w:r><w:t>'), n, F.lit("</w:t></w:r></w:p>"))
     slide = F.concat(F.lit("<p:sp><p:nvSpPr><p:nvPr/></p:nvSpPr><p:txBody><a:p><a:r><a:t>"), n, F.lit("</a:t></a:r></a:p></p:txBody></p:sp>"))
-    sheet = F.concat(F.lit("<row><c><v>"), F.col("n_nationkey"), F.lit('</v></c><c t="inlineStr"><is><t>'), n, F.lit("</t></is></c></row>"))
-    texts = rows.agg(*[F.array_join(_listed("n_nationkey", c), "").alias(k) for k, c in (("docx", word), ("pptx", slide), ("xlsx", sheet))])
+    sheet = F.concat(F.lit("<row><c><v>"), k, F.lit('</v></c><c t="inlineStr"><is><t>'), n, F.lit("</t></is></c></row>"))
+    texts = rows.agg(*[F.array_join(_listed("o_orderkey", c), "").alias(x) for x, c in (("docx", word), ("pptx", slide), ("xlsx", sheet))])
     files = {
         "docx": ("word/document.xml", f'<w:document xmlns:w="{_NS["w"]}"><w:body>', "</w:body></w:document>"),
         "pptx": ("ppt/slides/slide1.xml", f'<p:sld xmlns:p="{_NS["p"]}" xmlns:a="{_NS["a"]}"><p:cSld><p:spTree>', "</p:spTree></p:cSld></p:sld>"),
         "xlsx": ("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_NS["s"]}"><sheetData>', "</sheetData></worksheet>"),
     }
-    one = F.array(*[F.struct(F.concat("region", F.lit(f".{k}")).alias("task_id"), F.lit(path).alias("path"), F.encode(F.concat(F.lit(a), F.col(k), F.lit(b)), "UTF-8").alias("content")) for k, (path, a, b) in files.items()])
+    one = F.array(*[F.struct(F.concat("file", F.lit(f".{x}")).alias("task_id"), F.lit(path).alias("path"), F.encode(F.concat(F.lit(a), F.col(x), F.lit(b)), "UTF-8").alias("content")) for x, (path, a, b) in files.items()])
     made = tasks.bundles(texts.select(F.explode(one).alias("f")).select("f.*"))
     return made.select("task_id", F.col("zip").alias("content"))
 
 
+_TWENTIES = "WITH said AS (SELECT o_custkey // 20 AS file, o_orderkey AS k, o_orderpriority AS n FROM orders)\n"
+
+
 @_C.add(
-    """SELECT n_regionkey || '.docx' AS path, (row_number() OVER w - 1)::BIGINT AS raw_ord, CASE n_nationkey % 2 WHEN 0 THEN 'section_header' ELSE 'list_item' END AS label, n_name AS said FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)
-UNION ALL SELECT n_regionkey || '.pptx', (row_number() OVER w - 1)::BIGINT, 'text', n_name FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)
-UNION ALL SELECT n_regionkey || '.xlsx', 0, 'table', '<table>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</table>' FROM nation GROUP BY n_regionkey"""
+    _TWENTIES
+    + """SELECT file || '.docx' AS path, (row_number() OVER w - 1)::BIGINT AS raw_ord, CASE k % 2 WHEN 0 THEN 'section_header' ELSE 'list_item' END AS label, n AS said FROM said WINDOW w AS (PARTITION BY file ORDER BY k)
+UNION ALL SELECT file || '.pptx', (row_number() OVER w - 1)::BIGINT, 'text', n FROM said WINDOW w AS (PARTITION BY file ORDER BY k)
+UNION ALL SELECT file || '.xlsx', 0, 'table', '<table>' || string_agg('<tr><td>' || k || '</td><td>' || n || '</td></tr>', '' ORDER BY k) || '</table>' FROM said GROUP BY file"""
 )
 def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of word-processor, slide and spreadsheet files."""
@@ -248,30 +278,31 @@ def extracted_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_C.add(
-    """SELECT r_name || '.' || CASE r_regionkey % 2 WHEN 0 THEN 'PDF' ELSE 'docx' END AS filename, CASE r_regionkey WHEN 4 THEN 'none' ELSE 'layout' END AS model,
-  CASE WHEN r_regionkey = 4 THEN 'unknown model' WHEN r_regionkey % 2 = 0 THEN 'accepted' ELSE 'wrong extension' END AS verdict, '.' || CASE r_regionkey % 2 WHEN 0 THEN 'PDF' ELSE 'docx' END AS extension FROM region"""
+    """SELECT s_name || '.' || CASE s_suppkey % 2 WHEN 0 THEN 'PDF' ELSE 'docx' END AS filename, CASE s_suppkey % 5 WHEN 4 THEN 'none' ELSE 'layout' END AS model,
+  CASE WHEN s_suppkey % 5 = 4 THEN 'unknown model' WHEN s_suppkey % 2 = 0 THEN 'accepted' ELSE 'wrong extension' END AS verdict, '.' || CASE s_suppkey % 2 WHEN 0 THEN 'PDF' ELSE 'docx' END AS extension FROM supplier"""
 )
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that arrive in a landing zone, as a stream against the registry."""
     base = fresh_dir(spark, "uploads")
-    k = F.col("r_regionkey")
-    name = F.concat("r_name", F.lit("."), F.when(k % 2 == 0, "PDF").otherwise("docx"))
-    table(spark, sf_dir, "region").select(F.when(k == 4, "none").otherwise("layout").alias("model"), name.alias("filename"), F.col("r_name").alias("value")).write.partitionBy("model", "filename").text(f"{base}/zone")
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier")
+    name = F.concat("s_name", F.lit("."), F.when(k % 2 == 0, "PDF").otherwise("docx"))
+    rows.select(F.when(k % 5 == 4, "none").otherwise("layout").alias("model"), name.alias("filename"), F.col("s_name").alias("value")).write.partitionBy("model", "filename").text(f"{base}/zone")
     models = spark.createDataFrame([("layout", ["pdf"])], "model string, extensions array<string>")
 
     def batch(df: DataFrame, number: int) -> None:
         tasks.uploaded(df, models).join(df.select(F.sha2("path", 256).alias("task_id"), "filename"), "task_id").write.mode("overwrite").parquet(f"{base}/tasks/batch={number}")
 
-    tasks.upload_stream(spark, f"{base}/zone", 2).writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    tasks.upload_stream(spark, f"{base}/zone", rows.count() // 3 + 1).writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.parquet(f"{base}/tasks")
     return found.select("filename", "model", "verdict", F.expr("substring(pdf_path, length(task_id) + 1)").alias("extension"))
 
 
-@_C.add("SELECT r_name AS model, string_agg('.' || lower(n_name), ',' ORDER BY n_name) AS accept FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+@_C.add("SELECT s_name AS model, string_agg('.' || lower(kind), ',' ORDER BY kind) AS accept FROM (SELECT DISTINCT s_name, l_returnflag || l_linestatus AS kind FROM supplier JOIN lineitem ON l_suppkey = s_suppkey) GROUP BY s_name")
 def models_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A registry written as a JSON map, and read again as the accept lists of forms; regions stand for models."""
-    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    models = rows.groupBy(F.col("r_name").alias("model")).agg(_listed("n_name", F.lower("n_name")).alias("extensions"))
+    """A registry written as a JSON map, and read again as the accept lists of forms; suppliers stand for models."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    models = rows.groupBy(F.col("s_name").alias("model")).agg(F.sort_array(F.collect_set(F.lower(F.concat("l_returnflag", "l_linestatus")))).alias("extensions"))
     out = fresh_dir(spark, "models")
     registry.stored(models).select(F.col("models").alias("value")).write.text(out)
     return registry.parsed(spark.read.text(out, wholetext=True), "value").select("model", X.accepted(F.col("extensions")).alias("accept"))
@@ -296,9 +327,10 @@ def discovered_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_C.add(
-    """SELECT n_regionkey || '.docx' AS task_id, string_agg(CASE n_nationkey % 2 WHEN 0 THEN '# ' ELSE '- ' END || n_name || chr(10), chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey
-UNION ALL SELECT n_regionkey || '.pptx', string_agg(n_name || chr(10), chr(10) ORDER BY n_nationkey) FROM nation GROUP BY n_regionkey
-UNION ALL SELECT n_regionkey || '.xlsx', '<table>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</table>' || chr(10) FROM nation GROUP BY n_regionkey"""
+    _TWENTIES
+    + """SELECT file || '.docx' AS task_id, string_agg(CASE k % 2 WHEN 0 THEN '# ' ELSE '- ' END || n || chr(10), chr(10) ORDER BY k) AS markdown FROM said GROUP BY file
+UNION ALL SELECT file || '.pptx', string_agg(n || chr(10), chr(10) ORDER BY k) FROM said GROUP BY file
+UNION ALL SELECT file || '.xlsx', '<table>' || string_agg('<tr><td>' || k || '</td><td>' || n || '</td></tr>', '' ORDER BY k) || '</table>' || chr(10) FROM said GROUP BY file"""
 )
 def office_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Office files to Markdown by the package's own pipeline."""

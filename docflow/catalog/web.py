@@ -131,15 +131,16 @@ def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_C.add(
-    """SELECT r_regionkey::BIGINT AS page_id, 1 AS table_id, (2 * dense_rank() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 2 + k)::INTEGER AS id, 'td' AS label,
-  CASE k WHEN 1 THEN n_name ELSE n_nationkey::VARCHAR END AS text, (100.0 * (k - 1))::DOUBLE AS x, (20.0 * n_nationkey)::DOUBLE AS y
-FROM region JOIN nation ON n_regionkey = r_regionkey, (VALUES (1), (2)) AS two(k)"""
+    """SELECT o_custkey AS page_id, 1 AS table_id, (2 * row_number() OVER (PARTITION BY o_custkey, k ORDER BY o_orderkey) - 2 + k)::INTEGER AS id, 'td' AS label,
+  CASE k WHEN 1 THEN o_orderpriority ELSE o_orderkey::VARCHAR END AS text, (100.0 * (k - 1))::DOUBLE AS x, (20.0 * o_orderkey)::DOUBLE AS y
+FROM orders, (VALUES (1), (2)) AS two(k)"""
 )
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of one HTML table a region, with a head row that is no cell; places relative to the table."""
-    cell = F.format_string('<td data-x="7" data-y="%d" data-w="90" data-h="20">%s<td data-x="107" data-y="%d" data-w="90" data-h="20">%d</td>', F.col("n_nationkey") * 20 + 5, F.col("n_name"), F.col("n_nationkey") * 20 + 5, F.col("n_nationkey"))
-    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("page_id"), "n_nationkey", F.concat(F.lit("<tr>"), cell).alias("row"))
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "row"))), lambda r: r["row"]), "\n")
+    """Cells of one HTML table a customer, with a head row that is no cell; places relative to the table."""
+    y = (F.col("o_orderkey") * 20 + 5).cast("string")
+    cell = F.concat(F.lit('<tr><td data-x="7" data-y="'), y, F.lit('" data-w="90" data-h="20">'), "o_orderpriority", F.lit('<td data-x="107" data-y="'), y, F.lit('" data-w="90" data-h="20">'), "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page_id"), "o_orderkey", cell.alias("row"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "row"))), lambda r: r["row"]), "\n")
     page = rows.groupBy("page_id").agg(F.concat(F.lit('<table data-x="7" data-y="5"><tr><th>name<th>key'), listed, F.lit("</table>")).alias("html"))
     return html.cells(page).select("page_id", "table_id", "id", "label", "text", "x", "y")
 

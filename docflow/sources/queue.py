@@ -37,6 +37,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import filesystem
+
 NAME = "docflow_queue"
 #: A message: where it stands, when it was sent, and the task.
 MESSAGE = "offset long, sent timestamp, task_id string, pdf_path string, model string"
@@ -48,7 +50,7 @@ class Log:
     """The folder of a queue."""
 
     def __init__(self, path: str) -> None:
-        self.fs, self.root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        self.fs, self.root = filesystem(path)
 
     def _names(self, folder: str) -> list[str]:
         found = self.fs.get_file_info(fs.FileSelector(f"{self.root}/{folder}", allow_not_found=True))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from urllib.parse import quote
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,6 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """What reads and writes a path in Python, and the path there; for files that are no tables.
+
+    Paths are as the engine spells them: a scheme or none, and no escapes. On a cluster the folder must be one that driver and
+    executors share.
+    """
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if re.match(r"[a-z0-9]+:/", path):
+        return fs.FileSystem.from_uri(quote(path, safe=":/@?=&"))
+    return fs.LocalFileSystem(), path
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -231,9 +231,10 @@ def drained(query: StreamingQuery) -> None:
 
 
 def bundles(assets: DataFrame) -> DataFrame:
-    """Rows (task_id, zip): the files of each task as one archive, each name once (the first in order of content).
+    """Rows (task_id, zip): the files of each task as one archive in one value, for small answers; each name once.
 
-    The archive is one value, so a task's files meet in one group, as they do in the archive.
+    A task's files meet in one group. What may grow large is written by ``sources.archives.write_archives``, which also names
+    several files of one path apart; here the first in order of content stays.
     """
     import io
     import zipfile
