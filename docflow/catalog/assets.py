@@ -115,8 +115,37 @@ def element_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM range({20 * _H // _W}) rs(r), range(20) qs(q), px WHERE px.y = (2 * r + 1) * {_H} // {2 * (20 * _H // _W)} AND px.x = (2 * q + 1) * {_W} // 40 GROUP BY page_id"""
 )
 def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images brought to a longest side."""
-    return pixels.resized(_images(spark, sf_dir), "page_id", longest=20).select("page_id", "width", "height", F.hex("data").alias("data"))
+    """Images brought to a longest side by their nearest pixels."""
+    return pixels.resized(_images(spark, sf_dir), "page_id", longest=20, nearest=True).select("page_id", "width", "height", F.hex("data").alias("data"))
+
+
+def _axis(name: str, n: int, to: int) -> str:
+    """SQL of rows (spot, pixel, weight) along one side: the two pixels that each place lies between, weights in 1 / 2048."""
+    return f"""{name}_places AS (SELECT k AS spot, floor(((2 * k + 1) * {n} - {to}) / {2 * to}.0)::BIGINT AS f, ((2 * k + 1) * {n} - {to}) AS over FROM range({to}) ks(k)),
+{name}_first AS (SELECT spot, greatest(least(f, {n - 1}), 0) AS p, CASE WHEN f < 0 OR f >= {n - 1} THEN 0 ELSE (4096 * (over - f * {2 * to}) + {2 * to}) // {4 * to} END AS w FROM {name}_places),
+{name} AS (SELECT spot, p AS pixel, 2048 - w AS weight FROM {name}_first UNION ALL SELECT spot, p + 1, w FROM {name}_first WHERE w > 0)"""
+
+
+def _interpolated_sql(longest: int) -> str:
+    to_w, to_h = longest, longest * _H // _W
+    return (
+        _COLOUR
+        + f""", {_axis("across", _W, to_w)}, {_axis("down", _H, to_h)},
+dots AS (SELECT page_id, d.spot AS r, a.spot AS q, c, (sum(v * d.weight * a.weight)::BIGINT + 2097152) >> 22 AS v FROM down d, across a, px WHERE px.y = d.pixel AND px.x = a.pixel GROUP BY page_id, d.spot, a.spot, c)
+SELECT page_id, {to_w} AS width, {to_h} AS height, string_agg(printf('%02X', v::INTEGER), '' ORDER BY r, q, c) AS data FROM dots GROUP BY page_id"""
+    )
+
+
+@_C.add(_interpolated_sql(25))
+def enlarged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images brought to a longer side, interpolated."""
+    return pixels.resized(_images(spark, sf_dir), "page_id", longest=25).select("page_id", "width", "height", F.hex("data").alias("data"))
+
+
+@_C.add(_interpolated_sql(11))
+def reduced_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images brought to a shorter side, interpolated."""
+    return pixels.resized(_images(spark, sf_dir), "page_id", longest=11).select("page_id", "width", "height", F.hex("data").alias("data"))
 
 
 _KINDS = ("title", "picture", "caption", "text")

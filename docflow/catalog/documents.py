@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,7 +10,7 @@ from ..functions.geometry import fitted
 from ..operators import headers
 from ..plans import markdown
 from ..schema import LABELS
-from ..sources import adapters, annotations
+from ..sources import adapters, annotations, hocr
 from .base import Catalog, table
 
 _C = Catalog()
@@ -128,7 +128,34 @@ def hocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.format_string('<p class="ocr_par" id="par_%d"><span class="ocr_line" id="line_%d" title="bbox %d %d %d %d; x_size %d.5">', "turn", "turn", "turn", F.col("turn") + 1, F.col("turn") + 20, F.col("turn") + 30, "turn")
     pars = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat(head, spans, F.lit("</span></p>")).alias("p")))).alias("ps"))
     page = pars.select(F.col("conv_id").cast("string").alias("doc_id"), F.concat(F.lit("<html><body>"), F.array_join(F.transform("ps", lambda p: p["p"]), ""), F.lit("</body></html>")).alias("hocr"))
-    return annotations.hocr_lines(page).select("doc_id", "par_id", "line_ord", "text", "bbox.*", "size")
+    return hocr.lines(page).select("doc_id", "par_id", "line_ord", "text", "bbox.*", "size")
+
+
+_ODD = "list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+@_C.add(
+    f"""SELECT conv_id::VARCHAR AS doc_id, 'par & ' || turn AS par_id, k::INTEGER AS line_ord, CASE k WHEN 0 THEN array_to_string({_ODD}, ' ') ELSE role || ' <é>' END AS text,
+  CASE k WHEN 0 THEN turn ELSE -turn END::INTEGER AS x1, CASE k WHEN 0 THEN turn + 0.5 END::DOUBLE AS size
+FROM conversations, range(2) lines(k)"""
+)
+def varied_hocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of OCR pages as other tools write them: several classes, either quote, references, nested and closed tags."""
+
+    def written(c: Column) -> Column:
+        for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ('"', "&quot;"), ("e", "&#101;"), ("o", "&#x6F;")):
+            c = F.replace(c, F.lit(old), F.lit(new))
+        return c
+
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    spans = F.array_join(F.transform(words, lambda w: F.concat(F.lit("<span id='w' class='x ocrx_word'> <strong>"), written(w), F.lit("</strong><br/></span>"))), "\n")
+    turn = F.col("turn").cast("string")
+    par = F.concat(
+        F.lit("<!-- <p class='ocr_par'> --><p lang=en class='ocr_par  left' id='par &amp; "), turn, F.lit("'><span title='bbox "), turn, F.lit(" 2 3 4; x_size "), turn, F.lit(".5; image &quot;a; b&quot;' class=\"ocr_textfloat ocr_line\">"), spans,
+        F.lit("</span><span class=\"ocr_line\" title='x_wconf 9; bbox -"), turn, F.lit(" 2 3 4'><em><span class=ocrx_word>"), F.col("role"), F.lit("</span></em><span class=ocrx_word>&lt;&eacute;&gt;</span></span><span class='ocr_lines'><span class=ocrx_word>no</span></span></p>"),
+    )
+    pages = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", par.alias("p")))), lambda p: p["p"]), "").alias("hocr"))
+    return hocr.lines(pages).select("doc_id", "par_id", "line_ord", "text", "bbox.x1", "size")
 
 
 @_C.add("SELECT conv_id, turn, role AS type, text FROM conversations")

@@ -11,7 +11,7 @@ from .. import pipelines
 from ..functions import text as X
 from ..operators import hierarchy
 from ..plans import markdown, registry
-from ..sources import adapters, annotations, html
+from ..sources import adapters, annotations, hocr, html
 from ..sources import archives as packages
 from ..storage import fresh_dir
 from ..streaming import tasks
@@ -254,7 +254,7 @@ def extracted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extracted_hocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the hOCR that an extractor gives for each image."""
     found = adapters.extracted(_texts(spark, sf_dir), "hocr", _hocr_of).withColumnRenamed("path", "doc_id")
-    return annotations.hocr_lines(found).select("doc_id", "text", "size")
+    return hocr.lines(found).select("doc_id", "text", "size")
 
 
 @_C.add(

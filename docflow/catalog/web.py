@@ -109,10 +109,30 @@ def varied_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_C.add("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'main.a.b' WHEN 1 THEN 'section.s' ELSE 'article' END AS selector FROM pages")
 def varied_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content elements: an article, else a main, else what has most text."""
+    """Content elements: an article, else a main, else what has the best score."""
     return html.selectors(_varied(spark, sf_dir))
 
 
+_SCORED = r"""
+WITH said AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[<>&]', ' ', 'g'), '[\x00-\x20\x7F-\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x85]+', ' ', 'g') AS t FROM documents),
+sized AS (SELECT *, length(trim(t)) AS n, length(t) - length(replace(t, ',', '')) AS commas, length(t) AS whole FROM said),
+worth AS (SELECT *, CASE WHEN n >= 25 THEN 1 + commas + least(n // 100, 3) ELSE 0 END AS w FROM sized)
+"""
+
+
+@_C.add(
+    _SCORED
+    + """, scored AS (SELECT doc_id, n, 5 + 1.0 * w AS plain, 5 + 25 + 0.5 * w AS around FROM worth) -- all of the navigation is links, so its score is nothing
+SELECT doc_id AS page_id, CASE WHEN n = 0 THEN 'div.plain' WHEN n < 25 THEN 'div.links.nav' WHEN plain > around THEN 'div.plain' ELSE 'div.story' END AS selector FROM scored"""
+)
+def scored_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content elements of pages whose longest text is a navigation of links: a document, and three times itself in links."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " "), r"[\x00-\x20\x7F-\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x85]+", " ")
+    link = F.concat(F.lit('<p><a href="x">'), text, F.lit("</a></p>"))
+    page = F.concat(F.lit('<div class="story"><div class="plain"><p>'), text, F.lit('</p></div></div><div class="links nav">'), link, link, link, F.lit("</div>"))
+    return html.selectors(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html")))
+
+
 @_C.add(
     _VARIED
     + """SELECT page_id, string_agg(CASE label WHEN 'h1' THEN '# ' || text WHEN 'h3' THEN '### ' || text WHEN 'img' THEN '![Image](a.png)' WHEN 'table' THEN '<table><tr><td>x</td><td>&lt;y</td></tr></table>' ELSE text END || chr(10), chr(10) ORDER BY ord) AS markdown

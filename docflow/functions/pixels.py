@@ -193,13 +193,43 @@ def cropped(images: DataFrame, boxes: DataFrame, page: str, key: str) -> DataFra
     return _mapped(images.join(listed, page), (page,), f"{key} long, {_IMAGE}", [pa.int64(), *_PIXELS], cut, ("boxes",))
 
 
-def resized(images: DataFrame, *keys: str, longest: int = 640) -> DataFrame:
-    """Images whose longest side is ``longest``, the ratio kept, fractions of the size cut off; each pixel is the nearest one."""
+#: Bits of a weight in interpolation.
+_WEIGHT = 11
+
+
+def _between(n: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``to`` places along ``n`` pixels the pixel before it, and the weight of the next one in 1 / 2048.
+
+    Centres of pixels lie on centres; places before the first or after the last centre have the pixel's own value.
+    """
+    over, whole = (2 * np.arange(to, dtype=np.int64) + 1) * n - to, 2 * max(to, 1)
+    first, rest = np.divmod(over, whole)
+    weight = (2 * rest * (1 << _WEIGHT) + whole) // (2 * whole)
+    weight = np.where((first < 0) | (first >= n - 1), 0, weight)
+    return np.clip(first, 0, n - 1), weight
+
+
+def interpolated(x: np.ndarray, to_h: int, to_w: int) -> np.ndarray:
+    """An image at another size, bilinear in whole numbers: each side's two pixels by weights that sum to 2048, rounded at the end."""
+    (top, down), (left, right) = _between(x.shape[0], to_h), _between(x.shape[1], to_w)
+    whole, wide = 1 << _WEIGHT, x.astype(np.int64)
+    across = wide[:, left] * (whole - right)[None, :, None] + wide[:, np.minimum(left + 1, x.shape[1] - 1)] * right[None, :, None]
+    both = across[top] * (whole - down)[:, None, None] + across[np.minimum(top + 1, x.shape[0] - 1)] * down[:, None, None]
+    return ((both + (1 << (2 * _WEIGHT - 1))) >> (2 * _WEIGHT)).astype(np.uint8)
+
+
+def resized(images: DataFrame, *keys: str, longest: int = 640, nearest: bool = False) -> DataFrame:
+    """Images whose longest side is ``longest``, the ratio kept, fractions of the size cut off.
+
+    Pixels are interpolated, or the nearest ones on request.
+    """
 
     def scaled(x: np.ndarray) -> list[tuple]:
         h, w = x.shape[:2]
         factor = min(longest / w, longest / h) if w and h else 0
         to_h, to_w = int(h * factor), int(w * factor)
+        if not nearest and to_h and to_w:
+            return [_row(interpolated(x, to_h, to_w))]
         return [_row(x[((2 * np.arange(to_h) + 1) * h // (2 * to_h or 1))[:, None], ((2 * np.arange(to_w) + 1) * w // (2 * to_w or 1))[None, :]])]
 
     return _mapped(images, keys, _IMAGE, _PIXELS, scaled)

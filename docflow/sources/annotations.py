@@ -1,4 +1,4 @@
-"""Stored annotations, edge lists, hOCR, and layout items that external extractors have written."""
+"""Stored annotations, edge lists, and layout items that external extractors have written."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geometry import centred, crop_size, flipped
 from ..functions.pixels import png
-from ..functions.text import element_type, stripped
+from ..functions.text import element_type
 from ..schema import ELEMENT, RUNNING_LABELS
 
 
@@ -85,47 +85,3 @@ def png_assets(images: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Rows (task_id, path, content) from images (doc, path, width, height, channels, data): PNG files of a bundle."""
     made = F.udf(lambda d, w, h, c: None if d is None else png(bytes(d), w, h, c), "binary", useArrow=True)
     return images.select(F.col(doc).cast("string").alias("task_id"), "path", made("data", "width", "height", "channels").alias("content"))
-
-
-def hocr_box(title: Column) -> Column:
-    """The four numbers behind ``bbox`` in an hOCR title."""
-    parts = [F.regexp_extract(title, r"bbox\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)", i).cast("int").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"), 1)]
-    return F.struct(*parts)
-
-
-def hocr_size(title: Column) -> Column:
-    return F.nullif(F.regexp_extract(title, r"x_size\s+([\d.]+)", 1), F.lit("")).cast("double")
-
-
-def _opened(class_: str) -> str:
-    """Pattern of an opening tag of an hOCR class."""
-    return rf"<\w+[^>]*class=['\"]{class_}['\"][^>]*>"
-
-
-def _attribute(tag: Column, name: str) -> Column:
-    return F.concat(F.regexp_extract(tag, rf"\b{name}='([^']*)'", 1), F.regexp_extract(tag, rf"\b{name}=\"([^\"]*)\"", 1))
-
-
-def _spoken(markup: Column) -> Column:
-    """Text of a piece of markup: tags gone, the five named entities undone."""
-    for pattern, by in (("<[^>]*>", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "'"), ("&amp;", "&")):
-        markup = F.regexp_replace(markup, pattern, by)
-    return markup
-
-
-def hocr_lines(pages: DataFrame, doc: str = "doc_id", hocr: str = "hocr") -> DataFrame:
-    """Rows (doc, par_id, line_ord, text, bbox, size): the lines of each hOCR page by paragraph, words joined by blanks.
-
-    Pages are cut at the opening tags of paragraphs, these at those of lines, these at those of words, with the engine's
-    string functions; markup need not be well-formed. Null pages have no lines.
-    """
-
-    def pieces(column: Column, class_: str) -> Column:
-        cut = F.split(column, f"(?={_opened(class_)})")
-        return F.filter(cut, lambda x: x.rlike(f"^{_opened(class_)}"))
-
-    rows = pages.where(F.col(hocr).isNotNull()).select(doc, F.explode(pieces(F.col(hocr), "ocr_par")).alias("par"))
-    rows = rows.select(doc, _attribute(F.substring_index("par", ">", 1), "id").alias("par_id"), F.posexplode(pieces(F.col("par"), "ocr_line")).alias("line_ord", "line"))
-    title = _attribute(F.substring_index("line", ">", 1), "title")
-    words = F.transform(pieces(F.col("line"), "ocrx_word"), lambda w: stripped(_spoken(w)))
-    return rows.select(doc, "par_id", "line_ord", F.array_join(words, " ").alias("text"), hocr_box(title).alias("bbox"), hocr_size(title).alias("size"))

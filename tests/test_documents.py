@@ -2,11 +2,13 @@
 
 import io
 import math
+import random
 import re
 import struct
 import time
 import zipfile
 import zlib
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -16,7 +18,7 @@ from docflow.functions import pixels
 from docflow.functions import text as X
 from docflow.plans import markdown
 from docflow.schema import ELEMENT
-from docflow.sources import adapters, annotations, html
+from docflow.sources import adapters, annotations, hocr, html
 from pyspark.sql import functions as F
 
 
@@ -97,7 +99,7 @@ def test_article_fallback_is_the_element_with_most_text(spark):
 def test_hocr(spark):
     page = """<p class='ocr_par' id='par_1'><span class='ocr_line' id='l1' title="bbox 1 2 3 4; x_size 22.5"><span class='ocrx_word'>Hi</span> <span class='ocrx_word'><em>you</em></span></span>
     <span title='bbox 5 6 7 8' class="ocr_line" id="l2"><span class='ocrx_word'>a&amp;b</span></span></p>"""
-    got = annotations.hocr_lines(spark.createDataFrame([("d", page), ("e", None)], "doc_id string, hocr string")).orderBy("line_ord").collect()
+    got = hocr.lines(spark.createDataFrame([("d", page), ("e", None)], "doc_id string, hocr string")).orderBy("line_ord").collect()
     assert [(r["par_id"], r["text"], tuple(r["bbox"]), r["size"]) for r in got] == [("par_1", "Hi you", (1, 2, 3, 4), 22.5), ("par_1", "a&b", (5, 6, 7, 8), None)]
 
 
@@ -234,3 +236,109 @@ def test_crops_round_half_to_even_and_are_black_outside():
     assert pixels.crop(x, 0.5, 1.5, 2.5, 2.5).shape == (0, 2, 1)
     out = pixels.crop(x, -1, -1, 2, 2)
     assert out.shape == (3, 3, 1) and out.sum() == 4 * 9
+
+
+_XML = "{http://www.w3.org/1999/xhtml}"
+
+
+def _classed(node, name):
+    return name in (node.get("class") or "").split()
+
+
+def _by_tree(page):
+    """Lines of a page by an XML parser: (par id, line number, text, bbox or None)."""
+    out = []
+    for par in (n for n in ElementTree.fromstring(page).iter() if _classed(n, "ocr_par")):
+        for k, line in enumerate(n for n in par.iter() if n is not par and _classed(n, "ocr_line")):
+            words = [("".join(w.itertext())).strip(" \t\r\n\f\v") for w in line.iter() if w is not line and _classed(w, "ocrx_word")]
+            numbers = re.search(r"\bbbox (-?\d+) (-?\d+) (-?\d+) (-?\d+)", line.get("title") or "")
+            out.append((par.get("id") or "", k, " ".join(words), tuple(map(int, numbers.groups())) if numbers else (None,) * 4))
+    return out
+
+
+def test_hocr_scanner_equals_an_xml_parser(spark):
+    rng = random.Random(19)
+
+    def attribute(name, value):
+        q = rng.choice("'\"")
+        value = value.replace("&", "&amp;").replace("<", "&lt;").replace(q, "&#39;" if q == "'" else "&quot;")
+        return f" {name}={q}{value}{q}"
+
+    def text():
+        return "".join(rng.choice(["wörd", " ", "&amp;", "&lt;", "&#233;", "&#x6F22;", "a'b", '"', "\n", "]"]) for _ in range(rng.randint(0, 5)))
+
+    def tag(kind, inner, depth):
+        classes = {"par": "ocr_par", "line": "ocr_line", "word": "ocrx_word"}.get(kind)
+        found = [attribute("class", rng.choice(["", "x ", "ocr_lines "]) + classes + rng.choice(["", " y", "\tz"]))] if classes else [attribute("class", "ocr_carea")] * rng.randint(0, 1)
+        found.append(attribute("id", rng.choice(["p & q", "<i>", f"{kind}_{depth}"])))
+        if rng.random() < 0.8:
+            found.append(attribute("title", rng.choice(["", "image \"x; y\"; "]) + f"bbox {rng.randint(-9, 99)} {rng.randint(0, 99)} 3 4" + rng.choice(["", "; x_size 20.5", "; baseline 0 -5"])))
+        rng.shuffle(found)
+        # a p may not lie in a p, so paragraphs within others are div
+        name = "div" if kind in ("par", "area") else "span"
+        return f"<{name}{''.join(found)}>{inner}</{name}>" if inner or rng.random() < 0.5 else f"<{name}{''.join(found)}/>"
+
+    def made(depth):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            kind = rng.choice(["par", "line", "line", "word", "word", "area", "em"])
+            inner = made(depth + 1) if depth < 5 else text()
+            parts.append(text() + (f"<em>{inner}</em><br/>" if kind == "em" else tag(kind, inner, depth)) + rng.choice(["", "<!-- <span class='ocr_line'> -->"]))
+        return "".join(parts) + text()
+
+    pages = [f'<html xmlns="http://www.w3.org/1999/xhtml"><body>{made(0)}{tag("par", made(1), 0)}</body></html>' for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(pages)), "doc_id int, hocr string").repartition(3)
+    got = sorted((r["doc_id"], r["par_id"], r["line_ord"], r["text"], tuple(r["bbox"])) for r in hocr.lines(df).collect())
+    want = sorted((i, *line) for i, page in enumerate(pages) for line in _by_tree(page))
+    assert len(want) > 150
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_hocr_that_is_not_well_formed(spark):
+    pages = [
+        (1, "<p class=ocr_par id=a><span class=ocr_line title='bbox 1 2 3 4'><span class=ocrx_word>x</b><p class=ocr_par id=b><span class=ocr_line><span class=ocrx_word>y &amp"),
+        (2, "</span></p>text<span class='ocr_line'>no paragraph</span>"),
+        (3, ""),
+        (4, None),
+        (5, "<div class=ocr_par><span class='ocr_line' class='x' title><span class=ocrx_word><span class=ocrx_word>in</span>out</span></span></div>"),
+    ]
+    got = [tuple(r) for r in hocr.lines(spark.createDataFrame(pages, "doc_id int, hocr string")).select("doc_id", "par_id", "line_ord", "text", "bbox.x1", "size").orderBy("doc_id", "par_id").collect()]
+    assert got == [(1, "a", 0, "x", 1, None), (1, "b", 0, "y &", None, None), (5, "", 0, "in inout", None, None)]
+
+
+def test_content_scores():
+    long = "some words, and more of them, to fill a paragraph that counts "
+    link = f"<a href=x>{long * 9}</a>"
+    pages = {
+        f"<body><div class=nav><p>{link}</p><p>{link}</p></div><section><p>{long}</p><p>{long}</p></section></body>": "section",
+        f"<div class='sidebar'><p>{long * 3}</p></div><div id=story><p>{long}</p></div>": "div",
+        f"<div class=a><p>{long}</p><p>{long}</p></div><div class=b><p>{long}</p></div>": "div.a",
+        f"<div class='outer article'><div class=one><p>{long}</p></div><div class=two><p>{long}</p></div></div>": "div.outer.article",
+        f"<table><tr class=r><td>{long}</td><td>{long}</td></tr></table>": "tr.r",
+        f"<ul class=u><li class=l><p>{long}</p></li><li><p>short</p></li></ul><blockquote><p>{long}</p></blockquote>": "blockquote",
+        "<div class=x><p>ab</p></div><div class=y><p>abc</p></div>": "div.y",
+        "<b>nothing</b>": None,
+    }
+    for page, want in pages.items():
+        node = html.content(html.Tree(page))
+        assert (node and ".".join([node.tag, *(node.attrs.get("class") or "").split()])) == want, page
+    tree = html.Tree(f"<div class=story id=main><p>{long}</p>{'x' * len(long)}<a>{'y' * len(long)}</a></div>")
+    n = len(long)
+    worth = 1 + 2 + 0
+    assert html.scores(tree) == {0: (5 + 25 + 25 + worth) * (1 - n / (3 * n))}
+
+
+def test_interpolation():
+    rng = np.random.default_rng(3)
+    for h, w, to_h, to_w in ((5, 7, 11, 13), (12, 9, 5, 4), (1, 1, 3, 2), (2, 3, 2, 3), (30, 1, 7, 1)):
+        x = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        got = pixels.interpolated(x, to_h, to_w).astype(float)
+        assert got.shape == (to_h, to_w, 3)
+        ys, xs = (np.clip((np.arange(to) + 0.5) * n / to - 0.5, 0, n - 1) for n, to in ((h, to_h), (w, to_w)))
+        y, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
+        fy, fx = (ys - y)[:, None, None], (xs - x0)[None, :, None]
+        y1, x1 = np.minimum(y + 1, h - 1), np.minimum(x0 + 1, w - 1)
+        want = (x[y][:, x0] * (1 - fx) + x[y][:, x1] * fx) * (1 - fy) + (x[y1][:, x0] * (1 - fx) + x[y1][:, x1] * fx) * fy
+        assert np.abs(got - want).max() < 0.75
+    same = rng.integers(0, 256, (4, 6, 1), dtype=np.uint8)
+    assert (pixels.interpolated(same, 4, 6) == same).all()
