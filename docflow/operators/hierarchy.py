@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,46 +46,74 @@ def list_levels(rows: DataFrame, page: str, tolerance: float = TOLERANCE) -> Dat
     """Rows (page, ord, level) of the list items: the place of their left among the indents seen so far.
 
     An indent that was seen within ``tolerance`` is used again, the leftmost first; others are inserted in order. Earlier
-    items keep the level they had. The indents are the state of a fold over the page's items in order.
+    items keep the level they had. Items without a left have no level.
     """
-    items = rows.where("tag = 'li'").groupBy(page).agg(F.sort_array(F.collect_list(F.struct("ord", F.col("left").cast("double").alias("left")))).alias("items"))
-    state = F.struct(F.array().cast("array<double>").alias("seen"), F.array().cast("array<struct<ord:int,level:int>>").alias("out"))
-
-    def step(acc: Column, item: Column) -> Column:
-        close = F.array_position(F.transform(acc["seen"], lambda v: F.abs(item["left"] - v) <= tolerance), F.lit(True))
-        wider = F.array_sort(F.array_append(acc["seen"], item["left"]))
-        seen = F.when(close > 0, acc["seen"]).otherwise(wider)
-        level = F.when(close > 0, close).otherwise(F.array_position(wider, item["left"])).cast("int")
-        return F.struct(seen.alias("seen"), F.array_append(acc["out"], F.struct(item["ord"].cast("int").alias("ord"), level.alias("level"))).alias("out"))
-
-    return items.select(page, F.explode(F.aggregate("items", state, step, lambda s: s["out"])).alias("e")).select(page, "e.ord", "e.level")
+    return _scanned(rows.where("tag = 'li'"), page, "left", tolerance).select(page, "ord", "level")
 
 
 def list_parents(rows: DataFrame, page: str) -> DataFrame:
     """Rows (page, ord, parent_ord) of the list items, from ``tag`` and ``level``.
 
-    The parent is the nearest earlier element that is a heading or paragraph, or a list item of a smaller level. A running
-    map keeps, for each level, the last item; headings and paragraphs count as level 0. One pass over the page in order.
+    The parent is the nearest earlier element that is a heading or paragraph, or a list item of a smaller level; headings and
+    paragraphs count as level 0. An item without a level hangs on nothing, and nothing on it.
     """
-    kept = rows.where(F.col("tag").isin("li", "p", *HEADINGS))
-    rank = F.when(F.col("tag") == "li", F.col("level")).otherwise(0).cast("int")
-    pages = kept.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), rank.alias("rank"), (F.col("tag") == "li").alias("li")))).alias("all"))
-    # the path of ranks that a later item may hang on: ranks rise along it, so it is cut back and extended
-    state = F.struct(F.array().cast("array<struct<ord:int,rank:int>>").alias("path"), F.array().cast("array<struct<ord:int,parent:int>>").alias("out"))
+    return _scanned(rows, page, "level", 0).select(page, "ord", "parent_ord")
+
 
-    def step(acc: Column, e: Column) -> Column:
-        path = F.filter(acc["path"], lambda p: p["rank"] < e["rank"])
-        out = F.when(e["li"], F.array_append(acc["out"], F.struct(e["ord"].alias("ord"), F.element_at(F.transform(path, lambda p: p["ord"]), F.when(F.size(path) > 0, -1)).alias("parent")))).otherwise(acc["out"])
-        return F.struct(F.array_append(path, F.struct(e["ord"].alias("ord"), e["rank"].alias("rank"))).alias("path"), out.alias("out"))
+def _scanned(rows: DataFrame, page: str, column: str, tolerance: float) -> DataFrame:
+    """Rows (page, ord, level, parent_ord) of the list items, from ``tag`` and their ``left`` or ``level``.
 
-    return pages.select(page, F.explode(F.aggregate("all", state, step, lambda s: s["out"])).alias("e")).select(page, F.col("e.ord").alias("ord"), F.col("e.parent").alias("parent_ord"))
+    Pages are read from top to bottom where their rows lie, and what is found goes on at once. Held are a page's indents, which
+    are no more than it is wide in tolerances, and a stack of rising levels, on which a later item may hang; an element
+    costs a search among the one and is once on the other, so a page costs as much as it has elements.
+    """
+    kept = rows.where(F.col("tag").isin("li", "p", *HEADINGS)).select(page, F.col("ord").cast("int").alias("ord"), F.when(F.col("tag") == "li", F.col(column).cast("double")).alias("place"), (F.col("tag") == "li").alias("item"))
+    shape = T.StructType([kept.schema[page], *[T.StructField(n, T.IntegerType()) for n in ("ord", "level", "parent_ord")]])
+
+    def level_of(left: float, seen: list[float]) -> int:
+        i = max(bisect_left(seen, left - tolerance) - 1, 0)
+        while i < len(seen) and seen[i] < left and abs(left - seen[i]) > tolerance:
+            i += 1
+        if i == len(seen) or abs(left - seen[i]) > tolerance:
+            i = bisect_left(seen, left)
+            seen.insert(i, left)
+        return i + 1
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[tuple[int, int]] = []
+        seen: list[float] = []
+        last = None
+        for b in batches:
+            keys = b.column(page)
+            numbers = keys.dictionary_encode(null_encoding="encode").indices.to_pylist()
+            at, out, before = [], [], None
+            for i, (k, o, place, item) in enumerate(zip(numbers, *(b.column(c).to_pylist() for c in ("ord", "place", "item")), strict=True)):
+                if k != before:  # another page, unless the batch before ended in it
+                    if before is not None or last is None or not last.equals(keys[i]):
+                        stack, seen = [], []
+                    before, last = k, keys[i]
+                level = 0
+                if item:
+                    level = None if place is None else level_of(place, seen) if column == "left" else int(place)
+                    at.append(i)
+                if level is None:
+                    out.append((o, None, None))
+                    continue
+                while stack and stack[-1][0] >= level:
+                    stack.pop()
+                if item:
+                    out.append((o, level, stack[-1][1] if stack else None))
+                stack.append((level, o))
+            if out:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(c, pa.int32()) for c in zip(*out, strict=True))], names=shape.names)
+
+    return kept.repartition(page).sortWithinPartitions(page, "ord").mapInArrow(scanned, shape)
 
 
 def tree(rows: DataFrame, page: str) -> DataFrame:
     """All rows with ``level`` (list items) and ``parent_ord``, from page, ord, id, tag and left."""
-    named = rows.join(list_levels(rows, page), [page, "ord"], "left")
-    hung = list_parents(named, page).withColumnRenamed("parent_ord", "list_parent")
-    return parents(named, page).join(hung, [page, "ord"], "left").withColumn("parent_ord", F.coalesce("list_parent", "parent_ord")).drop("list_parent")
+    hung = _scanned(rows, page, "left", TOLERANCE).withColumnRenamed("parent_ord", "list_parent")
+    return parents(rows, page).join(hung, [page, "ord"], "left").withColumn("parent_ord", F.coalesce("list_parent", "parent_ord")).drop("list_parent")
 
 
 def children(rows: DataFrame, page: str) -> DataFrame:

@@ -27,7 +27,7 @@ class _Open:
     def __init__(self, tag: str, kinds: set[str], name: str, title: str) -> None:
         self.tag, self.kinds, self.name, self.title = tag, kinds, name, title
         self.at = 0  # number of the next line of a paragraph
-        self.words: list[str] = []
+        self.words: list[list[str]] = []
         self.texts: list[str] = []
 
 
@@ -50,6 +50,10 @@ class Scanner(HTMLParser):
             self._ended("p")
         kinds = set((found.get("class") or "").split()) & {PAR, LINE, WORD}
         now = _Open(tag, kinds, found.get("id") or "", found.get("title") or "")
+        if WORD in kinds:
+            for line in self.stack:
+                if LINE in line.kinds:
+                    line.words.append(now.texts)  # what is said follows
         if LINE in kinds:
             # lines are numbered as they begin, in each paragraph that they begin in
             pars = [o for o in self.stack if PAR in o.kinds]
@@ -80,13 +84,9 @@ class Scanner(HTMLParser):
             self._closed(self.stack.pop())
 
     def _closed(self, o: _Open) -> None:
-        if WORD in o.kinds:
-            for line in (*self.stack, o):
-                if LINE in line.kinds and line is not o:
-                    line.words.append("".join(o.texts).strip(" \t\r\n\f\v"))
         if LINE in o.kinds:
-            for name, at in self._places.pop(id(o), ()):
-                self.lines.append((name, at, " ".join(o.words), o.title))
+            words = " ".join("".join(w).strip(" \t\r\n\f\v") for w in o.words)
+            self.lines += [(name, at, words, o.title) for name, at in self._places.pop(id(o), ())]
 
     def close(self) -> None:
         super().close()

@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 from docflow.functions import geometry as G
@@ -181,3 +182,64 @@ def test_ranked_tours_equal_walks(spark):
         assert parent == (above[3] if above else None) and depth == (above[6] + 1 if above else 0) and (not above or above[5] < nth)
     for page in ("a", "b", None, "chain"):
         assert sorted(r[5] for r in gots[0] if r[0] == page) == list(range(1, 1 + sum(r[0] == page for r in rows)))
+
+
+def test_lists_over_many_pieces_equal_a_walk(spark):
+    rng = random.Random(21)
+    rows = [(p, o, o, rng.choice(["li"] * 12 + ["p", "h2", "img"] * (p != 3)), rng.choice([None] + [float(x) for x in range(0, 70, 3)])) for p in (1, 2, 3, None) for o in range(1, 400)]
+    df = spark.createDataFrame(rows, "page int, ord int, id int, tag string, left double")
+    want, hung = {}, {}
+    for p in (1, 2, 3, None):
+        seen, done = [], []
+        for _, o, _, tag, left in (r for r in rows if r[0] == p):
+            level = None
+            if tag == "li" and left is not None:
+                close = [i for i, v in enumerate(seen) if abs(v - left) <= 8]
+                if not close:
+                    seen = sorted([*seen, left])
+                level = (close[0] if close else seen.index(left)) + 1
+            if tag == "li":
+                want[p, o] = level
+                hung[p, o] = next((q for q, t, lv in reversed(done) if level is not None and (t in ("p", "h2") or (t == "li" and lv is not None and lv < level))), None)
+            done.append((o, tag, level))
+    levels = hierarchy.list_levels(df, "page")
+    assert {(r["page"], r["ord"]): r["level"] for r in levels.collect()} == want
+    named = df.join(levels.withColumnRenamed("page", "q").withColumnRenamed("ord", "o"), F.col("page").eqNullSafe(F.col("q")) & (F.col("ord") == F.col("o")), "left").drop("q", "o")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for size in ("7", "10000"):  # pages over many batches, and many pages in one
+        spark.conf.set(key, size)
+        try:
+            found = hierarchy.list_parents(named, "page").collect()
+            both = hierarchy.tree(df, "page").where("tag = 'li'").collect()
+        finally:
+            spark.conf.unset(key)
+        assert {(r["page"], r["ord"]): r["parent_ord"] for r in found} == hung and len(found) == len(hung)
+        assert {(r["page"], r["ord"]): (r["level"], r["parent_ord"]) for r in both if r["page"] is not None} == {k: (want[k], hung[k]) for k in want if k[0] is not None}
+
+
+def test_clusters_by_cells_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    for size, spread in ((1, 1), (2, 0.1), (60, 6.0), (300, 9.0), (300, 30.0)):
+        x, y, n = rng.random(size) * spread, rng.random(size) * spread, rng.integers(1, 3, size)
+        part = list(range(size))
+        for i in range(size):
+            for j in range(i):
+                if (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= 0.25 and part[i] != part[j]:
+                    old, new = max(part[i], part[j]), min(part[i], part[j])
+                    part = [new if p == old else p for p in part]
+        names, want = {}, []
+        for i in range(size):
+            big = sum(int(n[j]) for j in range(size) if part[j] == part[i]) > 1
+            want.append(names.setdefault(part[i], len(names)) if big else -1)
+        assert headers.linked_cells(x, y, n, 0.5).tolist() == want
+    rows = [("a" if i % 3 else "b", i, float(rng.integers(8, 30)) + float(rng.random() > 0.7) * 0.25, float(rng.integers(1, 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id string, id int, fontsize double, thickness double")
+    assert sorted(map(tuple, headers.clustered(df, "doc_id", 0.2, few=0).collect())) == sorted(map(tuple, headers.clustered(df, "doc_id", 0.2, few=1000).collect()))
+
+
+def test_many_styles_of_one_document():
+    rng = np.random.default_rng(5)
+    begun = time.perf_counter()
+    x = np.r_[rng.normal(size=50_000), rng.normal(size=50_000) * 200]
+    got = headers.linked_cells(x, rng.permutation(x), np.ones(len(x), dtype=int), 0.5)
+    assert time.perf_counter() - begun < 30 and got.max() > 100 and (got == -1).any()
