@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: The marks of a rendered turn.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 _TURNS = "array<struct<role:string,text:string>>"
+#: What the user says after an answer that was not liked, in pairs made of single conversations.
+AGAIN = "Try again."
 
 
 def conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -26,18 +28,27 @@ def conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def stale_pairs(convs: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Rows (key, chosen, rejected) made of single conversations.
+    """Rows (key, chosen, rejected) made of single conversations, which part at their first, a middle or their last answer.
 
-    Chosen: the whole conversation. Rejected: the same, but its last answer is the conversation's first answer again, or an
-    empty one where they are equal. Without an answer both sides are the conversation.
+    Chosen: the whole conversation. Rejected: in place of one of its answers it has the next one (after the last the first
+    again), or an empty one where they are equal. Which one that is goes by the key modulo 3. What follows it stays on both
+    sides where the key modulo 4 is 0 or 1, is gone from the rejected side where it is 2, and is followed there by one more
+    turn of the user, who asks for another answer, where it is 3. Without an answer both sides are the conversation. A null
+    key counts as 0.
     """
-    at = F.array_max(F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda x: x.isNotNull()))
-    rows = convs.select(F.col(key), F.col("turns").alias("chosen"), at.alias("n"))
-    first = F.get(F.filter("chosen", lambda t: t["role"] == "assistant"), F.lit(0))["text"]
-    last = F.get(F.col("chosen"), F.col("n") - 1)["text"]
-    stale = F.struct(F.lit("assistant").alias("role"), F.when(first == last, F.lit("")).otherwise(first).alias("text"))
-    changed = F.concat(F.slice("chosen", 1, F.col("n") - 1), F.array(stale), F.slice("chosen", F.col("n") + 1, F.size("chosen")))
-    return rows.select(key, "chosen", F.when(F.col("n").isNotNull(), changed).otherwise(F.col("chosen")).cast(_TURNS).alias("rejected"))
+    k = F.coalesce(F.col(key), F.lit(0))
+    answers = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)), lambda x: x.isNotNull())
+    rows = convs.select(F.col(key), F.col("turns").alias("chosen"), answers.alias("answers"), F.pmod(k, F.lit(4)).alias("end"), F.pmod(k, F.lit(3)).alias("which"))
+    m = F.size("answers")
+    rows = rows.withColumn("nth", F.when(F.col("which") == 0, 0).when(F.col("which") == 1, F.floor(m / 2).cast("int")).otherwise(m - 1))
+    rows = rows.withColumn("at", F.get("answers", F.col("nth"))).withColumn("other", F.get("answers", (F.col("nth") + 1) % F.greatest(m, F.lit(1))))
+    said, next_ = F.get(F.col("chosen"), F.col("at"))["text"], F.get(F.col("chosen"), F.col("other"))["text"]
+    stale = F.struct(F.lit("assistant").alias("role"), F.when(said == next_, F.lit("")).otherwise(next_).alias("text"))
+    rest = F.slice("chosen", F.col("at") + 2, F.size("chosen"))
+    more = F.array(F.struct(F.lit("user").alias("role"), F.lit(AGAIN).alias("text")))
+    rest = F.when(F.col("end") < 2, rest).when(F.col("end") == 2, F.array().cast(_TURNS)).otherwise(F.concat(rest, more))
+    changed = F.concat(F.slice("chosen", 1, F.col("at")), F.array(stale), rest)
+    return rows.select(key, "chosen", F.when(m > 0, changed).otherwise(F.col("chosen")).cast(_TURNS).alias("rejected"))
 
 
 def _rendered(turns: Column) -> Column:

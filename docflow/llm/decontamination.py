@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import removed, trimmed, written
 
 #: Edits allowed for each character of an item; items without a word are nothing to search for. Items too short for an
 #: edit are found where they stand as whole words.
@@ -148,15 +148,32 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", rate:
         yield now
 
 
+def _in_turn(found: Iterator[Items]) -> Iterator[tuple[Items, bool]]:
+    """Each block, and whether it is the only one: others are sent, searched for and let go before the next is read."""
+    first = next(found, None)
+    for second in found:
+        yield first, False
+        first = second
+        break
+    else:
+        if first is not None:
+            yield first, True
+        return
+    yield first, False
+    for items in found:
+        yield items, False
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
     """Rows (key, item_id, distance): each document's passages within the edit budget of an item, the least distance of each.
 
     Whole normalised texts are searched, without a shuffle. Null and empty texts match nothing; repeated documents and
-    items each give their own rows; other columns are left out; an empty side gives no rows.
+    items each give their own rows; other columns are left out; an empty side gives no rows. A benchmark of one block is
+    searched for when the rows are asked for; of several each one's rows are written, so no more than one is ever sent out.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     out = rows.sparkSession.createDataFrame([], f"`{key}` long, item_id long, distance int")
-    for items in blocks(benchmark, **how):
+    for items, alone in _in_turn(blocks(benchmark, **how)):
         sent = rows.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
@@ -166,13 +183,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                     ks, ids, ds = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ids, pa.int64()), pa.array(ds, pa.int32())], names=[key, "item_id", "distance"])
 
-        out = out.unionByName(rows.mapInArrow(trimmed(run), f"`{key}` long, item_id long, distance int"))
+        found = rows.mapInArrow(trimmed(run), f"`{key}` long, item_id long, distance int")
+        if not alone:
+            found = written(found, "matches")
+            sent.destroy()
+        out = out.unionByName(found)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how: float) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose text matches no item. Null texts stay; nothing is shuffled."""
-    for items in blocks(benchmark, **how):
+    """The rows of ``docs``, all their columns, whose text matches no item. Null texts stay; nothing is shuffled.
+
+    Of a benchmark of several blocks, what each leaves is written and read for the next.
+    """
+    last = None
+    for items, alone in _in_turn(blocks(benchmark, **how)):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
@@ -181,4 +206,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how: floa
                 yield b.filter(keep) if not pc.all(keep).as_py() else b
 
         docs = docs.mapInArrow(trimmed(run), docs.schema)
+        if not alone:
+            docs = written(docs, "clean")
+            sent.destroy()
+            if last is not None:
+                removed(docs.sparkSession, last)
+            last = docs
     return docs

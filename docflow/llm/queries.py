@@ -51,7 +51,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document, against the trusted documents and the whole corpus."""
     docs = _documents(spark, sf_dir)
-    return quality.judge(docs, quality.log_ratios(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    ratios = quality.log_ratios(docs, labels)
+    return quality.judge(docs, ratios, threshold=quality.threshold(docs, labels, ratios))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation against itself with a stale last answer: prompt, completions, scored spans."""
+    """Every conversation against itself with a stale answer in its course: prompt, completions, scored spans."""
     pairs = chat.stale_pairs(chat.conversations(table(spark, sf_dir, "conversations")))
     spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",") for c in ("chosen_scored", "rejected_scored")}
     return chat.preferences(pairs).withColumns(spans)
@@ -137,30 +139,32 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
 
 
+# both sides turn by turn; the prompt ends where they first differ, or where the shorter one ends
 _OP8_SQL = """
 WITH said AS (
-  SELECT conv_id, lone, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
-  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM conversations)),
-marked AS (
-  SELECT *, max(i) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id, lone) AS z,
-         min(i) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id, lone) AS a,
-         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS turn
-  FROM said),
-heads AS (
-  SELECT conv_id, count(*) AS m, max(z) AS z, string_agg(turn, '' ORDER BY i) AS whole,
-         coalesce(string_agg(turn, '' ORDER BY i) FILTER (WHERE i < z), '') AS head, coalesce(string_agg(turn, '' ORDER BY i) FILTER (WHERE i > z), '') AS tail,
-         max(text) FILTER (WHERE i = z) AS good, max(text) FILTER (WHERE i = a) AS stale
-  FROM marked GROUP BY conv_id, lone),
-sides AS (SELECT *, CASE WHEN good = stale THEN '' ELSE stale END AS bad FROM heads),
--- an empty last answer that is also the first one leaves both sides equal: all of it is prompt, as without an answer
-judged AS (SELECT *, z IS NOT NULL AND good <> bad AS split FROM sides)
-SELECT conv_id, CASE WHEN split THEN z - 1 ELSE m END::BIGINT AS n_prompt_turns, CASE WHEN split THEN head ELSE whole END AS prompt,
-       CASE WHEN split THEN '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) || tail ELSE '' END AS chosen,
-       CASE WHEN split THEN '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) || tail ELSE '' END AS rejected,
-       CASE WHEN split THEN '14:' || (length(good) + 8) ELSE '' END AS chosen_scored,
-       CASE WHEN split THEN '14:' || (length(bad) + 8) ELSE '' END AS rejected_scored
-FROM judged"""
+  SELECT coalesce('c' || conv_id, 'l' || row_number() OVER ()) AS conv, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i FROM said),
+answers AS (SELECT conv, conv_id, i, text, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY conv) AS m, lead(text) OVER w AS next, first_value(text) OVER w AS first FROM placed WHERE role = 'assistant' WINDOW w AS (PARTITION BY conv ORDER BY i)),
+stale AS (
+  SELECT conv, i AS place, CASE WHEN coalesce(next, first) = text THEN '' ELSE coalesce(next, first) END AS bad FROM answers
+  WHERE nth = CASE coalesce(conv_id, 0) % 3 WHEN 0 THEN 0 WHEN 1 THEN m // 2 ELSE m - 1 END),
+sizes AS (SELECT conv, any_value(conv_id) AS conv_id, count(*) AS m FROM placed GROUP BY conv),
+turns AS (
+  SELECT 0 AS side, conv, i, role, text FROM placed
+  UNION ALL SELECT 1, p.conv, i, role, CASE WHEN i = place THEN bad ELSE text END FROM placed p LEFT JOIN stale USING (conv) WHERE place IS NULL OR i <= place OR coalesce(conv_id, 0) % 4 <> 2
+  UNION ALL SELECT 1, conv, m + 1, 'user', 'Try again.' FROM sizes JOIN stale USING (conv) WHERE coalesce(conv_id, 0) % 4 = 3),
+apart AS (
+  SELECT conv, min(i) AS z FROM (SELECT conv, i FROM turns GROUP BY conv, i HAVING count(*) < 2 OR count(DISTINCT role || chr(1) || text) > 1) GROUP BY conv),
+shown AS (
+  SELECT t.*, coalesce(z, m + 2) AS z, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS turn, length(role) + 5 AS head, length(text) + 8 AS body
+  FROM turns t JOIN sizes USING (conv) LEFT JOIN apart USING (conv)),
+spans AS (SELECT *, coalesce(sum(head + body) FILTER (WHERE i >= z) OVER (PARTITION BY conv, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM shown),
+sides AS (
+  SELECT conv, side, count(*) FILTER (WHERE i < z) AS n, coalesce(string_agg(turn, '' ORDER BY i) FILTER (WHERE i < z), '') AS prompt, coalesce(string_agg(turn, '' ORDER BY i) FILTER (WHERE i >= z), '') AS rest,
+         coalesce(string_agg((before + head) || ':' || body, ',' ORDER BY i) FILTER (WHERE i >= z AND role = 'assistant'), '') AS scored
+  FROM spans GROUP BY conv, side)
+SELECT conv_id, a.n::BIGINT AS n_prompt_turns, a.prompt, a.rest AS chosen, coalesce(b.rest, '') AS rejected, a.scored AS chosen_scored, coalesce(b.scored, '') AS rejected_scored
+FROM sizes JOIN sides a USING (conv) LEFT JOIN sides b ON b.conv = a.conv AND b.side = 1 WHERE a.side = 0"""
 
 _OP3_SQL = r"""
 WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

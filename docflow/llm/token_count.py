@@ -9,16 +9,16 @@ its block: a prefix scan over one small row a block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import trimmed, written
+from ..storage import filesystem, fresh_dir
+from .common import leaving, trimmed, written
 
 #: Tokens in a block, and blocks in a group of the two-level prefix scan.
 BLOCK, GROUP = 1 << 19, 1024
@@ -50,49 +50,35 @@ def width_of(vocabulary: str, end: int = END) -> int:
     return 2 if max(end, *ranks(vocabulary).values()) < 1 << 16 else 4
 
 
-def flatten(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", end: int = END, block: int = BLOCK, width: int | None = None) -> DataFrame:
+def write_files(docs: DataFrame, vocabulary: str, pattern: str, path: str, key: str = "doc_id", text: str = "text", end: int = END, width: int | None = None) -> DataFrame:
     """Encode documents into flat files of ids of ``width`` bytes (as many as the vocabulary needs), one file a task.
 
-    They are written as rows (file, block, tokens, first, keys).
-
-    Rows with ``tokens`` are the blocks of a file in order; rows with ``keys`` say which documents it holds from document
-    ``first`` on. The table is written before it is used, so a repeated task can't deal documents otherwise. Null texts
-    are documents without tokens.
+    The files lie in the folder ``path``, which driver and executors share, and hold nothing but ids. Given are rows (file,
+    first, keys) that say which documents a file holds from document ``first`` on; they are written before they are used. A
+    task that runs again writes a file of its own, so what an attempt that failed has left is named by no row. Null texts are
+    documents without tokens. The vocabulary must not have the separator.
     """
+    if end in ranks(vocabulary).values():
+        raise ValueError(f"id {end} separates documents, but the vocabulary has it")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     kind = _KINDS[width or width_of(vocabulary, end)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary, pattern).encode_ordinary
-        file, n_block, n_docs = TaskContext.get().partitionId(), 0, 0
-        held: list[np.ndarray] = []
-        size = 0
-
-        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, n_block
-            flat = np.concatenate(held) if held else np.zeros(0, kind)
-            cut = len(flat) if last else len(flat) - len(flat) % block
-            for at in range(0, cut, block):
-                yield row(n_block, flat[at : at + block].tobytes(), None, None)
-                n_block += 1
-            held, size = [flat[cut:]], len(flat) - cut
-
-        def row(n: int | None, tokens: bytes | None, first: int | None, keys: list | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([n], pa.int64()), pa.array([tokens], pa.binary()), pa.array([first], pa.int64()), pa.array([keys], pa.list_(pa.int64()))], names=["file", "block", "tokens", "first", "keys"])
-
+        store, root = filesystem(path)
+        store.create_dir(root)
+        name, first, out = f"{uuid4().hex}.bin", 0, None
         for b in batches:
             keys = b.column("key").to_pylist()
-            yield row(None, None, n_docs, keys)
-            n_docs += len(keys)
+            out = out or store.open_output_stream(f"{root}/{name}")
             for t in b.column("text").to_pylist():
-                ids = np.array([*(encode(t) if t else ()), end], dtype=kind)
-                held.append(ids)
-                size += len(ids)
-                if size >= 2 * block:
-                    yield from blocks(False)
-        yield from blocks(True)
+                out.write(np.array([*(encode(t) if t else ()), end], dtype=kind).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([keys], pa.list_(pa.int64()))], names=["file", "first", "keys"])
+            first += len(keys)
+        if out is not None:
+            out.close()
 
-    return written(rows.mapInArrow(trimmed(run), "file int, block long, tokens binary, first long, keys array<long>"), "tokens")
+    return written(rows.mapInArrow(trimmed(run), "file string, first long, keys array<long>"), "token-files")
 
 
 def read_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
@@ -109,7 +95,7 @@ def read_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOC
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, stop, n in zip(*(b.column(c).to_pylist() for c in ("file", "stop", "block")), strict=True):
-                store, inner = fs.FileSystem.from_uri(name)
+                store, inner = filesystem(name)
                 with store.open_input_file(inner) as f:
                     f.seek(n * step)
                     raw = f.read(min(step, stop - n * step))
@@ -118,12 +104,13 @@ def read_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOC
     return at.repartition("file", "block").mapInArrow(ranges, "file string, block long, tokens binary")
 
 
-def count(blocks: DataFrame, end: int = END, block: int = BLOCK, width: int = 2) -> DataFrame:
+def count(blocks: DataFrame, end: int = END, block: int = BLOCK, width: int = 2, repeated: bool = True) -> DataFrame:
     """Rows (file, nth, n_tokens): the tokens before each separator, without it, for all documents of all files.
 
     ``blocks`` has rows (file, block, tokens); all blocks of a file but the last hold ``block`` little-endian ids of
     ``width`` bytes. Empty documents count 0; tokens behind the last separator of a file are a last document of their own;
-    null and empty blocks hold nothing; a block that is given twice counts once. An empty table gives no rows.
+    null and empty blocks hold nothing; a block that is given twice counts once (``repeated``: there may be such; where there
+    are none, separators need no shuffle for it). An empty table gives no rows.
     """
     kind = _KINDS[width]
     name = blocks.schema["file"].dataType
@@ -150,20 +137,24 @@ def count(blocks: DataFrame, end: int = END, block: int = BLOCK, width: int = 2)
     groups = groups.select("file", "group", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_group"), F.max("last").over(earlier).alias("last_group"))
     scanned = small.select("file", "block", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_in"), F.max("last").over(before).alias("last_in"))
     scanned = scanned.join(groups, ["file", "group"]).select("file", "block", (F.col("n_in") + F.col("n_group")).alias("n0"), F.coalesce("last_in", "last_group", F.lit(-1)).alias("last0"))
-    rows = found.dropDuplicates(["file", "block"]).join(scanned, ["file", "block"]).select("file", "n0", F.concat(F.array("last0"), "ends").alias("ends"))
+    rows = (found.dropDuplicates(["file", "block"]) if repeated else found).join(scanned, ["file", "block"]).select("file", "n0", F.concat(F.array("last0"), "ends").alias("ends"))
     whole = rows.select("file", "n0", F.posexplode(F.zip_with(F.slice("ends", 1, F.size("ends") - 1), F.expr("slice(ends, 2, size(ends) - 1)"), lambda a, b: b - a - 1)).alias("i", "n_tokens")).select("file", (F.col("n0") + F.col("i")).alias("nth"), "n_tokens")
     rest = small.groupBy("file").agg(F.sum("n").alias("nth"), F.max("last").alias("last"), F.max("stop").alias("stop")).where("stop > coalesce(last, -1) + 1")
     return whole.unionByName(rest.select("file", "nth", (F.col("stop") - F.coalesce("last", F.lit(-1)) - 1).alias("n_tokens")))
 
 
 def document_counts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_tokens): documents flattened into token files and counted from the files alone.
+    """Rows (key, n_tokens): documents written as flat token files, read back by ranges and counted from the files alone.
 
     Null and empty texts count 0. Repeated rows each keep a row; a null key stays null; other columns are left out,
     whatever their names; an empty table gives no rows.
     """
-    width = width_of(vocabulary)
-    flat = flatten(docs, vocabulary, pattern, key, text, width=width)
-    counts = count(flat.where("tokens is not null").select("file", "block", "tokens"), width=width)
-    named = flat.where("keys is not null").select(F.col("file").cast("long").alias("file"), "first", F.posexplode("keys").alias("i", key)).select("file", (F.col("first") + F.col("i")).alias("nth"), key)
+    spark, width = docs.sparkSession, width_of(vocabulary)
+    path = fresh_dir(spark, "tokens")
+    held = write_files(docs, vocabulary, pattern, path, key, text, width=width)
+    if held.isEmpty():
+        return spark.createDataFrame([], f"`{key}` long, n_tokens long")
+    leaving(spark, path)
+    counts = count(read_files(spark, path, width), width=width, repeated=False).withColumn("file", F.substring_index("file", "/", -1))
+    named = held.select("file", "first", F.posexplode("keys").alias("i", key)).select("file", (F.col("first") + F.col("i")).alias("nth"), key)
     return named.join(counts, ["file", "nth"]).select(key, "n_tokens")

@@ -70,12 +70,20 @@ def _base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed
 
 
+def fitted(scores):
+    """The threshold that follows from the scores of trusted documents."""
+    low, half = np.percentile(sorted(scores), [1, 50])
+    return low - 2.5 * (half - low)
+
+
 def test_quality_rules(spark):
     rows = [*TEXTS, (20, "one two three four five six seven eight # " * 3 + "nine $$"), (21, " ".join("ab" for _ in range(25))), (22, " ".join(f"u{i}" for i in range(19)))]
     docs = documents(spark, rows)
     labels = spark.createDataFrame([(1, 1), (8, 1), (10, 0), (None, 1), (1, 1)], "doc_id long, quality int")
     ratios = quality.log_ratios(docs, labels)
-    got = quality.judge(docs, ratios, keep=tuple(docs.columns)).collect()
+    least = quality.threshold(docs, labels, ratios)
+    got = quality.judge(docs, ratios, threshold=least, keep=tuple(docs.columns)).collect()
+    assert abs(least - fitted(r["score"] for r in got if r["doc_id"] in (1, 8) and not r["base_failed"])) < 1e-12
     assert sorted(tuple(r)[:7] for r in got if r["doc_id"]) == sorted((i, *_base(t)) for i, t in rows if i)
     assert all(r["rest"]["text"] == dict(rows)[r["doc_id"]] and r["rest"]["score"] == -1 for r in got)
     # the score is the mean log ratio of the hashed words and pairs, under counts over all documents
@@ -91,7 +99,10 @@ def test_quality_rules(spark):
         n = next(k for k, (i, _) in enumerate(rows) if i == r["doc_id"])
         want = sum(math.log((good[g] + 1) / a) - math.log((whole[g] + 1) / b) for g in grams[n]) / max(len(grams[n]), 1)
         assert abs(r["score"] - want) < 1e-5
-        assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= least)
+    # without a trusted document that passes the base rules every score will do
+    assert quality.threshold(docs, labels.where("quality = 0"), ratios) == quality.threshold(docs.limit(0), labels, ratios) == -math.inf
+    assert all(r["kept"] != r["base_failed"] for r in quality.judge(docs, ratios).collect())
     assert quality.judge(docs.limit(0), quality.log_ratios(docs.limit(0), labels.limit(0))).count() == 0
 
 
