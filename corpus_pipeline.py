@@ -24,8 +24,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts go, as all of under 20 words do. Rows without id and repeated rows are judged as any other.
     """
-    ratios = quality.log_ratios(docs, table(spark, sf_dir, "labels"))
-    judged = quality.judge(docs, ratios, keep=tuple(docs.columns), nested="row")
+    labels = table(spark, sf_dir, "labels")
+    ratios = quality.log_ratios(docs, labels)
+    judged = quality.judge(docs, ratios, threshold=quality.threshold(docs, labels, ratios), keep=tuple(docs.columns), nested="row")
     return judged.where("kept").select("row.*").select(*docs.columns)
 
 
@@ -33,12 +34,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest id, once. Rows without id stay.
 
     Where an id has several texts, each is judged by its own fingerprint; of those in one group that of least fingerprint
-    stays, and of rows that share id and fingerprint the least (by their columns in order). Null and empty texts are one group.
+    stays, and of rows that share id and fingerprint that of least text. Null and empty texts are one group. Columns may be
+    of any kind.
     """
-    rows = written(simhash.fingerprints(docs, keep=tuple(docs.columns)), "fingerprinted")
+    rows = simhash.fingerprints(docs, keep=tuple(docs.columns)).withColumn("row", F.struct(F.xxhash64("rest.text").alias("hash"), F.monotonically_increasing_id().alias("nth")))
+    rows = written(rows, "fingerprinted")
     found = simhash.grouped(rows).where("doc_id = component")
     heads = found.groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp")
-    named = rows.join(heads, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.min("rest").alias("rest"))
+    # chosen by numbers alone, so that the texts travel once
+    kept = rows.select("doc_id", "fp", "row").join(heads, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.min("row").alias("row"))
+    named = rows.join(kept.select("row.nth"), F.col("row.nth") == F.col("nth"), "left_semi")
     return named.select("rest.*").unionByName(rows.where("doc_id is null").select("rest.*")).select(*docs.columns)
 
 
