@@ -1,10 +1,11 @@
 """Toxicity by a lexicon that forgives misspelling, and what stands around its hits.
 
-The lexicon is learned from labelled documents and kept as a trie. Every distinct word of a batch is turned into a
-bit-parallel Levenshtein automaton that walks the trie and drops a branch as soon as no state is left; so all terms within
-one or two edits are found together. Only words that share a rest with a term, what is left without one or two letters, are
-turned into automata, and they walk the trie of those terms. Hits are weighed by their context: quotation and reported speech against address and
-insistence. A logistic score over these sums gives the probability.
+The lexicon is learned from labelled documents and kept as one trie in each worker. A word is turned into a bit-parallel
+Levenshtein automaton that walks the whole trie and drops a branch as soon as no state is left; so all terms within one or
+two edits are found together. Words that share no rest with any term, what is left without one or two letters, can be near
+none and are spared the walk. What tells abuse from quotation is learned as well: the words that stand around hits in toxic
+documents and in others, by their log odds; and the marks of quotation, which need no language. A logistic score over the
+hits and what is around them gives the probability.
 """
 
 from __future__ import annotations
@@ -34,11 +35,11 @@ THRESHOLD = 0.3
 
 #: Characters that stand for letters in disguised words.
 DISGUISE = str.maketrans("013457@$", "oieastas")
-#: Words and marks that report what others said, and those that address someone.
-REPORT = frozenset("said says wrote writes called calls quoted quote cited claimed reportedly word term slur sagte schrieb nannte zitiert dit écrit appelé cité dijo escribió llamó citó".split())
-ADDRESS = frozenset("you your you're youre u ur du dich dir dein ihr sie tu toi vous votre te tú usted eres".split())
+#: Marks of quotation.
 QUOTES = '"“”„«»‹›'
-FEATURES = ("any", "weight", "best", "density", "quoted", "addressed", "fuzzy")
+FEATURES = ("any", "weight", "best", "density", "context", "harshest", "quoted", "fuzzy")
+#: What the words around one hit may say together, at most, in log odds.
+SAYS = 6.0
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _WORD = re.compile(WORD)
@@ -98,17 +99,10 @@ class _Neighbourhood:
     A word within ``k`` edits of a term has such a rest in common with it; so no near term is ever missed.
     """
 
-    def __init__(self, terms: list[str], numbers: list[int], k: int) -> None:
+    def __init__(self, terms: list[str], k: int) -> None:
         self.k, self.lengths = k, {len(t) + d for t in terms for d in range(-k, k + 1)}
-        keys, owners = [], []
-        for n in sorted({len(t) for t in terms}):
-            own = [(t, i) for t, i in zip(terms, numbers, strict=True) if len(t) == n]
-            for h in _deletions(_letters([t for t, _ in own]), k):
-                keys.append(h)
-                owners.append(np.array([i for _, i in own], dtype=np.int64))
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(key, kind="stable")
-        self.keys, self.owners = key[order], owner[order]
+        keys = [h for n in sorted({len(t) for t in terms}) for h in _deletions(_letters([t for t in terms if len(t) == n]), k)]
+        self.keys = key = np.unique(np.concatenate(keys))
         self.shift = np.uint64(64 - min(24, max(12, int(len(key) * 32).bit_length())))
         self.taken = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.taken[self._slots(key)] = True
@@ -116,16 +110,13 @@ class _Neighbourhood:
     def _slots(self, h: np.ndarray) -> np.ndarray:
         return (h * np.uint64(_MIX)) >> self.shift
 
-    def near(self, letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of words and numbers of the terms they share a rest with."""
+    def near(self, letters: np.ndarray) -> Iterator[np.ndarray]:
+        """Places of words that share a rest with a term."""
         for h in _deletions(letters, self.k):
             at = np.flatnonzero(self.taken[self._slots(h)])
             if len(at):
-                lo, hi = (np.searchsorted(self.keys, h[at], side) for side in ("left", "right"))
-                size = hi - lo
-                if size.any():
-                    place = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    yield np.repeat(at, size), self.owners[place]
+                place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+                yield at[self.keys[place] == h[at]]
 
 
 @dataclass
@@ -136,14 +127,13 @@ class Lexicon:
     _trie: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
-        self._names = list(self.terms)
-        self._trie = self._spelled(self._names)
+        self._trie = self._spelled(list(self.terms))
         self._near: list[_Neighbourhood] = []
         for k in range(3):
-            own = [(t, i) for i, t in enumerate(self._names) if edits(t) == k and len(t) <= LONG]
+            own = [t for t in self.terms if edits(t) == k and len(t) <= LONG]
             if own:
-                self._near.append(_Neighbourhood(*map(list, zip(*own, strict=True)), k))
-        self._long = [(len(t), i) for i, t in enumerate(self._names) if len(t) > LONG]
+                self._near.append(_Neighbourhood(own, k))
+        self._long = sorted({(len(t), edits(t)) for t in self.terms if len(t) > LONG})
         self._known: dict[str, tuple[str, int] | None] = {}
 
     @staticmethod
@@ -156,37 +146,30 @@ class Lexicon:
             node[""] = t
         return trie
 
-    def candidates(self, words: list[str], block: int = 8192) -> dict[int, list[str]]:
-        """By the place of a word: all terms that may be within their edits of it, few that are not."""
+    def possible(self, words: list[str], block: int = 8192) -> np.ndarray:
+        """Which words may be within the edits of a term: all that are, and few others."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        pairs = [np.zeros(0, dtype=np.int64)]
+        out = np.zeros(len(words), dtype=bool)
         for n in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == n)
+            if any(abs(m - n) <= k for m, k in self._long):
+                out[own] = True
+                continue
             near = [x for x in self._near if n in x.lengths]
-            long = [i for m, i in self._long if abs(m - n) <= edits(self._names[i])]
-            own = np.flatnonzero(sizes == n) if near or long else ()
-            pairs += [own * len(self._names) + i for i in long]
             for lo in range(0, len(own) if near else 0, block):
                 part = own[lo : lo + block]
                 letters = _letters([words[i] for i in part.tolist()])
-                pairs += [np.unique(part[at] * len(self._names) + term) for x in near for at, term in x.near(letters)]
-        out: dict[int, list[str]] = {}
-        for pair in np.unique(np.concatenate(pairs)).tolist():
-            i, term = divmod(pair, len(self._names))
-            out.setdefault(i, []).append(self._names[term])
-        return out
-
-    def possible(self, words: list[str]) -> np.ndarray:
-        """Words that may be within the edits of a term."""
-        out = np.zeros(len(words), dtype=bool)
-        out[list(self.candidates(words))] = True
+                for x in near:
+                    for at in x.near(letters):
+                        out[part[at]] = True
         return out
 
     def weight(self, hit: tuple[str, int]) -> float:
         term, k = hit
         return self.terms[term][0] if not k else self.terms[term][1] * (0.8 if k == 2 else 1.0)
 
-    def nearest(self, word: str, among: list[str] | None = None) -> tuple[str, int] | None:
-        """The term (of all, or of some) within its edits of a word, and how many: fewest edits, then greatest weight, then first in order."""
+    def nearest(self, word: str) -> tuple[str, int] | None:
+        """The term within its edits of a word, and how many: fewest edits, then greatest weight, then first in order."""
         n = len(word)
         where: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -195,7 +178,7 @@ class Lexicon:
         full = (end << 1) - 1
         best: tuple[int, float, str] | None = None
         # state: for each number of edits, the bits of the word's prefixes that the path may spell
-        stack = [(self._trie if among is None else self._spelled(among), (1, 3 & full, 7 & full))]
+        stack = [(self._trie, (1, 3 & full, 7 & full))]
         while stack:
             node, rows = stack.pop()
             for c, child in node.items():
@@ -221,57 +204,65 @@ class Lexicon:
         new = [w for w in words if w not in self._known]
         if new:
             plain = [folded(w) for w in new]
-            near = self.candidates(plain)
-            for i, (w, p) in enumerate(zip(new, plain, strict=True)):
-                self._known[w] = (p, 0) if p in self.terms else self.nearest(p, near[i]) if i in near else None
+            for w, p, near in zip(new, plain, self.possible(plain).tolist(), strict=True):
+                self._known[w] = (p, 0) if p in self.terms else self.nearest(p) if near else None
         return {w: x for w in words if (x := self._known[w])}
 
 
-class _Kinds(dict):
-    """By raw word: 1 if it reports, 2 if it addresses, both or neither; a bounded memory of what words are."""
+_QUOTE = re.compile(f"[{QUOTES}]")
+
+
+class Context(dict):
+    """By raw word: its log odds of standing around a hit in a toxic document, 0 if it tells nothing; a bounded memory of words."""
 
-    def __missing__(self, word: str) -> int:
+    def __init__(self, odds: dict[str, float]) -> None:
+        super().__init__()
+        self.odds = odds
+
+    def __missing__(self, word: str) -> float:
         if len(self) > 100_000:
             self.clear()
-        plain = _EDGE.sub("", word.lower())
-        self[word] = kind = (plain in REPORT) + 2 * (plain in ADDRESS)
-        return kind
+        self[word] = says = self.odds.get(folded(word), 0.0)
+        return says
 
 
-_KINDS = _Kinds()
-_QUOTE = re.compile(f"[{QUOTES}]")
+def around(words: list[str], i: int) -> list[str]:
+    """The words on both sides of a place."""
+    return words[max(0, i - CONTEXT) : i] + words[i + 1 : i + CONTEXT + 1]
 
 
-def features(words: list[str], hits: dict[str, tuple[float, int]]) -> list[float]:
-    """Sums over the hits of one text; a quoted hit counts a third, an addressed one half more."""
+def features(words: list[str], hits: dict[str, tuple[float, int]], context: Context) -> list[float]:
+    """Sums over the hits of one text, and what the words and marks around them say."""
     found = [(i, *hits[w]) for i, w in enumerate(words) if w in hits] if hits else []
     if not found:
         return [0.0] * len(FEATURES)
-    total = best = quoted = addressed = fuzzy = 0.0
+    total = best = said = quoted = fuzzy = 0.0
+    harshest = -SAYS
     for i, weight, k in found:
-        low = max(0, i - CONTEXT)
-        kinds = {_KINDS[w] for w in words[low : i + CONTEXT + 1]}
-        is_quoted = 1 in kinds or 3 in kinds or bool(_QUOTE.search(" ".join(words[low : i + 1])) and _QUOTE.search(" ".join(words[i : i + CONTEXT + 1])))
-        is_addressed = 2 in kinds or 3 in kinds or "!" in words[i]
-        w = weight * (1 / 3 if is_quoted else 1.0) * (1.5 if is_addressed else 1.0)
-        total += w
-        best = max(best, w)
-        quoted += is_quoted
-        addressed += is_addressed
+        says = max(-SAYS, min(SAYS, sum(context[w] for w in set(around(words, i)) if w not in hits))) if context.odds else 0.0
+        total += weight
+        best = max(best, weight)
+        said += says
+        harshest = max(harshest, says)
+        quoted += bool(_QUOTE.search(" ".join(words[max(0, i - CONTEXT) : i + 1])) and _QUOTE.search(" ".join(words[i : i + CONTEXT + 1])))
         fuzzy += k > 0
     n = len(found)
-    return [1.0, math.log1p(total), best, math.log1p(100 * total / len(words)), quoted / n, addressed / n, fuzzy / n]
+    return [1.0, math.log1p(total), best, math.log1p(100 * total / len(words)), said / n, harshest, quoted / n, fuzzy / n]
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
     weights: np.ndarray  # of the features, then the bias
+    context: dict[str, float] = field(default_factory=dict)  # log odds of the words around hits
+
+    def __post_init__(self) -> None:
+        self._context = Context(self.context)
 
     def rows(self, texts: list[str]) -> np.ndarray:
         words = [_WORD.findall(t) for t in texts]
         hits = {w: (self.lexicon.weight(x), x[1]) for w, x in self.lexicon.look_up(set().union(*words)).items()}
-        return np.array([features(ws, hits) for ws in words], dtype=np.float64).reshape(-1, len(FEATURES))
+        return np.array([features(ws, hits, self._context) for ws in words], dtype=np.float64).reshape(-1, len(FEATURES))
 
     def score(self, texts: list[str]) -> np.ndarray:
         z = self.rows(texts) @ self.weights[:-1] + self.weights[-1]
@@ -294,7 +285,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learn lexicon and weights from ``labels(key, label)``, of which at most ``sample`` keys are used.
 
-    The driver gets the terms and one row of features for each sampled key. Conflicting labels of a document count as
+    The driver gets the terms, the words that tell around hits and one row of features for each sampled key. Conflicting labels of a document count as
     toxic; of several texts of a key the first in order is read. Null keys and labels teach nothing. Without toxic
     documents the lexicon is empty and every score is the same.
     """
@@ -323,28 +314,40 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     best = counts.where("toxic > 0 and length(term) > 2").select("term", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") >= LOG_ODDS) & (F.col("evidence") >= EVIDENCE))
     terms = {r["term"]: (r["odds"], 1.0) for r in best.orderBy(F.desc("evidence"), "term").collect()}
 
-    sent = _sent(spark, terms, np.zeros(len(FEATURES) + 1))
+    sent = _sent(spark, terms, np.zeros(len(FEATURES) + 1), {})
 
-    def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many documents a term is misspelled (kind 0), a word stands around a hit (1), there is a hit at all (2)."""
         m = _model(sent)
         for b in batches:
             seen: list[Counter] = [Counter(), Counter()]
-            words_of = [set(_WORD.findall(t)) for t in b.column("text").to_pylist()]
-            hits = {w: x[0] for w, x in m.lexicon.look_up(set().union(*words_of)).items() if x[1]}
+            words_of = [_WORD.findall(t) for t in b.column("text").to_pylist()]
+            hits = m.lexicon.look_up(set().union(*words_of))
             for ws, y in zip(words_of, b.column("y").to_pylist(), strict=True):
-                seen[int(y > 0)].update({hits[w] for w in hits.keys() & ws})
+                own = hits.keys() & set(ws)
+                if not own:
+                    continue
+                near = {folded(w) for i, w in enumerate(ws) if w in own for w in around(ws, i) if w not in hits}
+                seen[int(y > 0)].update({(0, hits[w][0]) for w in own if hits[w][1]} | {(1, w) for w in near if w} | {(2, "")})
             both = sorted(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([s[w] for w in both], pa.int64()) for s in seen)], names=["term", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in both], pa.int32()), pa.array([t for _, t in both], pa.string()), *(pa.array([s[x] for x in both], pa.int64()) for s in seen)], names=["kind", "term", "clean", "toxic"])
 
+    counts = written(rows.mapInArrow(met, "kind int, term string, clean long, toxic long").groupBy("kind", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "around")
     # a misspelling weighs what documents with one tell; unseen ones are thought to be mostly meant
     lift = math.log((n0 + 0.5) / (n1 + 0.5))
-    near = rows.mapInArrow(misspelled, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
-    found = {r["term"]: (r["toxic"], r["clean"]) for r in near}
+    found = {r["term"]: (r["toxic"], r["clean"]) for r in counts.where("kind = 0").collect()}
     for t, (w, _) in terms.items():
         toxic, clean = found.get(t, (0, 0))
         terms[t] = w, max(0.0, min(w, math.log((toxic + 1) / (clean + 0.15)) + lift))
-    model = Model(Lexicon(terms), np.zeros(len(FEATURES) + 1))
-    weighed = _sent(spark, terms, model.weights)
+    # what stands around a hit tells by how much oftener it does so in toxic documents than in others, if by more than chance
+    n_hit = counts.where("kind = 2").first()
+    h1, h0 = (n_hit["toxic"], n_hit["clean"]) if n_hit else (0, 0)
+    share = (h1 + 0.5) / (h1 + h0 + 1)
+    tells = a * F.log(F.greatest(a, F.lit(1)) / ((a + b) * share)) + b * F.log(F.greatest(b, F.lit(1)) / ((a + b) * (1 - share)))
+    says = F.log((a + 0.5) / (h1 + 1.0)) - F.log((b + 0.5) / (h0 + 1.0))
+    context = {r["term"]: r["says"] for r in counts.where("kind = 1").where(tells >= EVIDENCE).select("term", says.alias("says")).orderBy("term").collect()}
+    model = Model(Lexicon(terms), np.zeros(len(FEATURES) + 1), context)
+    weighed = _sent(spark, terms, model.weights, context)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(weighed)
@@ -361,16 +364,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 _MODELS: dict[str, Model] = {}
 
 
-def _sent(spark: SparkSession, terms: dict[str, tuple[float, float]], weights: np.ndarray) -> object:
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, dict(terms), weights))
+def _sent(spark: SparkSession, terms: dict[str, tuple[float, float]], weights: np.ndarray, context: dict[str, float]) -> object:
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, dict(terms), weights, context))
 
 
 def _model(sent: object) -> Model:
-    """The broadcast model, built once in each worker."""
-    name, terms, weights = sent.value
+    """The broadcast model, built once in each worker: one trie for all the words it meets."""
+    name, terms, weights, context = sent.value
     if name not in _MODELS:
         _MODELS.clear()
-        _MODELS[name] = Model(Lexicon(terms), weights)
+        _MODELS[name] = Model(Lexicon(terms), weights, context)
     return _MODELS[name]
 
 
@@ -381,7 +384,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     are left out, whatever their names; an empty table gives no rows. Of terms equally near, the one of greatest weight is
     taken, then the first in order.
     """
-    sent = _sent(docs.sparkSession, model.lexicon.terms, model.weights)
+    sent = _sent(docs.sparkSession, model.lexicon.terms, model.weights, model.context)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(sent)

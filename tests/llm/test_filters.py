@@ -157,14 +157,18 @@ def test_toxicity(spark):
         w = [rng.choice(plain) for _ in range(40)]
         for _ in range(3 * bad):
             w[rng.randrange(40)] = rng.choice(["blockhead", "nincompoop"])
+        if rng.random() < (0.9 if bad else 0.06):
+            w[30:34] = ["tu", "es", "blockhead", "imbécile"] if bad else ["quoth", "he", '"blockhead"', "dryly"]
         return " ".join(w)
 
-    rows = [(i, text(i % 4 == 0)) for i in range(200)]
+    rows = [(i, text(i % 4 == 0)) for i in range(400)]
     docs = documents(spark, rows)
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    assert set(model.lexicon.terms) == {"blockhead", "nincompoop"}
-    tests = [(1, "you are a blockhead"), (2, "you bl0ckhed !"), (3, 'he said "blockhead" in a quote'), (4, "green river under stone"), (5, None), (6, ""), (None, "x")]
+    assert {"blockhead", "nincompoop"} <= set(model.lexicon.terms) and not {"quoth", "river"} & set(model.lexicon.terms)
+    # what tells quotation from abuse was in no list: it stood around hits
+    assert model.context["quoth"] < -1 and model.context["dryly"] < -1
+    tests = [(1, "tu es a blockhead"), (2, "es nincompop bl0ckhed !"), (3, 'river stone quoth he "blockhead" dryly'), (4, "green river under stone"), (5, None), (6, ""), (None, "x")]
     got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(documents(spark, tests), model).collect()}
     assert got[1][1] == got[2][1] == 1
     assert got[4][1] == got[5][1] == got[6][1] == got[None][1] == 0
@@ -187,6 +191,9 @@ def test_toxicity_equals_plain_python(spark):
             if rng.random() < 0.2:
                 x[rng.randrange(len(x))] = rng.choice("zyx0")
             w[rng.randrange(len(w))] = "".join(x) + rng.choice(["", "!", ",", '"'])
+        if not toxic and rng.random() < 0.6:
+            at = rng.randrange(len(w))
+            w[at : at + 3] = ["quoth", rng.choice(bad), rng.choice(["Raven,", "raven"])]
         return " ".join(w)
 
     rows = [(i, text(i % 3 == 0)) for i in range(600)]
@@ -220,22 +227,34 @@ def test_toxicity_equals_plain_python(spark):
 
     known = {}
 
+    def near_of(ws, i):
+        return [w for w in [*ws[max(0, i - 8) : i], *ws[i + 1 : i + 9]] if known.setdefault(w, hit(w)) is None]
+
+    met = Counter(), Counter()
+    for i, t in rows[:500]:
+        ws = words(t)
+        at = [k for k, w in enumerate(ws) if known.setdefault(w, hit(w))]
+        if at:
+            met[i % 3 == 0].update({toxicity.folded(w) for k in at for w in near_of(ws, k)} - {""} | {None})
+    h0, h1 = met[0][None], met[1][None]
+    share, context = (h1 + 0.5) / (h1 + h0 + 1), {}
+    for w in (met[0].keys() | met[1].keys()) - {None}:
+        c, x = met[0][w], met[1][w]
+        if x * math.log(max(x, 1) / ((x + c) * share)) + c * math.log(max(c, 1) / ((x + c) * (1 - share))) >= toxicity.EVIDENCE:
+            context[w] = math.log((x + 0.5) / (h1 + 1)) - math.log((c + 0.5) / (h0 + 1))
+    assert set(model.context) == set(context) and all(abs(model.context[w] - v) < 1e-9 for w, v in context.items())
+    assert context["quoth"] < 0 and context["raven"] < 0
+
     def score(t):
         ws = words(t)
         hits = [(i, *known[w]) for i, w in enumerate(ws) if known.setdefault(w, hit(w))]
-        x = [0.0] * 7
+        x = [0.0] * 8
         if hits:
-            total, best, q, a, f = 0.0, 0.0, 0, 0, 0
-            for i, weight, k in hits:
-                near = ws[max(0, i - 8) : i + 9]
-                low = {re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) for w in near}
-                mark = lambda part: any(c in w for w in part for c in toxicity.QUOTES)
-                quoted = (mark(ws[max(0, i - 8) : i + 1]) and mark(ws[i : i + 9])) or bool(low & toxicity.REPORT)
-                addressed = bool(low & toxicity.ADDRESS) or "!" in ws[i]
-                weight *= (1 / 3 if quoted else 1) * (1.5 if addressed else 1)
-                total, best, q, a, f = total + weight, max(best, weight), q + quoted, a + addressed, f + (k > 0)
-            n = len(hits)
-            x = [1.0, math.log1p(total), best, math.log1p(100 * total / len(ws)), q / n, a / n, f / n]
+            mark = lambda part: any(c in w for w in part for c in toxicity.QUOTES)
+            quoted = [mark(ws[max(0, i - 8) : i + 1]) and mark(ws[i : i + 9]) for i, *_ in hits]
+            says = [max(-6, min(6, sum(context.get(toxicity.folded(w), 0) for w in set(near_of(ws, i))))) for i, *_ in hits]
+            total, n = sum(w for _, w, _ in hits), len(hits)
+            x = [1.0, math.log1p(total), max(w for _, w, _ in hits), math.log1p(100 * total / len(ws)), sum(says) / n, max(says), sum(quoted) / n, sum(k > 0 for *_, k in hits) / n]
         z = sum(float(w) * v for w, v in zip(model.weights, [*x, 1.0], strict=True))
         return 1 / (1 + math.exp(-z))
 
