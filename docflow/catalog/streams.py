@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..plans import registry
 from ..sources import queue
@@ -46,13 +47,12 @@ def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/read/batch={number}")
 
-    def started(per_batch: int) -> tasks.StreamingQuery:
-        stream = queue.message_stream(spark, f"{base}/queue", per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint")
-        return stream.trigger(availableNow=True).start()
+    def reader(per_batch: int) -> DataStreamWriter:
+        return queue.message_stream(spark, f"{base}/queue", per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint")
 
-    started(n // 3).awaitTermination()  # a third, and the end of this worker
-    tasks.drained(queue.message_stream(spark, f"{base}/queue", n // 3 + 1).writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").start())
-    return spark.read.parquet(f"{base}/read").select("offset", "task_id", "pdf_path", "model", F.col("sent").cast("timestamp_ntz").alias("sent"))
+    reader(n // 3).trigger(availableNow=True).start().awaitTermination()  # a third, and the end of this worker
+    tasks.drained(reader(n // 3 + 1).start())
+    return spark.read.schema(queue.MESSAGE).parquet(f"{base}/read").select("offset", "task_id", "pdf_path", "model", F.col("sent").cast("timestamp_ntz").alias("sent"))
 
 
 @_C.add(
@@ -119,13 +119,13 @@ def guarded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.pmod(F.xxhash64(e), F.lit(6))
     dealt = F.explode(F.when(e % 5 == 0, F.array(part, (part + e % 3) % 6)).otherwise(F.array(part))).alias("part")
     log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), status.alias("status"), e.alias("seq"), dealt)
-    log.repartition(1 if log.isEmpty() else 6, "part").write.partitionBy("part").parquet(f"{base}/dealt")
+    log.repartition(6, "part").write.parquet(f"{base}/dealt")
 
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/status/batch={number}")
 
     schema = "task_id string, status string, seq long"
-    found = spark.read.parquet(f"{base}/dealt")
+    found = spark.read.schema(f"{schema}, part long").parquet(f"{base}/dealt")
     with rocksdb(spark):
         for parts in ((0, 1, 2), (3, 4, 5)):
             for p in parts:
