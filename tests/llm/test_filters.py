@@ -225,15 +225,15 @@ def test_toxicity_equals_plain_python(spark):
                 near.append((k, -terms[t][1] * (0.8 if k == 2 else 1.0), t))
         return (-min(near)[1], min(near)[0]) if near and w else None
 
-    known = {}
+    known = {w: hit(w) for w in {w for _, t in rows for w in words(t)}}
 
     def near_of(ws, i):
-        return [w for w in [*ws[max(0, i - 8) : i], *ws[i + 1 : i + 9]] if known.setdefault(w, hit(w)) is None]
+        return [w for w in [*ws[max(0, i - 8) : i], *ws[i + 1 : i + 9]] if known[w] is None]
 
     met = Counter(), Counter()
     for i, t in rows[:500]:
         ws = words(t)
-        at = [k for k, w in enumerate(ws) if known.setdefault(w, hit(w))]
+        at = [k for k, w in enumerate(ws) if known[w]]
         if at:
             met[i % 3 == 0].update({toxicity.folded(w) for k in at for w in near_of(ws, k)} - {""} | {None})
     h0, h1 = met[0][None], met[1][None]
@@ -247,7 +247,7 @@ def test_toxicity_equals_plain_python(spark):
 
     def score(t):
         ws = words(t)
-        hits = [(i, *known[w]) for i, w in enumerate(ws) if known.setdefault(w, hit(w))]
+        hits = [(i, *known[w]) for i, w in enumerate(ws) if known[w]]
         x = [0.0] * 8
         if hits:
             mark = lambda part: any(c in w for w in part for c in toxicity.QUOTES)
