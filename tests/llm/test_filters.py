@@ -8,10 +8,12 @@ from fnmatch import translate
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from docflow.llm import langid, quality, toxicity
 from docflow.llm.common import string_buffers
 from docflow.llm.url_filter import Automaton, filter_urls
+from pyspark.sql import functions as F
 from tests.llm.helpers import TEXTS, documents, words
 
 
@@ -106,6 +108,27 @@ def test_quality_rules(spark):
     assert quality.judge(docs.limit(0), quality.log_ratios(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_quality_trusts_all_that_are_labelled_good(spark, monkeypatch):
+    n = 20_800
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.concat(F.lit("w"), F.xxhash64("id", i) % 300)), " ").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "x " * 25), (7, None)], "doc_id long, text string"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 200 == 1, 0).otherwise(1).alias("quality"))
+    # the trusted multinomial has every word and pair of the good documents, so it can be told from its sums
+    ratios = quality.log_ratios(docs, labels)
+    good, whole = (n - n // 200) * 41 + quality.BUCKETS, n * 41 + 49 + quality.BUCKETS
+    h = spark.range(1).select(F.xxhash64(F.lit("x")).alias("h")).first()["h"] & (quality.BUCKETS - 1)
+    counts = Counter(quality._grams(docs.select("doc_id", quality._words("text").alias("words"))).selectExpr("doc_id", f"size(filter(concat(h1, slice(h2, 1, greatest(size(h2) - 1, 0))), h -> h & {quality.BUCKETS - 1} = {h})) AS c").rdd.flatMap(lambda r: [bool(r["doc_id"] is not None and r["doc_id"] % 200 != 1)] * r["c"]).collect())
+    assert abs(ratios[h] / 1e6 - math.log((counts[True] + 1) / good) + math.log((counts[True] + counts[False] + 1) / whole)) < 1e-5
+    judged = quality.judge(docs, ratios)
+    want = fitted(r["score"] for r in judged.where("not base_failed and doc_id % 200 <> 1").collect())
+    assert abs(quality.fitted(judged, labels) - want) < 1e-12 and abs(quality.threshold(docs, labels, ratios) - want) < 1e-12
+    # ranks are exact through any number of bins, with equal scores too
+    monkeypatch.setattr(quality, "_BINS", 3)
+    monkeypatch.setattr(quality, "_HELD", 2)
+    few = spark.createDataFrame([(x,) for x in [0.1, 0.1, 0.1, 0.2, 0.25, 0.25, 3.0, -7.5, 0.2500001]], "score double")
+    assert quality._quantiles(few, (0.0, 0.3, 0.5, 0.99)) == pytest.approx(np.percentile([r["score"] for r in few.collect()], [0, 30, 50, 99]), abs=1e-12)
+
+
 def _edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
