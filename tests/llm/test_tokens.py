@@ -285,3 +285,17 @@ def _before_last(spark, path):
         assert after.columns == docs.columns
         docs = after
     return docs
+
+
+def test_quality_stage_trusts_all_that_are_labelled_good(spark, tmp_path, monkeypatch):
+    n = 20_400
+    word = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.concat(F.lit("w"), F.xxhash64("id", i) % 300))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(word, " ").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 200 == 1, 0).otherwise(1).alias("quality"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(quality, "MARGIN", 0)
+    monkeypatch.setattr(quality, "QUANTILE", 0.5)
+    got = {r["doc_id"] for r in corpus_pipeline.good_quality(spark, docs, str(tmp_path)).collect()}
+    judged = quality.judge(docs, quality.log_ratios(docs, labels)).collect()
+    least = np.median([r["score"] for r in judged if r["doc_id"] % 200 != 1])
+    assert got == {r["doc_id"] for r in judged if r["score"] >= least}
