@@ -11,6 +11,7 @@ import zlib
 from xml.etree import ElementTree
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docflow.catalog import documents, web
@@ -209,6 +210,38 @@ def test_layout_elements(spark, compat):
     assert tuple(got[0]["bbox"]) == (4.5, 15.0, 9.0, 10.0)
 
 
+class _Captured:
+    """Stands for a table: gives back the function that its batches would go through."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_extracted_rows_are_passed_on_as_they_come():
+    read = []
+
+    def extractor(content):
+        read.append(content)
+        if content == b"7":
+            raise ValueError("bad")
+        for i in range(100):
+            yield 1, i, "x" * 1000, ["f" * 500], [1.0]
+
+    run = adapters.extracted(_Captured(), "text", extractor)
+    files = pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(200)], "content": [str(i).encode() for i in range(200)]})
+    out, seen = [], []
+    for b in run(iter([files])):
+        out.append(b)
+        seen.append(len(read))
+    assert max(b.nbytes for b in out) < 10 << 20 and seen[0] < 50
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len(rows) == 199 * 100 + 1
+    assert [(r["path"], r["error"]) for r in rows if r["error"]] == [("p7", "ValueError: bad")]
+
+
 def test_office_files(spark):
     w, a, p, x = (f"http://schemas.openxmlformats.org/{n}/2006/main" for n in ("wordprocessingml", "drawingml", "presentationml", "spreadsheetml"))
 
