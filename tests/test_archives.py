@@ -7,6 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from docflow.catalog import files
 from docflow.sources import archives
 from docflow.storage import filesystem
 
@@ -102,3 +103,10 @@ def test_ten_thousand_members_of_one_task(spark, tmp_path):
     back = archives.contents(archives.archive_members(spark, str(tmp_path)))
     assert back.where("error is not null").count() == 0
     assert back.select("path", "content").exceptAll(rows.select("path", "content")).count() == 0
+
+
+def test_archives_query_has_one_archive_a_nation(spark, tmp_path):
+    rows = [(k, f"n{k % 7}", k % 3) for k in range(400)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = files.archives(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((str(n), f"images/picture-{k}.png", name) for k, name, n in rows)
