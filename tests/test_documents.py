@@ -242,6 +242,16 @@ def test_extracted_rows_are_passed_on_as_they_come():
     assert [(r["path"], r["error"]) for r in rows if r["error"]] == [("p7", "ValueError: bad")]
 
 
+def test_office_items_are_passed_on_as_they_come():
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document xmlns:w='{w}'><w:body>{'<w:p><w:r><w:t>x</w:t></w:r></w:p>' * 2000}</w:body></w:document>")
+    run = adapters.extracted(_Captured(), "layout", adapters.office_text)
+    sizes = [b.num_rows for b in run(iter([pa.RecordBatch.from_pydict({"path": [f"{i}.docx" for i in range(40)], "content": [out.getvalue()] * 40})]))]
+    assert sum(sizes) == 80_000 and max(sizes) < 30_000
+
+
 def test_office_files(spark):
     w, a, p, x = (f"http://schemas.openxmlformats.org/{n}/2006/main" for n in ("wordprocessingml", "drawingml", "presentationml", "spreadsheetml"))
 
