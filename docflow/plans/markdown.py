@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,22 +12,31 @@ from ..operators.headers import levels
 
 def line(rows_have_level: bool = True) -> Column:
     """Markdown of one element by its ``type``; null for kinds that have none."""
-    kind, text = F.col("type"), F.coalesce(F.col("text"), F.lit(""))
-    level = F.col("level") if rows_have_level else F.lit(None).cast("int")
+    return line_of(F.col("type"), F.col("text"), F.col("level") if rows_have_level else F.lit(None).cast("int"), F.col("src"), F.col("html"))
+
+
+def line_of(kind: Column, text: Column, level: Column, src: Column, html: Column) -> Column:
+    """Markdown of one element by its values."""
+    text = F.coalesce(text, F.lit(""))
     return (
         F.when((kind == "h") & level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text))
         .when(kind.isin("h", "p"), text)
         .when(kind == "li", F.concat(F.lit("- "), text))
-        .when(kind == "img", F.concat(F.lit("![Image]("), F.coalesce(F.col("src"), F.lit("")), F.lit(")")))
-        .when(kind == "table", F.coalesce(F.col("html"), F.lit("")))
+        .when(kind == "img", F.concat(F.lit("![Image]("), F.coalesce(src, F.lit("")), F.lit(")")))
+        .when(kind == "table", F.coalesce(html, F.lit("")))
     )
 
 
 def assembled(rows: DataFrame, doc: str, order: str, content: str) -> DataFrame:
     """Rows (doc, markdown): each element's content and an empty line, in order; an element without content is the line alone."""
     listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(content).alias("c"))))
-    lines = F.flatten(F.transform(listed, lambda e: F.when(e["c"].isNull(), F.array(F.lit(""))).otherwise(F.array(e["c"], F.lit("")))))
-    return rows.groupBy(doc).agg(F.array_join(lines, "\n").alias("markdown"))
+    return rows.groupBy(doc).agg(joined(listed, lambda e: e["c"]).alias("markdown"))
+
+
+def joined(elements: Column, content: Callable[[Column], Column]) -> Column:
+    """One text of a document's elements in an array: each one's content and an empty line, or the line alone."""
+    lines = F.flatten(F.transform(elements, lambda e: F.when(content(e).isNull(), F.array(F.lit(""))).otherwise(F.array(content(e), F.lit("")))))
+    return F.array_join(lines, "\n")
 
 
 def render(elements: DataFrame, doc: str = "doc_id", noise_level: str = "larger") -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zipfile
 import zlib
 from xml.etree import ElementTree
@@ -252,6 +253,96 @@ def test_office_items_are_passed_on_as_they_come():
     assert sum(sizes) == 80_000 and max(sizes) < 30_000
 
 
+def _office_file(part, head, piece, tail, times):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(part, head + piece * times + tail)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("kind", ["docx", "pptx", "xlsx"])
+def test_office_parts_are_read_without_their_tree(kind):
+    from docflow.catalog.files import _KINDS
+
+    piece = {
+        "docx": "<w:p><w:pPr><w:pStyle w:val='Heading1'/></w:pPr><w:r><w:t>x</w:t></w:r></w:p>",
+        "pptx": "<p:sp><p:txBody><a:p><a:r><a:t>x</a:t></a:r></a:p></p:txBody></p:sp>",
+        "xlsx": "<row><c><v>1</v></c><c><v>2</v></c></row>",
+    }[kind]
+    part, head, tail = _KINDS[kind]
+    content = _office_file(part, head, piece, tail, 20_000)
+    tracemalloc.start()
+    n = sum(1 if r[7] else len(r[8].split("<tr>")) - 1 for r in adapters.office_text(content))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and peak < 8 << 20
+
+
+def test_office_nesting(spark):
+    w, a, p = (f"http://schemas.openxmlformats.org/{n}/2006/main" for n in ("wordprocessingml", "drawingml", "presentationml"))
+    para = "<w:p><w:r><w:t>%s</w:t></w:r></w:p>"
+    word = _office_file("word/document.xml", f"<w:document xmlns:w='{w}'>{para % 'before'}<w:body>", f"{para % 'in'}<w:sdt>{para % 'control'}</w:sdt><w:tbl><w:tr><w:tc>{para % 'cell'}</w:tc></w:tr></w:tbl>", f"</w:body><w:body>{para % 'second'}</w:body></w:document>", 1)
+    shape = "<p:sp><p:txBody><a:p><a:r><a:t>%s</a:t></a:r></a:p></p:txBody></p:sp>"
+    table = "<p:graphicFrame><a:tbl><a:tr><a:tc><a:txBody><a:p><a:r><a:t>t</a:t></a:r></a:p></a:txBody></a:tc></a:tr></a:tbl></p:graphicFrame>"
+    slide = _office_file("ppt/slides/slide1.xml", f"<p:sld xmlns:p='{p}' xmlns:a='{a}'>", f"<p:grpSp>{shape % 'in a group'}<p:grpSp>{table}</p:grpSp></p:grpSp>{shape % 'last'}", "</p:sld>", 1)
+    cut = _office_file("word/document.xml", f"<w:document xmlns:w='{w}'><w:body>", para % "x", "</w:body>", 1000)
+    rows = spark.createDataFrame([("a", bytearray(word)), ("b", bytearray(slide)), ("c", bytearray(cut)), ("d", None)], "path string, content binary")
+    got = {r["path"]: ([(i["label"], i["text"] or i["html"]) for i in r["items"]], r["error"]) for r in adapters.extracted_whole(rows, "layout", adapters.office_text).collect()}
+    assert got["a"] == ([("text", "in"), ("table", "<table><tr><td>cell</td></tr></table>")], None)
+    assert got["b"] == ([("text", "in a group"), ("table", "<table><tr><td>t</td></tr></table>"), ("text", "last")], None)
+    assert got["c"][0] == [] and got["c"][1].startswith("ParseError") and got["d"][0] == [] and got["d"][1]
+    flat = adapters.extracted(rows, "layout", adapters.office_text).orderBy("path", "raw_ord").collect()
+    assert [(r["path"], r["text"] or r["html"]) for r in flat if not r["error"]] == [(k, x) for k in "ab" for _, x in got[k][0]]
+    assert {r["path"]: r["error"] for r in flat if r["error"]} == {k: got[k][1] for k in "cd"}
+
+
+def test_files_that_are_passed_on_whole_fill_small_batches():
+    def extractor(content):
+        if content == b"7":
+            raise ValueError("bad")
+        for i in range(100):
+            yield 1, i, "x" * 1000, ["f" * 500], [1.0]
+
+    run = adapters.extracted_whole(_Captured(), "text", extractor)
+    files = pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(200)], "content": [str(i).encode() for i in range(200)]})
+    out = list(run(iter([files])))
+    assert max(b.nbytes for b in out) < 10 << 20
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["path"] for r in rows] == [f"p{i}" for i in range(200)]
+    assert [(len(r["items"]), r["error"]) for r in rows] == [(0, "ValueError: bad") if i == 7 else (100, None) for i in range(200)]
+
+
+def test_office_markdown_groups_no_items(spark):
+    from docflow import pipelines
+    from docflow.catalog.files import _KINDS
+
+    pipelines.REGISTRY.discover("docflow.pipelines")
+    part, head, tail = _KINDS["docx"]
+    word = _office_file(part, head, "<w:p><w:r><w:t>x</w:t></w:r></w:p>", tail, 2)
+    empty = _office_file(part, head, "", tail, 1)
+    rows = spark.createDataFrame([("a", bytearray(word)), ("b", bytearray(empty)), ("c", bytearray(b"no zip"))], "task_id string, content binary")
+    out = pipelines.REGISTRY.pipelines["office"].run(rows)
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [("a", "x\n\nx\n")]
+
+
+def test_office_files_are_made_in_passing(spark, tmp_path):
+    from docflow.catalog import files
+
+    spark.range(5000).selectExpr("id AS o_orderkey", "id % 2 * 20 AS o_custkey", "'3-MEDIUM' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    made = files._office(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    found = {r["task_id"]: bytes(r["content"]) for r in made.collect()}
+    assert sorted(found) == [f"{i}.{k}" for i in range(2) for k in ("docx", "pptx", "xlsx")]
+    for name, raw in found.items():
+        part, head, tail = files._KINDS[name[2:]]
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            body = z.read(part).decode()
+            assert z.namelist() == [part] and body.startswith(head) and body.endswith(tail)
+            assert body.count("3-MEDIUM") == 2500 and len(raw) < len(body) / 5
+
+
 def test_office_files(spark):
     w, a, p, x = (f"http://schemas.openxmlformats.org/{n}/2006/main" for n in ("wordprocessingml", "drawingml", "presentationml", "spreadsheetml"))
 
