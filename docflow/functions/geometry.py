@@ -74,6 +74,7 @@ def overlaps(a: Column, b: Column, threshold: float, compat: bool = False) -> Co
 
 
 def fitted(width: Column, height: Column, longest: int = 640) -> Column:
-    """Size with the longest side brought to ``longest``, the ratio kept, fractions cut off."""
-    factor = F.least(F.lit(longest) / width, F.lit(longest) / height)
+    """Size with the longest side brought to ``longest``, the ratio kept, fractions cut off; a side of 0 stays 0."""
+    # a side of 0 bounds nothing: the other one alone counts, as an infinite quotient would have it
+    factor = F.coalesce(F.least(F.try_divide(F.lit(longest), width), F.try_divide(F.lit(longest), height)), F.lit(0.0))
     return F.struct((width * factor).cast("int").alias("width"), (height * factor).cast("int").alias("height"))

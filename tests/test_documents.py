@@ -511,3 +511,10 @@ def test_interpolation():
         assert np.abs(got - want).max() < 0.75
     same = rng.integers(0, 256, (4, 6, 1), dtype=np.uint8)
     assert (pixels.interpolated(same, 4, 6) == same).all()
+
+
+def test_previews_of_empty_texts(spark, tmp_path):
+    rows = [(1, "", "en", "web", 0), (2, None, "en", "web", None), (3, " x ", "de", "a b", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, documents.text_previews(spark, str(tmp_path)).collect()))
+    assert got == [(1, "...", "en.web", 0, 640), (2, None, "en.web", None, 640), (3, "x...", "de.a.b", 1, 640)]

@@ -21,6 +21,11 @@ def test_fitted_cuts_fractions(spark):
     assert tuple(spark.range(1).select(G.fitted(F.lit(1000), F.lit(333), 800).alias("s")).first()["s"]) == (800, 266)
 
 
+def test_fitted_takes_sides_of_nothing(spark):
+    sizes = spark.createDataFrame([(0, 1000), (1000, 0), (0, 0), (None, 1000), (500, 250)], "w long, h long")
+    assert [tuple(r["s"]) for r in sizes.select(G.fitted(F.col("w"), F.col("h")).alias("s")).collect()] == [(0, 640), (640, 0), (0, 0), (None, 640), (640, 320)]
+
+
 @pytest.mark.parametrize(
     ("sizes", "expected"),
     [
